@@ -69,3 +69,20 @@ def bounded_labels(labels: DataFrame, value: Column, limit: int) -> DataFrame:
         share = int((limit * 0.95 / total) * 2**31)
         clean = clean.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) < share)
     return clean.limit(limit)
+
+
+#: A group that holds at least 1 / HEAVY_SHARE of all rows is joined by broadcast: there are at most that many.
+HEAVY_SHARE = 1000
+
+
+def join_by_group(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` with the columns of ``groups`` (one row per ``key``, of which ``rows`` has ``size``), whatever the skew.
+
+    Groups that hold at least a thousandth of the rows are broadcast, the others are joined by a shuffle in which no
+    key is hot. ``groups`` should be materialised.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    is_heavy = F.col(size) >= max(2.0, total / HEAVY_SHARE)
+    heavy = groups.filter(is_heavy).limit(HEAVY_SHARE)  # the condition leaves no more than that
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(heavy), key).unionByName(rest.join(groups.filter(~is_heavy), key))

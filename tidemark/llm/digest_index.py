@@ -18,10 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK_RUN, materialize, scratch_path
-
-#: A digest that holds at least 1 / HEAVY_SHARE of the documents is joined by broadcast: there are at most that many.
-HEAVY_SHARE = 1000
+from .common import BLANK_RUN, join_by_group, materialize, scratch_path
 
 
 def text_digest(text: Column) -> Column:
@@ -75,15 +72,8 @@ def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
         "digest-groups",
     )
     index.append_new(groups)
-    owned = groups.drop("owner_id").join(index.rows().hint("merge"), "digest")
-    total = groups.agg(F.sum("n_docs")).first()[0] or 0
-    heavy_from = max(2.0, total / HEAVY_SHARE)
-    is_heavy = F.col("n_docs") >= heavy_from
-    # at most HEAVY_SHARE digests can each hold 1 / HEAVY_SHARE of the documents
-    heavy = owned.filter(is_heavy).limit(HEAVY_SHARE)
-    by_broadcast = members.join(F.broadcast(heavy), "digest")
-    rest = members.join(F.broadcast(heavy.select("digest")), "digest", "left_anti").join(owned.filter(~is_heavy).hint("merge"), "digest")
-    both = by_broadcast.unionByName(rest)
+    owned = materialize(groups.drop("owner_id").join(index.rows().hint("merge"), "digest"), "owned-digests")
+    both = join_by_group(members, owned, "digest", "n_docs")
     return both.select(
         "doc_id", F.col("owner_id").alias("keep_id"), "group_size",
         F.col("doc_id").eqNullSafe(F.col("owner_id")).alias("kept"), F.col("digest").alias("text_sha256"),

@@ -74,12 +74,12 @@ FEATURES = (
 )
 
 
-def with_counts(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the counts of each row of ``docs``: one pass, no shuffle."""
+def with_counts(docs: DataFrame, *also: str) -> DataFrame:
+    """``doc_id``, the columns ``also`` and the counts of each row of ``docs``: one pass, no shuffle."""
     text = F.coalesce(F.col("text"), F.lit(""))
     length = F.char_length
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("_text")).select(
-        "doc_id",
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *also, text.alias("_text"))
+    counts = F.struct(
         _repeat_counts(F.col("_text")).alias("_r"),
         _line_counts(F.col("_text")).alias("_l"),
         length(_without(F.col("_text"), BLANKS)).cast("long").alias("word_chars"),
@@ -91,7 +91,9 @@ def with_counts(docs: DataFrame) -> DataFrame:
             }.items()
         ],
     )
-    return counted.select("doc_id", "_r.*", "_l.*", *[c for c in counted.columns if c not in ("doc_id", "_r", "_l")])
+    # a generator of one row, through which no expression is substituted: each count is computed once however often it is used
+    counted = slim.select("doc_id", *also, F.inline(F.array(counts)))
+    return counted.select("doc_id", *also, "_r.*", "_l.*", *[c for c in counted.columns if c not in ("doc_id", "_r", "_l", *also)])
 
 
 def with_features(counts: DataFrame) -> DataFrame:

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import indicators  # noqa: F401
+from .kit import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
 
 FLAGSHIP = "bars_daily"
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}

@@ -7,6 +7,9 @@ words of the text. Null texts count as empty.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +24,9 @@ def words_of(text: Column) -> Column:
     return let(F.btrim(text, F.lit(BLANKS)), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, BLANK_RUN)))
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+def _count(text: Column, character: str) -> Column:
+    """How often a character stands in a text."""
+    return (F.char_length(text) - F.char_length(F.replace(text, F.lit(character), F.lit("")))).cast("long")
 
 
 def repeated_words(words: Column) -> Column:
@@ -58,6 +62,7 @@ def _repeat_counts(text: Column) -> Column:
             F.size(words).cast("long").alias("n_words"),
             repeated_words(words).alias("n_repeat_words"),
             F.size(F.array_distinct(words)).cast("long").alias("n_distinct"),
+            F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
         ),
     )
 
@@ -69,31 +74,27 @@ def _line_counts(text: Column) -> Column:
 
 #: Shape features, none of which knows labels, language, source or id.
 FEATURES = (
-    "log_words", "mean_word", "symbol_share", "upper_share", "exclaim_share", "pipe_share", "digit_share",
-    "comma_share", "repeat_share", "distinct_share", "dup_line_share", "line_words",
+    "log_words", "mean_word", "symbol_share", "exclaim_share", "pipe_share", "comma_share",
+    "repeat_share", "distinct_share", "dup_line_share", "line_words",
 )
 
 
 def with_counts(docs: DataFrame, *also: str) -> DataFrame:
     """``doc_id``, the columns ``also`` and the counts of each row of ``docs``: one pass, no shuffle."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    length = F.char_length
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *also, text.alias("_text"))
     counts = F.struct(
         _repeat_counts(F.col("_text")).alias("_r"),
         _line_counts(F.col("_text")).alias("_l"),
-        length(_without(F.col("_text"), BLANKS)).cast("long").alias("word_chars"),
-        *[
-            (length("_text") - length(_without(F.col("_text"), characters))).cast("long").alias(name)
-            for name, characters in {
-                "n_symbols": SYMBOLS, "n_upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "n_exclaim": "!", "n_pipe": "|",
-                "n_digit": "0123456789", "n_comma": ",",
-            }.items()
-        ],
+        *[_count(F.col("_text"), character).alias(f"_n{k}") for k, character in enumerate(SYMBOLS + "!,")],
     )
     # a generator of one row, through which no expression is substituted: each count is computed once however often it is used
     counted = slim.select("doc_id", *also, F.inline(F.array(counts)))
-    return counted.select("doc_id", *also, "_r.*", "_l.*", *[c for c in counted.columns if c not in ("doc_id", "_r", "_l", *also)])
+    by_symbol = [F.col(f"_n{k}") for k in range(len(SYMBOLS))]
+    return counted.select(
+        "doc_id", *also, "_r.*", "_l.*", reduce(add, by_symbol).alias("n_symbols"), by_symbol[SYMBOLS.index("|")].alias("n_pipe"),
+        F.col(f"_n{len(SYMBOLS)}").alias("n_exclaim"), F.col(f"_n{len(SYMBOLS) + 1}").alias("n_comma"),
+    )
 
 
 def with_features(counts: DataFrame) -> DataFrame:
@@ -106,10 +107,8 @@ def with_features(counts: DataFrame) -> DataFrame:
         "log_words": F.log1p(F.col("n_words").cast("double")),
         "mean_word": share("word_chars", "n_words"),
         "symbol_share": share("n_symbols", "word_chars"),
-        "upper_share": share("n_upper", "word_chars"),
         "exclaim_share": share("n_exclaim", "n_words"),
         "pipe_share": share("n_pipe", "n_words"),
-        "digit_share": share("n_digit", "word_chars"),
         "comma_share": share("n_comma", "n_words"),
         "repeat_share": share("n_repeat_words", "n_words"),
         "distinct_share": share("n_distinct", "n_words"),

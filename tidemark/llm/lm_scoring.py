@@ -184,15 +184,16 @@ def train(docs: DataFrame, labels: DataFrame, max_words: int = 50_000, max_bigra
     by_bigram = materialize(_count_bigrams(flagged, shared), "bigram-counts")
 
     def margin(code) -> np.ndarray:
-        sums = by_bigram.groupBy(code.alias("id")).agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).toPandas()  # at most max_words + 2 rows
+        sums = by_bigram.groupBy(code.alias("id")).agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).toArrow()  # at most max_words + 2 rows
         out = np.zeros((2, vocabulary.size))
-        out[:, sums["id"].to_numpy(np.int64)] = sums[["n_target", "n"]].to_numpy(float).T
+        out[:, sums["id"].to_numpy()] = sums["n_target"].to_numpy(), sums["n"].to_numpy()
         return out
 
     contexts, words = margin(F.expr(f"code div {vocabulary.size}")), margin(F.col("code") % vocabulary.size)
-    kept = by_bigram.filter(F.col("n") >= max(2, count_threshold(by_bigram, max_bigrams))).toPandas().sort_values("code")  # at most max_bigrams rows
-    codes = kept["code"].to_numpy(np.int64)
-    return Scorer(vocabulary, *[_model(codes, kept[c].to_numpy(float), contexts[k], words[k]) for k, c in enumerate(("n_target", "n"))])
+    kept = by_bigram.filter(F.col("n") >= max(2, count_threshold(by_bigram, max_bigrams))).toArrow()  # at most max_bigrams rows
+    codes = kept["code"].to_numpy()
+    order = np.argsort(codes)
+    return Scorer(vocabulary, *[_model(codes[order], kept[c].to_numpy()[order], contexts[k], words[k]) for k, c in enumerate(("n_target", "n"))])
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:

@@ -54,16 +54,17 @@ def _rolling_query(columns: list[str]):
 for _name, _columns in ROLLING_GROUPS.items():
     add(_name, _rolling_query(_columns), f"WITH {sql.ROLLING} SELECT symbol, trade_date, {sql.tidy(_columns)} FROM r3")
 
+#: columns, and the table of what SQL after the shared recursion; None where only plain loops can tell
 RECURSIVE_GROUPS = {
-    "ind_ema": (["ema5", "ema10", "ema15", "ema20"], True),
-    "ind_macd": (["macd510", "macd520", "macd1020", "macd1520", "macd1226"], True),
-    "ind_rsi": (["RSI14", "RSI8"], True),
-    "ind_atr": (["ATR"], True),
-    "ind_adx": (["ADX5", "ADX10", "ADX20"], False),
-    "ind_kama": (["KAMA10", "KAMA20", "KAMA30"], False),
-    "ind_sar": (["SAR"], False),
-    "ind_stochrsi": (["fastksr", "fastdsr"], False),
-    "ind_ht": (["HT_TRENDLINE", "HT_DCPERIOD"], False),
+    "ind_ema": (["ema5", "ema10", "ema15", "ema20"], "x", ""),
+    "ind_macd": (["macd510", "macd520", "macd1020", "macd1520", "macd1226"], "x", ""),
+    "ind_rsi": (["RSI14", "RSI8"], "x", ""),
+    "ind_atr": (["ATR"], "x", ""),
+    "ind_adx": (["ADX5", "ADX10", "ADX20"], "adx", ", " + sql.ADX),
+    "ind_kama": (["KAMA10", "KAMA20", "KAMA30"], "kama", ", " + sql.KAMA),
+    "ind_stochrsi": (["fastksr", "fastdsr"], "stochrsi", ", " + sql.STOCH_RSI),
+    "ind_sar": (["SAR"], None, ""),
+    "ind_ht": (["HT_TRENDLINE", "HT_DCPERIOD"], None, ""),
 }
 
 
@@ -71,8 +72,8 @@ def _recursive_query(columns: list[str]):
     return lambda spark, sf_dir: tidy(recursive.recursive_indicators(adapters.bars(spark, sf_dir)).select(*KEYS, *columns))
 
 
-for _name, (_columns, _sql) in RECURSIVE_GROUPS.items():
-    add(_name, _recursive_query(_columns), f"WITH RECURSIVE {sql.RECURSIVE} SELECT symbol, trade_date, {sql.tidy(_columns)} FROM x" if _sql else None)
+for _name, (_columns, _table, _more) in RECURSIVE_GROUPS.items():
+    add(_name, _recursive_query(_columns), f"WITH RECURSIVE {sql.RECURSIVE}{_more} SELECT symbol, trade_date, {sql.tidy(_columns)} FROM {_table}" if _table else None)
 
 
 def with_indicators(bars: DataFrame) -> DataFrame:
@@ -158,6 +159,6 @@ FEATURE_SQL = {
 _TEXT = {"rsi_status", "bb_position_label", "macd_cross_signal", "trend_ema_cross", "rsi_status_num", "stoch_k_d_cross", "roc_trend", "is_high_volatility"}
 for _name, _parts in FEATURE_SQL.items():
     add(_name, _feature_query(list(_parts)), f"WITH RECURSIVE {_BOTH}, g AS (SELECT symbol, trade_date, {', '.join(f'{e} AS {c}' for c, e in _parts.items())} FROM f) SELECT symbol, trade_date, {', '.join(c if c in _TEXT else sql.tidy([c]) for c in _parts)} FROM g")
-#: The features that need ADX, whose double recursion SQL would only repeat; tested against plain loops.
-add("feat_adx", _feature_query(["trend_strength_adx", "adx_strength_label"]))
+add("feat_adx", _feature_query(["trend_strength_adx", "adx_strength_label"]), f"""WITH RECURSIVE {sql.RECURSIVE}, {sql.ADX} SELECT symbol, trade_date,
+CASE WHEN ADX10 > 25 THEN 1 WHEN ADX10 <= 25 THEN 0 END::INT AS trend_strength_adx, CASE WHEN ADX20 >= 25 THEN 'STRONG_TREND' WHEN ADX20 >= 15 THEN 'WEAK_TREND' ELSE 'NO_TREND' END AS adx_strength_label FROM adx""")
 add("feat_all", _feature_query([*features.TREND_COLUMNS, *features.MOMENTUM_COLUMNS, *features.VOLATILITY_COLUMNS, *features.LABEL_COLUMNS]))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import indicators  # noqa: F401
+from . import indicators, similarity  # noqa: F401
 from .kit import ORACLES, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
 
-FLAGSHIP = "bars_daily"
+FLAGSHIP = "risk_fusion"

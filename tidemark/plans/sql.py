@@ -105,3 +105,109 @@ x AS (SELECT b.symbol, b.trade_date, b.rn, b.close, b.high, b.low, ema5, ema10,
   CASE WHEN b.rn >= 34 THEN fast1226 - slow1226 END AS macd1226,
   100 * {ratio("g14", "g14 + l14")} AS RSI14, 100 * {ratio("g8", "g8 + l8")} AS RSI8, ATR
   FROM x0 JOIN c2 b USING (symbol, rn))"""
+
+
+def _directional(n: int) -> str:
+    """Sums of the directional movements and of the range over n bars, Wilder's way: columns of one recursion."""
+    out = []
+    for name, value in (("p", "plus"), ("m", "minus"), ("t", "trange")):
+        out.append(f"CASE WHEN b.rn = {n} THEN b.{name}{n}_seed WHEN b.rn > {n} THEN e.{name}{n} - e.{name}{n} / {n} + b.{value} END AS {name}{n}")
+    return ", ".join(out)
+
+
+_ADX = (5, 10, 20)
+
+#: ADX by two recursions, after RECURSIVE: table adx.
+ADX = f"""y0 AS (SELECT symbol, trade_date, rn, trange,
+  CASE WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0 END::DOUBLE AS plus, CASE WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0 END::DOUBLE AS minus
+  FROM (SELECT *, lag(high) OVER {BY_DATE} AS ph, lag(low) OVER {BY_DATE} AS pl FROM c2)),
+y1 AS MATERIALIZED (SELECT *, {", ".join(f"sum({v}) {over(n - 1)} AS {name}{n}_seed" for n in _ADX for name, v in (("p", "plus"), ("m", "minus"), ("t", "trange")))} FROM y0),
+y2 AS (
+  SELECT symbol, rn, {", ".join(f"NULL::DOUBLE AS {x}{n}" for n in _ADX for x in "pmt")} FROM y1 WHERE rn = 1
+  UNION ALL SELECT b.symbol, b.rn, {", ".join(_directional(n) for n in _ADX)} FROM y2 e JOIN y1 b ON b.symbol = e.symbol AND b.rn = e.rn + 1
+),
+y3 AS (SELECT symbol, rn, {", ".join(f"CASE WHEN rn > {n} THEN {ratio(f'100 * abs(p{n} - m{n})', f'p{n} + m{n}')} END AS dx{n}" for n in _ADX)} FROM y2),
+y4 AS MATERIALIZED (SELECT *, {", ".join(f"avg(dx{n}) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS s{n}" for n in _ADX)} FROM y3),
+y5 AS (
+  SELECT symbol, rn, {", ".join(f"NULL::DOUBLE AS ADX{n}" for n in _ADX)} FROM y4 WHERE rn = 1
+  UNION ALL SELECT b.symbol, b.rn, {", ".join(f"CASE WHEN b.rn = {2 * n} THEN b.s{n} WHEN b.rn > {2 * n} THEN (e.ADX{n} * {n - 1} + b.dx{n}) / {n} END" for n in _ADX)} FROM y5 e JOIN y4 b ON b.symbol = e.symbol AND b.rn = e.rn + 1
+),
+adx AS (SELECT symbol, trade_date, ADX5, ADX10, ADX20 FROM y5 JOIN c2 USING (symbol, rn))"""
+
+_KAMA = (10, 20, 30)
+
+
+def _kama_speed(n: int) -> str:
+    way, path = f"abs(close - lag(close, {n}) OVER {BY_DATE})", f"sum(abs(change)) {over(n)}"
+    straight = f"(CASE WHEN {path} <= {way} OR {path} = 0 THEN 1 ELSE {way} / {path} END)"
+    return f"CASE WHEN rn > {n} THEN ({straight} * (2::DOUBLE / 3 - 2::DOUBLE / 31) + 2::DOUBLE / 31) ** 2 END AS v{n}"
+
+
+#: KAMA, after RECURSIVE: table kama.
+KAMA = f"""k0 AS MATERIALIZED (SELECT symbol, trade_date, rn, close, {", ".join(_kama_speed(n) for n in _KAMA)} FROM c2),
+k1 AS (
+  SELECT symbol, rn, {", ".join(f"NULL::DOUBLE AS KAMA{n}" for n in _KAMA)} FROM k0 WHERE rn = 1
+  UNION ALL SELECT b.symbol, b.rn, {", ".join(f"CASE WHEN b.rn = {n} THEN b.close WHEN b.rn > {n} THEN e.KAMA{n} + b.v{n} * (b.close - e.KAMA{n}) END" for n in _KAMA)} FROM k1 e JOIN k0 b ON b.symbol = e.symbol AND b.rn = e.rn + 1
+),
+kama AS (SELECT symbol, trade_date, {", ".join(f"CASE WHEN k1.rn > {n} THEN KAMA{n} END AS KAMA{n}" for n in _KAMA)} FROM k1 JOIN c2 USING (symbol, rn))"""
+
+#: Stochastic RSI, after RECURSIVE: table stochrsi.
+STOCH_RSI = f"""z0 AS (SELECT symbol, trade_date, rn, CASE WHEN rn >= 19 THEN 100 * {ratio(f"RSI14 - min(RSI14) {over(5)}", f"max(RSI14) {over(5)} - min(RSI14) {over(5)}")} END AS k FROM x),
+stochrsi AS (SELECT symbol, trade_date, CASE WHEN rn >= 21 THEN k END AS fastksr, CASE WHEN rn >= 21 THEN avg(k) {over(3)} END AS fastdsr FROM z0)"""
+
+
+def _list(matrix) -> str:
+    return "[" + ", ".join("[" + ", ".join(repr(float(x)) + "::DOUBLE" for x in row) + "]" for row in matrix) + "]"
+
+
+def buckets(vector: str, planes, band_bits: int) -> str:
+    """List of ``band:bits`` of a vector."""
+    n_bands = len(planes) // band_bits
+    bits = f"array_to_string(list_transform({_list(planes)}, lambda p: CASE WHEN list_dot_product(p, {vector}) >= 0 THEN '1' ELSE '0' END), '')"
+    return f"list_transform([{bits}], lambda t: list_transform(range(0, {n_bands}), lambda b: b || ':' || substr(t, (b * {band_bits} + 1)::BIGINT, {band_bits})))[1]"
+
+
+SUMMARY = ("cum_return", "volatility", "volume_ratio", "rsi", "macd", "sma_gap")
+
+#: Pattern vectors with their outcomes, after RECURSIVE: table patterns.
+PATTERNS = f"""q0 AS (SELECT x.symbol, x.trade_date, x.close, b.volume, x.RSI14 AS rsi, x.macd1226 AS macd, CASE WHEN x.rn >= 20 THEN avg(x.close) OVER (PARTITION BY x.symbol ORDER BY x.trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS sma20,
+  CASE WHEN x.trade_date < DATE '1999-01-01' THEN 'lib' ELSE 'tgt' END AS market, x.close / lag(x.close) OVER (PARTITION BY x.symbol ORDER BY x.trade_date) - 1 AS daily_return,
+  lead(x.close, 3) OVER (PARTITION BY x.symbol ORDER BY x.trade_date) / x.close - 1 AS fwd_return FROM x JOIN bars b USING (symbol, trade_date)),
+q1 AS (SELECT *, count(daily_return) {over(20)} AS n, list(daily_return) {over(20)} AS rets, stddev_samp(daily_return) {over(20)} AS volatility, avg(volume) {over(20)} AS mv, sum(daily_return) {over(20)} AS cum_return FROM q0),
+q2 AS (SELECT *, CASE WHEN mv > 0 THEN volume / mv ELSE 1 END AS volume_ratio, CASE WHEN sma20 > 0 THEN (close - sma20) / sma20 ELSE 0 END AS sma_gap,
+  list_avg(rets) AS rm, sqrt(list_sum(list_transform(rets, lambda r: (r - list_avg(rets)) ** 2)) / 20) AS rs FROM q1 WHERE n = 20),
+q3 AS (SELECT market, {", ".join(f"coalesce(avg({f}), 0) AS {f}_mean, CASE WHEN stddev_samp({f}) > 1e-12 THEN stddev_samp({f}) ELSE 1 END AS {f}_sd" for f in SUMMARY)} FROM q2 GROUP BY market),
+q4 AS (SELECT q2.*, list_concat(list_transform(rets, lambda r: CASE WHEN rs > 1e-12 THEN (r - rm) / rs ELSE 0 END::DOUBLE), [{", ".join(f"coalesce(({f} - {f}_mean) / {f}_sd, 0)::DOUBLE" for f in SUMMARY)}]) AS raw FROM q2 JOIN q3 USING (market)),
+patterns AS MATERIALIZED (SELECT symbol, market, trade_date, close, fwd_return, CASE WHEN fwd_return < 0 THEN 1 WHEN fwd_return IS NOT NULL THEN 0 END::INT AS fwd_down,
+  list_transform(raw, lambda r: r / sqrt(list_dot_product(raw, raw))) AS vector, symbol || '|' || trade_date AS id FROM q4)"""
+
+
+def verdicts(planes, asked: str, band_bits: int = 10, k: int = 50) -> str:
+    """CTEs up to table verdicts, after PATTERNS; ``asked`` selects the queries from patterns."""
+    z = "1.96::DOUBLE"
+
+    def side(s: str, earlier: str) -> str:
+        wilson = lambda sign: f"(({s}_n_down / {s}_n::DOUBLE) + {z} * {z} / (2 * {s}_n) {sign} {z} * sqrt(({s}_n_down / {s}_n::DOUBLE) * (1 - {s}_n_down / {s}_n::DOUBLE) / {s}_n + {z} * {z} / (4 * {s}_n * {s}_n))) / (1 + {z} * {z} / {s}_n)"
+        return f"""{s}1 AS (SELECT DISTINCT a.id AS query_id, b.id AS item_id FROM ab a JOIN kb b USING (bucket) WHERE b.market = '{s}' {earlier}),
+{s}2 AS (SELECT query_id, item_id, list_dot_product(q.vector, i.vector) AS cosine, i.fwd_return, i.fwd_down FROM {s}1 JOIN asked q ON q.id = query_id JOIN known i ON i.id = item_id),
+{s}3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, item_id) AS r FROM {s}2),
+{s}4 AS (SELECT query_id, count(*) AS {s}_n, sum(fwd_down) AS {s}_n_down, avg(fwd_return) AS {s}_mean_return, min(fwd_return) AS {s}_worst_return, avg(cosine) AS {s}_avg_cosine FROM {s}3 WHERE r <= {k} GROUP BY query_id),
+{s}5 AS (SELECT *, {s}_n_down / {s}_n::DOUBLE AS {s}_p_down, greatest(0, {wilson("-")}) AS {s}_ci_low, least(1, {wilson("+")}) AS {s}_ci_high,
+  {s}_n_down / {s}_n::DOUBLE - (SELECT avg(fwd_down) FROM known WHERE market = '{s}') AS {s}_excess FROM {s}4)"""
+
+    figures = ", ".join(f"coalesce({s}_{c}, 0) AS {s}_{c}" for s in ("lib", "tgt") for c in ("n", "p_down", "ci_low", "ci_high", "excess", "mean_return", "worst_return", "avg_cosine"))
+    return f"""known AS MATERIALIZED (SELECT *, {buckets("vector", planes, band_bits)} AS band_buckets FROM patterns WHERE fwd_down IS NOT NULL),
+asked AS MATERIALIZED (SELECT * FROM known WHERE {asked}),
+kb AS (SELECT id, market, trade_date, unnest(band_buckets) AS bucket FROM known), ab AS (SELECT id, trade_date, unnest(band_buckets) AS bucket FROM asked),
+{side("lib", "")},
+{side("tgt", "AND b.trade_date < a.trade_date")},
+v0 AS (SELECT a.id AS query_id, a.symbol, a.trade_date, a.fwd_return, a.fwd_down AS actual_down, {figures} FROM asked a LEFT JOIN lib5 ON lib5.query_id = a.id LEFT JOIN tgt5 ON tgt5.query_id = a.id),
+v1 AS (SELECT *, {", ".join(f"greatest(0, least(100, 50 + 100 * {s}_excess)) AS {s}_risk, CASE WHEN {s}_n > 0 THEN {s}_n / ({s}_n + 10.0::DOUBLE) * greatest(0, 1 - greatest(0, {s}_ci_high - {s}_ci_low)) ELSE 0 END AS {s}_trust" for s in ("lib", "tgt"))} FROM v0),
+v2 AS (SELECT *, lib_trust + 1.5::DOUBLE * tgt_trust AS weight FROM v1),
+v3 AS (SELECT *, CASE WHEN weight > 1e-9 THEN (lib_trust * lib_risk + 1.5::DOUBLE * tgt_trust * tgt_risk) / weight ELSE 50 END AS risk_score,
+  CASE WHEN weight > 1e-9 THEN (lib_trust * lib_n + tgt_trust * tgt_n) / greatest(1, lib_n + tgt_n) ELSE 0 END AS both_,
+  CASE WHEN abs(lib_excess) < 1e-9 OR abs(tgt_excess) < 1e-9 THEN 'NEUTRAL' WHEN lib_excess * tgt_excess > 0 THEN 'ALIGNED' ELSE 'CONFLICT' END AS agreement FROM v2),
+v4 AS (SELECT *, CASE agreement WHEN 'ALIGNED' THEN least(1, both_ * 1.15::DOUBLE) WHEN 'CONFLICT' THEN both_ * 0.8::DOUBLE ELSE both_ END AS confidence,
+  CASE WHEN risk_score >= 65 THEN 'STRONG' WHEN risk_score >= 40 THEN 'CAUTION' ELSE 'SAFE' END AS label FROM v3),
+verdicts AS (SELECT *, CASE WHEN confidence >= 0.6::DOUBLE THEN 'HIGH' WHEN confidence >= 0.3::DOUBLE THEN 'MEDIUM' ELSE 'LOW' END AS confidence_label,
+  CASE WHEN floor(risk_score * 10 + 0.5::DOUBLE) / 10 >= 50 THEN 1 ELSE 0 END AS pred_down FROM v4)"""

@@ -1,53 +1,20 @@
-"""Shared plumbing: scratch tables in the shared checkpoint folder, let-bindings, label access."""
+"""Shared plumbing: text classes, label access and joins that no hot key can stall."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expr import let
+from ..sources.scratch import materialize, scratch_path
+
+__all__ = ["BLANKS", "BLANK_RUN", "bounded_batches", "bounded_labels", "join_by_group", "let", "materialize", "read_table", "scratch_path"]
+
 #: Regex class of the blanks that separate words, as `[\x20\x09-\x0D]`.
 BLANKS = " \t\n\x0b\f\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that ``spark.checkpoint.dir`` names; a temporary one only in local mode, where it is unset."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if found is None:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder, deleted when the JVM of the driver ends."""
-    path = f"{scratch_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return path
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: later uses survive lost executors and never recompute it."""
-    spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` applied to ``value``, which is computed once however often ``body`` names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
     """Keep Arrow batches of very long texts small, unless the session already says how small."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

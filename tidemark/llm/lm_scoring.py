@@ -32,7 +32,9 @@ from .common import bounded_batches, materialize
 
 _BLANKED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 #: Words that a task counts before it hands its counts on: bounds its memory.
-COUNTED_AT_ONCE = 1 << 22
+COUNTED_AT_ONCE = 1 << 20
+#: Arrow batches of texts: a task holds several arrays over the words of one.
+BATCH = "4m"
 DISCOUNT, ADDED = 0.75, 0.5
 
 
@@ -84,18 +86,14 @@ class Vocabulary:
 
     def bigrams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bigram codes (context x size + word) of all the texts, and how many each has."""
-        get = self.ids.get
-        codes, lengths = [], np.zeros(len(texts), np.int64)
-        for k, text in enumerate(texts):
+        get, unknown = self.ids.get, 1
+        codes = []
+        for text in texts:
             words = words_of(text)
-            lengths[k] = len(words)
-            codes.append(0)
-            codes += [get(w, 1) for w in words]
-        flat = np.array(codes, np.int64)
-        pairs = flat[:-1] * self.size + flat[1:]
-        keep = np.ones(len(pairs), bool)
-        keep[np.cumsum(lengths + 1)[:-1] - 1] = False  # not from the end of a text to the beginning of the next
-        return pairs[keep], lengths
+            ids = np.fromiter((get(w, unknown) for w in words), np.int64, len(words))
+            before = np.concatenate([np.zeros(min(1, len(ids)), np.int64), ids[:-1]])
+            codes.append(before * self.size + ids)
+        return np.concatenate(codes) if codes else np.empty(0, np.int64), np.array([len(c) for c in codes], np.int64)
 
 
 def _count_bigrams(docs: DataFrame, vocabulary) -> DataFrame:
@@ -173,13 +171,13 @@ class Scorer:
 def train(docs: DataFrame, labels: DataFrame, max_words: int = 50_000, max_bigrams: int = 1_000_000) -> Scorer:
     """Count both models over all of ``docs`` and keep at most ``max_words`` words and ``max_bigrams`` bigrams of them."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     by_word = materialize(_count_words(texts), "word-counts")
     frequent = by_word.filter(F.col("n") >= count_threshold(by_word, max_words)).select("word")
     vocabulary = Vocabulary([r.word.encode() for r in frequent.collect()])  # at most max_words rows
     good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("good_id")).dropna().distinct()
-    flagged = texts.join(good, texts["doc_id"] == good["good_id"], "left").select("text", F.col("good_id").isNotNull().alias("is_target"))
+    flagged = texts.join(good.hint("merge"), texts["doc_id"] == good["good_id"], "left").select("text", F.col("good_id").isNotNull().alias("is_target"))
     shared = spark.sparkContext.broadcast(vocabulary)
     by_bigram = materialize(_count_bigrams(flagged, shared), "bigram-counts")
 
@@ -199,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, max_words: int = 50_000, max_bigra
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """``doc_id, n_words, target_loss, background_loss, score`` (losses a word, in nats) for every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, BATCH)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

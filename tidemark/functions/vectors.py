@@ -66,7 +66,8 @@ def bulk_bit_buckets(vector: Column, planes: np.ndarray, band_bits: int) -> Colu
         sides = np.where(np.array(rows.tolist(), float).reshape(len(rows), -1) @ planes.T >= 0, "1", "0")
         return pd.Series([[f"{b}:{''.join(row[b * band_bits : (b + 1) * band_bits])}" for b in range(n_bands)] for row in sides])
 
-    return keys(vector)
+    # not to be repeated in filters that the optimizer infers
+    return keys.asNondeterministic()(vector)
 
 
 def bit_buckets(vector: Column, planes: np.ndarray, band_bits: int) -> Column:

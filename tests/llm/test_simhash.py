@@ -4,7 +4,8 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import components, simhash as S
+from tidemark.llm import simhash as S
+from tidemark.operators import components
 
 
 def brute_fingerprint(text):

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, join_by_group, materialize
-from .components import connected
+from ..operators.components import connected
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 #: (lowest bit, number of bits) of the blocks, one or two more than the radius

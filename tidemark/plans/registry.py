@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import indicators, risk, similarity  # noqa: F401
+from . import indicators, learning, risk, similarity  # noqa: F401
 from .kit import ORACLES, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -29,7 +29,7 @@ SEED, SHINGLE, RADIUS = 42, 3, 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 HOT, CHUNK = 4096, 2048
 #: Words of 64 fingerprints that are compared at once: bounds the memory of a task.
-BLOCKS_AT_ONCE = 1 << 16
+BLOCKS_AT_ONCE = 1 << 13
 NO_ID = (1 << 63) - 1
 
 

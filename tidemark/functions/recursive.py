@@ -168,6 +168,8 @@ def hilbert(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     n = len(x)
     line, period_out = _blank(n), _blank(n)
+    if not n:
+        return line, period_out
     smooth = np.convolve(x, [0.4, 0.3, 0.2, 0.1])[:n]
     detrended, quadrature, in_phase = np.zeros(n), np.zeros(n), np.zeros(n)
     ji, jq = np.zeros(n), np.zeros(n)

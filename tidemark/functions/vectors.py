@@ -40,10 +40,10 @@ def z_scores(values: Column) -> Column:
 
     def scaled(xs: Column) -> Column:
         def by(mean: Column) -> Column:
-            spread = F.sqrt(total(F.transform(xs, lambda x: (x - mean) * (x - mean))) / F.size(xs))
+            spread = F.sqrt(total(F.transform(xs, lambda x: (x - mean) * (x - mean))) / F.nullif(F.size(xs), F.lit(0)))
             return let(spread, lambda sd: F.transform(xs, lambda x: F.when(sd > TINY, (x - mean) / F.greatest(sd, F.lit(TINY))).otherwise(0.0)))
 
-        return let(total(xs) / F.size(xs), by)
+        return let(total(xs) / F.nullif(F.size(xs), F.lit(0)), by)
 
     return let(values, scaled)
 

@@ -210,17 +210,24 @@ def _louvain(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _propagated(nodes: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
-    """Each node takes the label of the largest weight around it, its own included, until none changes."""
+    """Each node takes the label of the largest weight around it, the smallest of equals, until none changes.
+
+    In each round a half of the nodes that want to move does, another half each time, so that neighbours don't swap
+    labels for ever. A community is named by its smallest member.
+    """
     two_way = both_ways(links)
-    now = materialize(nodes.select("symbol", F.col("symbol").alias("community_id")), "labels")
-    for _ in range(rounds):
-        votes = two_way.join(now, two_way["dst"] == now["symbol"]).groupBy("src", "community_id").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy("src").agg(F.max_by("community_id", F.struct("w", F.hash("community_id"))).alias("to"))
-        new = materialize(now.join(best, now["symbol"] == best["src"], "left").select("symbol", F.least("community_id", F.coalesce("to", "community_id")).alias("community_id")), "labels")
-        if new.join(now.withColumnRenamed("community_id", "before"), "symbol").filter("community_id <> before").isEmpty():
-            return new
-        now = new
-    return now
+    now = materialize(nodes.select("symbol", F.col("symbol").alias("label")), "labels")
+    for k in range(4 * rounds):
+        votes = two_way.join(now, two_way["dst"] == now["symbol"]).groupBy("src", "label").agg(F.sum("weight").alias("w"))
+        best = votes.groupBy("src").agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("to"))
+        wants = F.col("to").isNotNull() & (F.col("to") != F.col("label"))
+        turn = F.pmod(F.xxhash64("symbol", F.lit(k)), F.lit(2)) == 0
+        moved = materialize(now.join(best, now["symbol"] == best["src"], "left").select("symbol", wants.alias("wants"), F.when(wants & turn, F.col("to")).otherwise(F.col("label")).alias("label")), "labels")
+        if moved.filter("wants").isEmpty():
+            break
+        now = moved.drop("wants")
+    named = now.groupBy("label").agg(F.min("symbol").alias("community_id"))
+    return now.join(named, "label").select("symbol", "community_id")
 
 
 def statistics(nodes: DataFrame, pairs: DataFrame, links: DataFrame, parts: DataFrame) -> DataFrame:

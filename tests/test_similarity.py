@@ -23,13 +23,13 @@ DOCS = [(1, "a b c d e f"), (2, "A b  c d e\nf"), (3, "a b c d e g"), (4, None),
 def test_signatures_in_plain_python(spark):
     df = spark.createDataFrame(DOCS, "doc_id long, text string")
     signed = minhash.with_signatures(minhash.text_shingles(df))
-    rows = {r.doc_id: r for r in signed.select("*", minhash.bands(F.col("signature")).alias("bands")).collect()}
+    rows = {r.doc_id: r for r in signed.select("*", minhash.bands(F.col("signature")).alias("bands"), minhash.signature(F.col("shingles")).alias("again")).collect()}
     a, b = minhash.coefficients()
     for doc_id, text in DOCS:
         words = (text or "").lower().split()
         shingles = sorted({md32(" ".join(words[i : i + 5])) for i in range(len(words) - 4)})
         sign = [min((x * s + y) % minhash.PRIME for s in shingles) if shingles else 0 for x, y in zip(a, b, strict=True)]
-        assert rows[doc_id].shingles == shingles and rows[doc_id].signature == sign
+        assert rows[doc_id].shingles == shingles and rows[doc_id].signature == rows[doc_id].again == sign
         assert rows[doc_id].bands == [md32("|".join(map(str, sign[k * 5 : k * 5 + 5]))) for k in range(20)]
     assert {r.doc_id: r.class_id for r in minhash.classes(signed).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6}
     pairs = minhash.candidate_pairs(signed).collect()
@@ -74,7 +74,7 @@ def test_both_ways_of_bucketing_agree(spark):
     rng = np.random.default_rng(1)
     planes = vectors.hyperplanes(6, 20, 42)
     df = spark.createDataFrame([(rng.normal(size=6).tolist(),) for _ in range(30)], "v array<double>")
-    for r in df.select("v", vectors.bit_buckets(F.col("v"), planes, 5).alias("a"), vectors.bulk_bit_buckets(F.col("v"), planes, 5).alias("b")).collect():
+    for r in vectors.with_bit_buckets(df, planes, 5, "v").withColumnRenamed("band_buckets", "b").withColumn("a", vectors.bit_buckets(F.col("v"), planes, 5)).collect():
         bits = "".join("1" if x >= 0 else "0" for x in planes @ np.array(r.v))
         assert r.a == r.b == [f"{k}:{bits[5 * k : 5 * k + 5]}" for k in range(4)]
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .expr import let
 
@@ -57,17 +60,18 @@ def literal(matrix: np.ndarray) -> Column:
     return F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in matrix])
 
 
-def bulk_bit_buckets(vector: Column, planes: np.ndarray, band_bits: int) -> Column:
-    """As ``bit_buckets``, one matrix product for each Arrow batch: for whole tables."""
+def with_bit_buckets(items: DataFrame, planes: np.ndarray, band_bits: int, column: str = "vector") -> DataFrame:
+    """``items`` with ``band_buckets``, as ``bit_buckets`` gives them, one matrix product for each Arrow batch."""
     n_bands = len(planes) // band_bits
 
-    @F.pandas_udf("array<string>")
-    def keys(rows: pd.Series) -> pd.Series:
-        sides = np.where(np.array(rows.tolist(), float).reshape(len(rows), -1) @ planes.T >= 0, "1", "0")
-        return pd.Series([[f"{b}:{''.join(row[b * band_bits : (b + 1) * band_bits])}" for b in range(n_bands)] for row in sides])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = np.array(batch.column(column).to_pylist(), float).reshape(batch.num_rows, -1)
+            bits = np.where(rows @ planes.T >= 0, "1", "0") if batch.num_rows else np.empty((0, len(planes)), str)
+            keys = [[f"{b}:{''.join(row[b * band_bits : (b + 1) * band_bits])}" for b in range(n_bands)] for row in bits]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.string()))], [*batch.schema.names, "band_buckets"])
 
-    # not to be repeated in filters that the optimizer infers
-    return keys.asNondeterministic()(vector)
+    return items.mapInArrow(run, T.StructType([*items.schema.fields, T.StructField("band_buckets", T.ArrayType(T.StringType()))]))
 
 
 def bit_buckets(vector: Column, planes: np.ndarray, band_bits: int) -> Column:

@@ -16,7 +16,7 @@ from ..sources.scratch import materialize
 
 def simhash_index(items: DataFrame, planes: np.ndarray, config: SimHashConfig = DEFAULT.simhash) -> DataFrame:
     """``items`` with ``band_buckets``."""
-    return items.withColumn("band_buckets", vectors.bulk_bit_buckets(F.col("vector"), planes, config.band_bits))
+    return vectors.with_bit_buckets(items, planes, config.band_bits)
 
 
 def bucket_candidates(queries: DataFrame, library: DataFrame, residual: Column | None = None) -> DataFrame:

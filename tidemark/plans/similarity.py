@@ -66,7 +66,7 @@ e2 AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC,
 
 
 def jaccard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _shingled(spark, sf_dir)
+    items = materialize(_shingled(spark, sf_dir), "shingles")
     return tidy(minhash.exact_top_k(items, _asked(items)), 6)
 
 

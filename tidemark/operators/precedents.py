@@ -146,6 +146,15 @@ def reason(df: DataFrame) -> Column:
     )
 
 
+def precedent_list(patterns: DataFrame, queries: DataFrame, planes: np.ndarray, side: str, k: int, simhash: SimHashConfig = DEFAULT.simhash) -> DataFrame:
+    """``query_id, item_id, cosine, fwd_return, fwd_down, rank`` of the ``k`` nearest precedents of one market, those of the target market earlier than the query."""
+    known = materialize(simhash_index(patterns.filter("fwd_down IS NOT NULL"), planes, simhash), "simhash-index")
+    asked = known.join(queries.select("id"), "id", "left_semi")
+    library = known.filter(F.col("market") == side)
+    earlier = None if side == "lib" else F.col("item_trade_date") < F.col("query_trade_date")
+    return top_k(with_cosine(bucket_candidates(asked, library, earlier), asked, library), k)
+
+
 def backtest(patterns: DataFrame, queries: DataFrame, planes: np.ndarray, simhash: SimHashConfig = DEFAULT.simhash, fusion: FusionConfig = DEFAULT.fusion) -> DataFrame:
     """Walk-forward verdicts of ``queries`` (target patterns of a known outcome), one row each.
 

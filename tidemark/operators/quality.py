@@ -97,3 +97,19 @@ def conversion(source: DataFrame, stored: DataFrame, source_bytes: int, stored_b
     """One row: both counts, really counted, whether they agree, and how much smaller the stored table is."""
     a, b = source.agg(F.count(F.lit(1)).alias("source_rows")), stored.agg(F.count(F.lit(1)).alias("stored_rows"))
     return a.crossJoin(b).select("source_rows", "stored_rows", (F.col("source_rows") == F.col("stored_rows")).alias("intact"), F.lit(source_bytes / max(1, stored_bytes)).alias("compression"))
+
+
+def spread(df: DataFrame, key: str, value: str) -> DataFrame:
+    """By key: rows, mean, median and 95th percentile, interpolated."""
+    q = F.percentile(value, [0.5, 0.95])
+    return df.groupBy(key).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), q.alias("_q")).select(key, "n", "mean", F.get("_q", F.lit(0)).alias("median"), F.get("_q", F.lit(1)).alias("p95"))
+
+
+def binned_means(df: DataFrame, by: str, value: str, bins: int = 8) -> DataFrame:
+    """``bin, n, mean_by, mean_value`` in bins between the quantiles of ``by``; bins with equal edges are one.
+
+    Edges come from one aggregate, so no row is ever ranked.
+    """
+    edges = F.broadcast(df.agg(F.array_distinct(F.percentile(by, [k / bins for k in range(1, bins)])).alias("_edges")))  # one row
+    number = F.aggregate("_edges", F.lit(1), lambda n, e: n + (F.col(by) > e).cast("int"))
+    return df.crossJoin(edges).groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(by).alias("mean_by"), F.avg(value).alias("mean_value"))

@@ -188,6 +188,12 @@ add("storage_size", lambda s, d: ticks.stored_size(s, f"{d}/lineitem.parquet"))
 add("schema_document", lambda s, d: s.createDataFrame([(k, f.name, f.dataType.simpleString(), f.nullable) for k, f in enumerate(documented_schema())], "position int, name string, type string, nullable boolean"))
 
 
+add("value_spread", lambda s, d: tidy(quality.spread(adapters.ticks(s, d), "symbol", "price")),
+    f"SELECT event_type AS symbol, count(value) AS n, {sql.rounded('avg(value)')} AS mean, {sql.rounded('quantile_cont(value, 0.5)')} AS median, {sql.rounded('quantile_cont(value, 0.95)')} AS p95 FROM events GROUP BY 1")
+add("binned_means", lambda s, d: tidy(quality.binned_means(adapters.bars(s, d), "close", "volume")), f"""WITH {sql.BARS}, e AS (SELECT list_distinct(quantile_cont(close, [{", ".join(f"{k / 8}" for k in range(1, 8))}])) AS edges FROM bars)
+SELECT (1 + len(list_filter(edges, lambda x: close > x)))::INT AS bin, count(*) AS n, {sql.rounded("avg(close)")} AS mean_by, {sql.rounded("avg(volume)")} AS mean_value FROM bars CROSS JOIN e GROUP BY 1""")
+
+
 def return_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily log returns in 20 bins between -5 and 5, and what lies beyond."""
     r = adapters.bars(spark, sf_dir).withColumn("r", features.sequence_features()["log_return"]).filter("r IS NOT NULL")

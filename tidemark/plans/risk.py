@@ -138,4 +138,16 @@ mat AS MATERIALIZED (SELECT s.symbol AS s, t.symbol AS t, CASE WHEN s.degree = 0
 pr AS (SELECT 0 AS step, symbol, 1 / n AS x FROM nodes CROSS JOIN n0
   UNION ALL SELECT any_value(pr.step) + 1, mat.t, 0.85::DOUBLE * sum(mat.v * pr.x) + 0.15::DOUBLE / any_value(n0.n) FROM pr JOIN mat ON mat.s = pr.symbol CROSS JOIN n0 WHERE pr.step < 150 GROUP BY mat.t)
 SELECT symbol, {sql.rounded("x", 6)} AS pagerank_score, (row_number() OVER (ORDER BY x DESC, symbol))::INT AS rank FROM pr WHERE step = 150""")
+
+
+def graph_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of at least 0.22 among the ten strongest nodes: what a network chart shows."""
+    g = _Graph(spark, sf_dir)
+    top = F.broadcast(graph.degrees(g.nodes, g.edges).orderBy(F.desc("strength"), "symbol").limit(10).select("symbol"))
+    inside = g.edges.filter("weight >= 0.22").join(top.withColumnRenamed("symbol", "src"), "src").join(top.withColumnRenamed("symbol", "dst"), "dst")
+    return tidy(inside.select("src", "dst", "weight"), 6)
+
+
+add("graph_top", graph_top, f"""WITH {CORR}, top AS (SELECT symbol FROM deg ORDER BY strength DESC, symbol LIMIT 10)
+SELECT src, dst, {sql.rounded("weight", 6)} AS weight FROM edges WHERE weight >= 0.22::DOUBLE AND src IN (SELECT symbol FROM top) AND dst IN (SELECT symbol FROM top)""")
 add("communities", lambda s, d: (g := _Graph(s, d)) and graph.communities(g.nodes, g.edges))

@@ -213,6 +213,16 @@ add("backtest_metrics", lambda s, d: tidy(precedents.backtest_metrics(verdicts_w
 add("backtest_by_label", lambda s, d: tidy(precedents.by_label(verdicts_walk_forward(s, d)), 6),
     _verdict_sql(_WALK, f"SELECT label, count(*) AS n, {sql.rounded('avg(actual_down)', 6)} AS p_down, {sql.rounded('avg(fwd_return)', 6)} AS mean_return FROM verdicts WHERE lib_n > 0 OR tgt_n > 0 GROUP BY label"))
 
+
+
+def precedent_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest library precedents of each symbol's latest target pattern."""
+    known = all_patterns(spark, sf_dir)
+    return tidy(precedents.precedent_list(known, _latest(known), PLANES, "lib", 10), 6)
+
+
+add("precedent_list", precedent_list, _verdict_sql(_LATEST, f"SELECT query_id, item_id, {sql.tidy(['cosine', 'fwd_return'], 6)}, fwd_down, r::INT AS rank FROM lib3 WHERE r <= 10"))
+
 _CHECKS = ", ".join(f"('{m}', {t}::DOUBLE, {str(r).lower()})" for m, t, r in precedents.SANITY_CHECKS)
 _DIST = """SELECT market, avg(fwd_down) AS base_rate_down, avg((fwd_return > 0)::INT) AS p_up, avg(fwd_return) AS mean_fwd_return, stddev_samp(fwd_return) AS std_fwd_return, avg(abs(fwd_return)) AS volatility_fwd,
 quantile_cont(fwd_return, 0.95) AS fwd_return_p95, quantile_cont(fwd_return, 0.05) AS fwd_return_p05 FROM patterns WHERE fwd_down IS NOT NULL GROUP BY market"""

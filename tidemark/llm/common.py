@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import let
 from ..sources.scratch import materialize, scratch_path
 
-__all__ = ["BLANKS", "BLANK_RUN", "bounded_batches", "bounded_labels", "join_by_group", "let", "materialize", "read_table", "scratch_path"]
+__all__ = ["BLANKS", "BLANK_RUN", "bounded_batches", "NO_ID", "bounded_labels", "id_key", "join_by_group", "let", "materialize", "read_table", "scratch_path"]
 
 #: Regex class of the blanks that separate words, as `[\x20\x09-\x0D]`.
 BLANKS = " \t\n\x0b\f\r"
@@ -38,6 +38,15 @@ def bounded_labels(labels: DataFrame, value: Column, limit: int) -> DataFrame:
     return clean.limit(limit)
 
 
+#: Stands for a null ``doc_id`` where ids are compared; larger than any other.
+NO_ID = (1 << 63) - 1
+
+
+def id_key(column: str = "doc_id") -> Column:
+    """A document's id as a join key that is never null: null ids are one document."""
+    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
+
+
 #: A group that holds at least 1 / HEAVY_SHARE of all rows is joined by broadcast: there are at most that many.
 HEAVY_SHARE = 1000
 

@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK_RUN, join_by_group, materialize, scratch_path
+from .common import BLANK_RUN, id_key, join_by_group, materialize, scratch_path
 
 
 def text_digest(text: Column) -> Column:
@@ -88,8 +88,8 @@ def fresh_index(spark: SparkSession, label: str = "digest_index") -> DigestIndex
 
 def drop_duplicates(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The rows of ``docs`` whose document is kept, with all their columns; of a repeated row one stays."""
-    kept = deduplicate(docs, index).filter("kept").select(F.col("doc_id").alias("_kept_id"), "text_sha256")
-    columns = docs.columns
-    marked = docs.withColumn("_digest", text_digest(F.col("text")))
-    joined = marked.join(kept.hint("merge"), marked["doc_id"].eqNullSafe(kept["_kept_id"]) & (marked["_digest"] == kept["text_sha256"]), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_digest"]).select(*columns)
+    keys = ["__key", "__digest"]
+    kept = deduplicate(docs, index).filter("kept").select(id_key().alias("__key"), F.col("text_sha256").alias("__digest"))
+    marked = docs.withColumns({"__key": id_key(), "__digest": text_digest(F.col("text"))})
+    # one shuffle of the texts: what the join is dealt by serves the removal of repeated rows, too
+    return marked.join(kept.hint("merge"), keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, join_by_group, materialize
+from .common import NO_ID, bounded_batches, id_key, join_by_group, materialize
 from ..operators.components import connected
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
@@ -30,7 +30,6 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 HOT, CHUNK = 4096, 2048
 #: Words of 64 fingerprints that are compared at once: bounds the memory of a task.
 BLOCKS_AT_ONCE = 1 << 13
-NO_ID = (1 << 63) - 1
 
 
 def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
@@ -218,5 +217,6 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE)
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest of its component, with all their columns; of a repeated id one row."""
-    kept = near_duplicates(docs, radius, size).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    kept = near_duplicates(docs, radius, size).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_key().alias("__key")).distinct()
+    # one shuffle of the texts: what the join is dealt by serves the removal of repeated rows, too
+    return docs.withColumn("__key", id_key()).join(kept.hint("merge"), "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, bounded_labels, materialize
+from .common import bounded_batches, bounded_labels, id_key, materialize
 
 DOMAINS = ("clean", "low_quality", "toxic")
 
@@ -252,8 +252,9 @@ def resample(docs: DataFrame, labels: DataFrame, target_weights: dict[str, float
 
     The rates are joined by ``doc_id`` (rows that repeat an id share one decision, that of the highest rate).
     """
-    decided = mix(docs, labels, target_weights, budget, max_rate).groupBy("doc_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0").withColumnRenamed("doc_id", "_mixed_id")
-    joined = docs.join(decided, docs["doc_id"].eqNullSafe(decided["_mixed_id"]))
+    rated = mix(docs, labels, target_weights, budget, max_rate)
+    decided = rated.groupBy(id_key().alias("__key")).agg(F.max("copies").alias("__copies")).filter("__copies > 0")
+    joined = docs.withColumn("__key", id_key()).join(decided.hint("merge"), "__key")
     if max_rate is not None and max_rate <= 1:
         return joined.select(*docs.columns)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns)

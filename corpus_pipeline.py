@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import digest_index, gam, packing, simhash, soft_mixing
+from tidemark.llm import digest_index, gam, near_copies, packing, soft_mixing
 from tidemark.llm.common import materialize, read_table
 from tidemark.llm.queries import WORD_BPE, tokenizer_path
 
@@ -26,8 +26,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id."""
-    return simhash.one_of_each(docs.select(*COLUMNS))
+    """Of each component of near copies (five-word shingles, Jaccard similarity of at least 0.8) the document with the smallest id."""
+    return near_copies.one_of_each(docs.select(*COLUMNS))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

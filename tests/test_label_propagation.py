@@ -1,0 +1,11 @@
+import pytest
+
+from tidemark.operators import graph
+
+
+def test_raises_where_labels_still_move(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SMALL", 0)
+    nodes = spark.range(60).withColumnRenamed("id", "symbol")
+    links = spark.createDataFrame([(k, k + 1, 1.0 + k) for k in range(59)], "src long, dst long, weight double")
+    with pytest.raises(RuntimeError, match="no convergence"):
+        graph.communities(nodes, links, rounds=1)

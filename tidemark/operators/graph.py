@@ -213,7 +213,7 @@ def _propagated(nodes: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
     """Each node takes the label of the largest weight around it, the smallest of equals, until none changes.
 
     In each round a half of the nodes that want to move does, another half each time, so that neighbours don't swap
-    labels for ever. A community is named by its smallest member.
+    labels for ever. Raises if some still want to after ``4 * rounds``. A community is named by its smallest member.
     """
     two_way = both_ways(links)
     now = materialize(nodes.select("symbol", F.col("symbol").alias("label")), "labels")
@@ -226,6 +226,8 @@ def _propagated(nodes: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
         if moved.filter("wants").isEmpty():
             break
         now = moved.drop("wants")
+    else:
+        raise RuntimeError(f"no convergence in {4 * rounds} rounds")
     named = now.groupBy("label").agg(F.min("symbol").alias("community_id"))
     return now.join(named, "label").select("symbol", "community_id")
 

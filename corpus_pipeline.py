@@ -32,7 +32,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents at rates of at most 1 that bring the domains to their target weights; clean documents keep rate 1."""
-    return soft_mixing.resample(docs.select(*COLUMNS), read_table(spark, sf_dir, "labels"), max_rate=1.0)
+    return soft_mixing.resample(docs.select(*COLUMNS), read_table(spark, sf_dir, "labels"), budget=None, max_rate=1.0)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -193,9 +193,10 @@ class Rates:
         return F.aggregate(history, F.lit(1.0), step)
 
 
-def fit_rates(posteriors: DataFrame, target_weights: dict[str, float], budget: float = 1.0, max_rate: float | None = None, penalty: float = 1e-3, iterations: int = 40, tolerance: float = 1e-4) -> Rates:
+def fit_rates(posteriors: DataFrame, target_weights: dict[str, float], budget: float | None = 1.0, max_rate: float | None = None, penalty: float = 1e-3, iterations: int = 40, tolerance: float = 1e-4) -> Rates:
     """Rates whose expected domain token totals match ``target_weights`` of ``budget`` times all tokens.
 
+    A budget of None is the one at which the target of the clean domain is what there is of it.
     ``posteriors`` should be materialised. Stops when every domain is within ``tolerance`` of its target, relative to
     all tokens, or when a step changes no residual by a tenth of that, or after ``iterations``.
     """
@@ -203,7 +204,8 @@ def fit_rates(posteriors: DataFrame, target_weights: dict[str, float], budget: f
         raise ValueError(f"weights for {DOMAINS} are needed, none negative, not all 0")
     names = [f"p_{d}" for d in DOMAINS]
     whole = sum(target_weights.values())
-    targets = [budget * target_weights[d] / whole for d in DOMAINS]
+    if budget is None and not target_weights["clean"]:
+        raise ValueError("a budget is needed where no clean text is wanted")
     tokens = F.col("n_tokens").cast("double")
     first = posteriors.agg(F.sum(tokens), *[F.sum(tokens * F.col(n)) for n in names]).first()
     total = first[0] or 0.0
@@ -211,6 +213,9 @@ def fit_rates(posteriors: DataFrame, target_weights: dict[str, float], budget: f
         return Rates((), 1.0, penalty, max_rate)
     present = [max(x / total, 1e-6) for x in first[1:]]
     shares = [x / total for x in first[1:]]
+    if budget is None:
+        budget = shares[DOMAINS.index("clean")] * whole / target_weights["clean"]
+    targets = [budget * target_weights[d] / whole for d in DOMAINS]
     # every row of the scaled Gram matrix sums to at most 1, so its norm is at most 1 and this step is safe
     rate = 1 / (1 + penalty)
     steps: list[tuple[float, ...]] = []
@@ -231,7 +236,7 @@ def fit_rates(posteriors: DataFrame, target_weights: dict[str, float], budget: f
 TARGETS = {"clean": 0.94, "low_quality": 0.04, "toxic": 0.02}
 
 
-def mix(docs: DataFrame, labels: DataFrame, target_weights: dict[str, float] | None = None, budget: float = 1.0, max_rate: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, target_weights: dict[str, float] | None = None, budget: float | None = 1.0, max_rate: float | None = None) -> DataFrame:
     """``doc_id, n_tokens``, posteriors, ``rate`` and ``copies`` for every row of ``docs``.
 
     ``copies`` is the rate rounded up or down by a hash of the id, so its expectation is the rate.
@@ -247,7 +252,7 @@ def copies(doc_id: Column, rate: Column) -> Column:
     return (F.floor(rate) + (chance < rate - F.floor(rate)).cast("long")).cast("long")
 
 
-def resample(docs: DataFrame, labels: DataFrame, target_weights: dict[str, float] | None = None, budget: float = 1.0, max_rate: float | None = None) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, target_weights: dict[str, float] | None = None, budget: float | None = 1.0, max_rate: float | None = None) -> DataFrame:
     """The rows of ``docs`` as often as ``mix`` says, with all their columns.
 
     The rates are joined by ``doc_id`` (rows that repeat an id share one decision, that of the highest rate).

@@ -29,6 +29,11 @@ def _count(text: Column, character: str) -> Column:
     return (F.char_length(text) - F.char_length(F.replace(text, F.lit(character), F.lit("")))).cast("long")
 
 
+def _count_class(text: Column, characters: str) -> Column:
+    """How often the ASCII characters of a regex class stand in a text."""
+    return F.octet_length(F.regexp_replace(text, f"[^{characters}]++", "")).cast("long")
+
+
 def repeated_words(words: Column) -> Column:
     """Words that lie in a 3-word window which the text holds at least twice, each word counted once."""
 
@@ -74,8 +79,8 @@ def _line_counts(text: Column) -> Column:
 
 #: Shape features, none of which knows labels, language, source or id.
 FEATURES = (
-    "log_words", "mean_word", "symbol_share", "exclaim_share", "pipe_share", "comma_share",
-    "repeat_share", "distinct_share", "dup_line_share", "line_words",
+    "log_words", "mean_word", "symbol_share", "upper_share", "exclaim_share", "pipe_share", "digit_share",
+    "comma_share", "repeat_share", "distinct_share", "dup_line_share", "line_words",
 )
 
 
@@ -87,6 +92,7 @@ def with_counts(docs: DataFrame, *also: str) -> DataFrame:
         _repeat_counts(F.col("_text")).alias("_r"),
         _line_counts(F.col("_text")).alias("_l"),
         *[_count(F.col("_text"), character).alias(f"_n{k}") for k, character in enumerate(SYMBOLS + "!,")],
+        _count_class(F.col("_text"), "A-Z").alias("n_upper"), _count_class(F.col("_text"), "0-9").alias("n_digit"),
     )
     # a generator of one row, through which no expression is substituted: each count is computed once however often it is used
     counted = slim.select("doc_id", *also, F.inline(F.array(counts)))
@@ -94,6 +100,7 @@ def with_counts(docs: DataFrame, *also: str) -> DataFrame:
     return counted.select(
         "doc_id", *also, "_r.*", "_l.*", reduce(add, by_symbol).alias("n_symbols"), by_symbol[SYMBOLS.index("|")].alias("n_pipe"),
         F.col(f"_n{len(SYMBOLS)}").alias("n_exclaim"), F.col(f"_n{len(SYMBOLS) + 1}").alias("n_comma"),
+        "n_upper", "n_digit",
     )
 
 
@@ -107,8 +114,10 @@ def with_features(counts: DataFrame) -> DataFrame:
         "log_words": F.log1p(F.col("n_words").cast("double")),
         "mean_word": share("word_chars", "n_words"),
         "symbol_share": share("n_symbols", "word_chars"),
+        "upper_share": share("n_upper", "word_chars"),
         "exclaim_share": share("n_exclaim", "n_words"),
         "pipe_share": share("n_pipe", "n_words"),
+        "digit_share": share("n_digit", "word_chars"),
         "comma_share": share("n_comma", "n_words"),
         "repeat_share": share("n_repeat_words", "n_words"),
         "distinct_share": share("n_distinct", "n_words"),

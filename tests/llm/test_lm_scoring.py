@@ -2,11 +2,13 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import lm_scoring as L
 
-DOCS = [(1, "The cat sat on the mat, the cat."), (2, "the dog sat; THE dog ran é"), (3, None), (4, ""), (5, "cat dog"), (5, "cat dog"), (None, "zzz the"), (6, "!!"), (7, "the cat ran " * 400)]
+DOCS = [(1, "The cat sat on the mat, the cat."), (2, "the dog sat; THE dog ran é"), (3, None), (4, ""), (5, "cat dog"), (5, "cat dog"), (None, "zzz the"), (6, "!!"), (7, "the cat ran " * 400), (None, "the the the")]
 LABELS = [(1, 1), (2, 0), (5, 1), (None, 1), (9, 1), (1, 1)]
 
 
@@ -14,59 +16,121 @@ def words(text):
     return re.findall(r"[0-9a-z\x80-\U0010ffff]+", (text or "").lower())
 
 
-def brute(docs, labels, kept_words, kept_pairs):
+class Brute:
+    """One of the two models, over all words and bigrams."""
+
+    def __init__(self, every, own):
+        self.pairs, self.words, self.contexts = Counter(), Counter(), Counter()
+        for s in own:
+            self.pairs.update(zip(["<s>", *s], s, strict=False))
+            self.words.update(s)
+            self.contexts.update(["<s>", *s][:-1] if s else [])
+        self.shares, self.total = Counter(w for s in every for w in s), sum(map(len, every))
+
+    def p(self, h, w):
+        prior = (self.words[w] + L.STRENGTH * self.shares[w] / self.total) / (sum(self.words.values()) + L.STRENGTH)
+        return (self.pairs[h, w] + L.STRENGTH * prior) / (self.contexts[h] + L.STRENGTH)
+
+    def loss(self, s):
+        return -sum(math.log(self.p(h, w)) for h, w in zip(["<s>", *s], s, strict=False))
+
+
+def brute_models(docs, labels):
     good = {i for i, q in labels if q == 1 and i is not None}
-    out = {}
-    sequences = [(i, ["<s>", *[w if w in kept_words else "<unk>" for w in words(t)]]) for i, t in docs]
-    vocabulary = {"<unk>", *kept_words}
-    models = []
-    for take in (good, None):
-        pairs, unigrams, contexts = Counter(), Counter(), Counter()
-        for i, s in sequences:
-            if take is None or i in take:
-                pairs.update(zip(s, s[1:], strict=False))
-                unigrams.update(s[1:])
-                contexts.update(s[:-1])
-        models.append((pairs, unigrams, contexts))
-
-    def loss(model, h, w):
-        pairs, unigrams, contexts = model
-        part = lambda v: max(pairs[h, v] - L.DISCOUNT, 0) / max(contexts[h], 1) if (h, v) in kept_pairs else 0
-        backoff = 1 - sum(part(v) for v in vocabulary)
-        return -math.log(part(w) + backoff * (unigrams[w] + L.ADDED) / (sum(unigrams.values()) + L.ADDED * len(vocabulary)))
-
-    for k, (_, s) in enumerate(sequences):
-        n = len(s) - 1
-        out[k] = (n, *[sum(loss(m, h, w) for h, w in zip(s, s[1:], strict=False)) / n if n else None for m in models])
-    return out
-
-
-@pytest.mark.parametrize(("max_words", "max_bigrams"), [(1000, 1000), (3, 1000), (1000, 4)])
-def test_against_brute_force(spark, max_words, max_bigrams):
-    df = spark.createDataFrame([(*d, 0) for d in DOCS], "doc_id long, text string, score int")
-    labels = spark.createDataFrame(LABELS, "doc_id long, quality int")
-    scorer = L.train(df, labels, max_words, max_bigrams)
-    names = {k: w.decode() for w, k in scorer.vocabulary.ids.items()} | {0: "<s>", 1: "<unk>"}
-    kept_pairs = {(names[c // scorer.vocabulary.size], names[c % scorer.vocabulary.size]) for c in scorer.target.codes.tolist()}
-    assert len(scorer.vocabulary.ids) <= max_words and len(kept_pairs) <= max_bigrams
-    found = brute(DOCS, LABELS, {w.decode() for w in scorer.vocabulary.ids}, kept_pairs)
-    want = sorted(((DOCS[k][0], *v) for k, v in found.items()), key=repr)
-    got = sorted(((r.doc_id, r.n_words, r.target_loss, r.background_loss) for r in L.score(df, scorer).collect()), key=repr)
+    every = [words(t) for _, t in docs]
+    return Brute(every, [words(t) for i, t in docs if i in good]), Brute(every, every)
+
+
+def brute(docs, labels):
+    models = brute_models(docs, labels)
+    return [(i, len(s := words(t)), *[m.loss(s) / len(s) if s else None for m in models]) for i, t in docs]
+
+
+def assert_same(got, want):
+    order = lambda r: (repr(r[:2]), r[2] or 0)
     assert len(got) == len(want)
-    for a, b in zip(got, want, strict=True):
-        assert a[:2] == b[:2] and all(x == y or x == pytest.approx(y) for x, y in zip(a[2:], b[2:], strict=True))
+    for a, b in zip(sorted(got, key=order), sorted(want, key=order), strict=True):
+        assert a[:2] == b[:2] and all(x == y or x == pytest.approx(y, abs=1e-6) for x, y in zip(a[2:], b[2:], strict=True))
 
 
-def test_models_are_distributions(spark, small):
-    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
-    scorer = L.train(docs, labels, max_words=300, max_bigrams=2000)
-    size = scorer.vocabulary.size
-    for model in (scorer.target, scorer.background):
-        assert model.unigram.sum() == pytest.approx(1)
-        kept = [0.0] * size
-        for c, d in zip(model.codes.tolist(), model.discounted.tolist(), strict=True):
-            kept[c // size] += d
-        assert all(k + b == pytest.approx(1) for k, b in zip(kept, model.backoff.tolist(), strict=True))
+@pytest.mark.parametrize("partitions", ["1", "4", "1000"])  # from a few frequent words to none that is not
+@pytest.mark.parametrize("broadcast", [0, 10])
+def test_against_brute_force(spark, partitions, broadcast):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    df = spark.createDataFrame([(*d, 0, "r") for d in DOCS], "doc_id long, text string, score int, row string")
+    labels = spark.createDataFrame(LABELS, "doc_id long, quality int")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions if partitions != "1000" else "20")
+    try:
+        got = [(r.doc_id, r.n_words, r.target_loss, r.background_loss) for r in L.cross_entropy_difference(df, labels, broadcast).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert_same(got, brute(DOCS, LABELS))
+
+
+def test_models_are_distributions():
+    for model in brute_models(DOCS, LABELS):
+        for h in ["<s>", "the", "cat", "zzz", "never"]:
+            assert sum(model.p(h, w) for w in model.shares) == pytest.approx(1)
+
+
+@pytest.mark.parametrize(("n_words", "n_bytes"), [(1 << 20, 1 << 22), (50, 16), (1, 1)])
+@pytest.mark.parametrize("n_frequent", [0, 3, 1000])
+def test_chunks_of_any_size_give_the_same(monkeypatch, n_words, n_bytes, n_frequent):
+    """Mapper and reducer in one process, with texts cut anywhere and any words dealt apart."""
+    monkeypatch.setattr(L, "WORDS_AT_ONCE", n_words)
+    monkeypatch.setattr(L, "BYTES_AT_ONCE", n_bytes)
+    rng = np.random.default_rng(3)
+    docs = [*DOCS, *[(100 + k, " ".join(f"w{x}" for x in rng.zipf(1.4, 60) if x < 500)) for k in range(30)]]
+    labels = [*LABELS, *[(100 + k, k % 2) for k in range(30)]]
+    good = {i for i, q in labels if q == 1 and i is not None}
+    batch = pa.RecordBatch.from_arrays([pa.array([(1 << 33) * (k % 2) + k for k in range(len(docs))]), pa.array([d[0] for d in docs]), pa.array([d[0] in good for d in docs]), pa.array([d[1] or "" for d in docs])], ["row", "doc_id", "is_target", "text"])
+    background = brute_models(docs, labels)[1]
+    common = [w for w, _ in background.words.most_common(n_frequent)]
+    pairs = [(w, h) for (h, w), _ in background.pairs.most_common(n_frequent // 3) if w in common and h != "<s>"]
+    hashed = lambda ws: L._hashes([w.encode() for w in ws])
+    names = np.array(sorted(hashed(common).tolist()), np.uint64)
+    coded = np.stack([hashed([p[0] for p in pairs]), hashed([p[1] for p in pairs])], axis=1).reshape(-1, 2)
+    coded = coded[np.argsort(L.pair_codes(coded[:, 0], coded[:, 1]))]
+    asked = L.Frequent(names, np.zeros((len(names), 4), np.int64), coded, np.zeros((len(coded), 2), np.int64))
+    totals = L.Totals()
+    for chunk in L.chunks(iter([batch])):
+        for r in L._tally(chunk, None, asked).to_pylist():
+            told = np.array([r["n"], r["n_target"], r["n_last"], r["n_last_target"]])
+            w, h = (np.array([r[c]], np.int64).view(np.uint64) for c in ("word", "context"))
+            if r["kind"] == L.TOTAL:
+                totals = L.Totals(*(np.array([totals.tokens, totals.target_tokens, totals.texts, totals.target_texts]) + told).tolist())
+            elif r["kind"] == L.WORD:
+                asked.counts[asked.places(w)[0]] += told
+            else:
+                asked.pair_counts[asked.pair_places(w, h)[0]] += told[:2]
+    models, sums, buckets = L.Models(totals, asked), Counter(), {}
+    ids, n = {}, Counter()
+    for chunk in L.chunks(iter([batch])):
+        for p in zip(*[c.to_pylist() for c in L.parcels(chunk, models, 5).columns], strict=True):
+            if p[1] == L.TEXTS:
+                for row, i, none, size, t, b in zip(*[np.frombuffer(x, bool if k == 2 else np.int64).tolist() for k, x in enumerate(p[3:])], strict=True):
+                    ids[row] = None if none else i
+                    n[row] += size
+                    sums[row, 0] += t
+                    sums[row, 1] += b
+            else:
+                buckets.setdefault(p[0], []).append(L._opened(p))
+    for opened in buckets.values():
+        for r in L.scored(opened, models).to_pylist():
+            sums[r["row"], 0] += r["target"]
+            sums[r["row"], 1] += r["background"]
+    got = [(ids[row], n[row], *[sums[row, k] / L.UNIT / n[row] if n[row] else None for k in range(2)]) for row in ids]
+    assert_same(got, brute(docs, labels))
+
+
+def test_very_frequent_bigrams_are_counted_apart(spark):
+    docs = [(k, "again and again") for k in range(50)] + [(100 + k, f"a{k} b{k} c{k} d{k}") for k in range(50)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("row", L.F.monotonically_increasing_id()).withColumn("is_target", L.F.lit(False))
+    totals, found = L.count_frequent(df.select("row", "doc_id", "is_target", "text"), 1)
+    assert totals == L.Totals(350, 0, 100, 0) and len(found.words) <= 16 and len(found.pairs) <= 16
+    again, both = L._hashes([b"again", b"and"])
+    assert found.counts[found.places(np.array([again]))[0]].tolist() == [100, 0, 50, 0]
+    assert found.pair_counts[found.pair_places(np.array([again]), np.array([both]))[0]].tolist() == [50, 0]
 
 
 def test_good_text_scores_lower(spark, small):
@@ -80,12 +144,5 @@ def test_empty_tables(spark):
     df = spark.createDataFrame(DOCS, "doc_id long, text string")
     labels = spark.createDataFrame(LABELS, "doc_id long, quality int")
     assert L.cross_entropy_difference(df.limit(0), labels).count() == 0
-    assert L.cross_entropy_difference(df, labels.limit(0)).count() == len(DOCS)
-
-
-def test_threshold_bounds_the_rows(spark):
-    counts = spark.range(1, 2000).selectExpr("id % 97 + 1 AS n")
-    for bound in (0, 5, 100, 5000):
-        t = L.count_threshold(counts, bound)
-        assert counts.filter(f"n >= {t}").count() <= bound
-    assert L.count_threshold(counts, 5000) == 1
+    got = L.cross_entropy_difference(df, labels.limit(0)).collect()
+    assert_same([(r.doc_id, r.n_words, r.target_loss, r.background_loss) for r in got], brute(DOCS, []))

@@ -1,218 +1,481 @@
 """Cross-entropy difference between two n-gram language models.
 
 The target model is counted over the documents that the label table calls good, the background model over all
-documents. Both are matched: one vocabulary, one set of kept bigrams, the same smoothing, so their losses differ by
-their counts alone. A document's score is the mean over its tokens of target loss minus background loss: the lower,
+documents. Both are matched: one vocabulary, the words of all documents, and the same smoothing, so their losses differ
+by their counts alone. A document's score is the mean over its tokens of target loss minus background loss: the lower,
 the closer to the target.
 
-Counts cover all texts and are exact: tasks count what they read and the sums are shuffled, so what is gathered grows
-with the corpus. A model is then pruned to a fixed size, as back-off models are: of the words and of the bigrams the
-most frequent ones are kept, with a threshold on their counts; what is pruned is smoothed by the unigrams, and each
-context's probabilities still sum to one. So the broadcast model has a size that the parameters bound.
+    p(w | h) = (c(h, w) + STRENGTH p(w)) / (c(h) + STRENGTH),    p(w) = (c(w) + STRENGTH q(w)) / (c() + STRENGTH)
 
-    p(w | h) = max(c(h, w) - D, 0) / c(h)  if (h, w) is kept,  + b(h) p(w),   b(h) = 1 - sum over kept of the first term
+with q(w) the share of a word in all documents, so every word of the corpus has a probability in either model, and the
+probabilities of each context sum to one. Nothing is pruned: all words and all bigrams count, however many there are,
+so what the models hold grows with the corpus, and no table of it is ever in one place.
+
+Counts meet the documents in one shuffle. A task numbers the words of some texts, counts the bigrams of each text and
+deals them out by word, in parcels of one row for each bucket of words. A bucket thus has all that the two models know
+about its words: c(h, w) and c(w), and c(h) of its words as contexts, whose logarithms are a term of their own. Losses
+are summed by document in fixed point, so the order of tasks does not matter. Words and bigrams that hold too large a
+share of all tokens for one bucket are counted beforehand, by exact sums over all texts, and broadcast: at most
+``16 x partitions`` of either. Their losses are added where they stand; other bigrams of such words are dealt by bigram.
+A word is told by 64 bits of its hash.
 
 Contract: null texts count as empty; documents without words have no losses (null); labels without a document are
-ignored; rows may repeat and are counted and scored each on its own; an empty table gives an empty result; other
-columns are ignored.
+ignored, and where values for an id differ, one that calls it good counts; rows may repeat and are counted and scored
+each on its own; without target documents the target model is that of the words' shares alone; an empty table gives an empty result; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialize
 
 _BLANKED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-#: Words that a task counts before it hands its counts on: bounds its memory.
-COUNTED_AT_ONCE = 1 << 20
-#: Arrow batches of texts: a task holds several arrays over the words of one.
+#: Words and texts that a task numbers at once, and bytes of a text that it splits at once: bounds its memory.
+WORDS_AT_ONCE, TEXTS_AT_ONCE, BYTES_AT_ONCE = 1 << 20, 1 << 16, 1 << 22
+#: Arrow batches of texts.
 BATCH = "4m"
-DISCOUNT, ADDED = 0.75, 0.5
-
+#: Tokens that a bucket gets on average, entries that are scored at once.
+BUCKET_TOKENS, ENTRIES_AT_ONCE = 1 << 18, 1 << 21
+STRENGTH = 100.0
+#: Fixed point of the summed losses.
+UNIT = 1 << 24
+#: At most so many labelled documents are broadcast; beyond, texts are joined by a shuffle.
+MAX_BROADCAST_LABELS = 1_000_000
+#: Numbers of what is no word: before the first word of a text, after its last one.
+BEGIN, END = 0, 1
+_NO_WORDS = (b"", b" ")
 
-def words_of(text: str) -> list[bytes]:
-    """Lower-cased words: runs of letters, digits and non-ASCII characters, in UTF-8."""
-    return text.lower().encode().translate(_BLANKED).split()
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
-def _count_words(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-        seen = 0
 
-        def emitted() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+BEGIN_HASH, END_HASH = _hashes(list(_NO_WORDS)).tolist()
 
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                counts.update(words)
-                seen += len(words)
-                if seen >= COUNTED_AT_ONCE:
-                    yield emitted()
-                    counts.clear()
-                    seen = 0
-        yield emitted()
-
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def count_threshold(counts: DataFrame, bound: int, column: str = "n") -> int:
-    """The least count such that at most ``bound`` rows have it or more, from a histogram with eight classes to a doubling."""
-    classes = counts.groupBy(F.floor(F.log2(column) * 8).alias("class")).agg(F.min(column).alias("least"), F.count(F.lit(1)).alias("rows"))
-    threshold, kept = None, 0
-    for r in sorted(classes.collect(), key=lambda r: -r["class"]):  # at most 8 x 63 rows
-        kept += r["rows"]
-        if kept > bound:
-            break
-        threshold = r["least"]
-    return threshold if threshold is not None else 1 << 62
-
-
-class Vocabulary:
-    """Numbers of words: 0 begins a text, 1 is any word that was pruned, the others follow in the order of the words."""
-
-    def __init__(self, words: list[bytes]):
-        self.ids = {w: k for k, w in enumerate(sorted(words), 2)}
-        self.size = len(words) + 2
-
-    def bigrams(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Bigram codes (context x size + word) of all the texts, and how many each has."""
-        get, unknown = self.ids.get, 1
-        codes = []
-        for text in texts:
-            words = words_of(text)
-            ids = np.fromiter((get(w, unknown) for w in words), np.int64, len(words))
-            before = np.concatenate([np.zeros(min(1, len(ids)), np.int64), ids[:-1]])
-            codes.append(before * self.size + ids)
-        return np.concatenate(codes) if codes else np.empty(0, np.int64), np.array([len(c) for c in codes], np.int64)
-
-
-def _count_bigrams(docs: DataFrame, vocabulary) -> DataFrame:
-    """``code, n, n_target`` over ``docs(text, is_target)``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def emitted() -> pa.RecordBatch:
-            codes = np.concatenate([h[0] for h in held]) if held else np.empty(0, np.int64)
-            target = np.concatenate([h[1] for h in held]) if held else np.empty(0, bool)
-            # the flag rides along in the lowest bit, so that one sort counts both
-            both, n = np.unique(codes * 2 + target, return_counts=True)
-            code, first = np.unique(both >> 1, return_index=True)
-            n_all = np.add.reduceat(n, first) if len(first) else n
-            n_target = np.add.reduceat(n * (both & 1), first) if len(first) else n
-            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n_all.astype(np.int64)), pa.array(n_target.astype(np.int64))], ["code", "n", "n_target"])
+def segments(text: str) -> Iterator[list[bytes]]:
+    """Lower-cased words, runs of letters, digits and non-ASCII characters in UTF-8: of a long text so many at once."""
+    raw = text.lower().encode().translate(_BLANKED)
+    at = 0
+    while at < len(raw):
+        until = at + BYTES_AT_ONCE
+        if until < len(raw):  # cut at the next blank
+            until = raw.find(b" ", until)
+            until = len(raw) if until < 0 else until
+        yield raw[at:until].split()
+        at = until
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            codes, lengths = vocabulary.value.bigrams(batch.column("text").to_pylist())
-            held.append((codes, np.repeat(batch.column("is_target").to_numpy(zero_copy_only=False), lengths)))
-            if sum(len(h[0]) for h in held) >= COUNTED_AT_ONCE:
-                yield emitted()
-                held.clear()
-        yield emitted()
 
-    return docs.select("text", "is_target").mapInArrow(run, "code long, n long, n_target long").groupBy("code").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
 
 
 @dataclass
-class NgramModel:
-    """One of the two models; ``codes`` are shared."""
-
-    codes: np.ndarray  # kept bigrams, sorted
-    discounted: np.ndarray  # of each kept bigram
-    backoff: np.ndarray  # of each context
-    unigram: np.ndarray
-
-    def losses(self, pairs: np.ndarray, places: np.ndarray, found: np.ndarray) -> np.ndarray:
-        """Negative log probabilities, in nats, of bigrams whose places among the kept codes are known."""
-        size = len(self.unigram)
-        p = self.backoff[pairs // size] * self.unigram[pairs % size]
-        p[found] += self.discounted[places[found]]
-        return -np.log(p)
-
-
-def _model(codes: np.ndarray, counts: np.ndarray, contexts: np.ndarray, words: np.ndarray) -> NgramModel:
-    size = len(words)
-    context = codes // size
-    discounted = np.maximum(counts - DISCOUNT, 0) / np.maximum(contexts[context], 1)
-    backoff = 1 - np.bincount(context, discounted, size)
-    unigram = words + ADDED
-    unigram[0] = 0  # no word begins a text
-    return NgramModel(codes, discounted, backoff, unigram / unigram.sum())
+class Chunk:
+    """The bigrams of some texts, by word, context and text."""
+
+    rows: list[int] = field(default_factory=list)
+    ids: list[int | None] = field(default_factory=list)
+    is_target: list[bool] = field(default_factory=list)
+    numbers: _Numbers = field(default_factory=lambda: _Numbers({w: k for k, w in enumerate(_NO_WORDS)}))
+    words: list[np.ndarray] = field(default_factory=list)
+    last: list[int] = field(default_factory=list)  # the number before the next segment of a text
+    n_words: list[int] = field(default_factory=list)
+    ends: list[bool] = field(default_factory=list)  # whether the text is over
+    begins: list[bool] = field(default_factory=list)
+    n: int = 0
+
+    def add(self, row: int, doc_id: int | None, is_target: bool, words: list[bytes], before: bytes, over: bool) -> None:
+        self.rows.append(row)
+        self.ids.append(doc_id)
+        self.is_target.append(is_target)
+        self.last.append(self.numbers[before])
+        self.words.append(np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words)))
+        self.n_words.append(len(words))
+        self.begins.append(before == _NO_WORDS[BEGIN])
+        self.ends.append(over)
+        self.n += len(words)
+
+    def full(self) -> bool:
+        return self.n >= WORDS_AT_ONCE or len(self.rows) >= TEXTS_AT_ONCE
+
+    def hashes(self) -> np.ndarray:
+        return _hashes(list(self.numbers))
+
+    def entries(self) -> tuple[np.ndarray, ...]:
+        """Number of word, of context, place of text and count, sorted; the context END marks the last word of a text."""
+        doc = np.repeat(np.arange(len(self.rows)), self.n_words)
+        word = np.concatenate(self.words)
+        context = np.empty(len(word), np.int64)
+        context[1:] = word[:-1]
+        full = np.array(self.n_words, np.int64) > 0
+        starts = (np.cumsum(self.n_words) - self.n_words)[full]
+        context[starts] = np.array(self.last, np.int64)[full]
+        over = full & np.array(self.ends, bool)
+        finals = (np.cumsum(self.n_words) - 1)[over]
+        word, context, doc = np.concatenate([word, word[finals]]), np.concatenate([context, np.full(len(finals), END)]), np.concatenate([doc, np.flatnonzero(over)])
+        wide, deep = max(1, len(self.numbers).bit_length()), max(1, len(self.rows).bit_length())
+        packed = np.sort((word << (wide + deep) | context << deep | doc).astype(np.uint64))
+        first = np.flatnonzero(np.concatenate([[True], packed[1:] != packed[:-1]])) if len(packed) else np.empty(0, np.int64)
+        each = packed[first].astype(np.int64)
+        count = np.diff(np.append(first, len(packed)))
+        return each >> (wide + deep), each >> deep & ((1 << wide) - 1), each & ((1 << deep) - 1), count
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+    """Chunks of ``row, doc_id, is_target, text``; a very long text may be spread over several."""
+    chunk = Chunk()
+    for batch in batches:
+        for *told, text in zip(*[batch.column(c).to_pylist() for c in ("row", "doc_id", "is_target", "text")], strict=True):
+            before, held = _NO_WORDS[BEGIN], None
+            for words in segments(text):
+                if not words:
+                    continue
+                if held:
+                    chunk.add(*told, held, before, False)
+                    before = held[-1]
+                    if chunk.full():
+                        yield chunk
+                        chunk = Chunk()
+                held = words
+            chunk.add(*told, held or [], before, True)
+            if chunk.full():
+                yield chunk
+                chunk = Chunk()
+    if chunk.rows:
+        yield chunk
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where the combination of some columns, sorted together, begins anew."""
+    if not len(columns[0]):
+        return np.empty(0, np.int64)
+    new = np.zeros(len(columns[0]), bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _sum_at(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, starts) if len(starts) else np.empty(0, values.dtype)
+
+
+@dataclass(frozen=True)
+class Totals:
+    """Tokens and texts with words: of all documents, of the target."""
+
+    tokens: int = 0
+    target_tokens: int = 0
+    texts: int = 0
+    target_texts: int = 0
+
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    mixed = hashes * _MIX
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def pair_codes(word: np.ndarray, context: np.ndarray) -> np.ndarray:
+    return word ^ _mixed(context)
 
 
 @dataclass
-class Scorer:
-    vocabulary: Vocabulary
-    target: NgramModel
-    background: NgramModel
-
-    def losses(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each text the number of words and the summed losses under either model."""
-        pairs, lengths = self.vocabulary.bigrams(texts)
-        codes = self.target.codes
-        places = np.minimum(np.searchsorted(codes, pairs), max(0, len(codes) - 1))
-        found = codes[places] == pairs if len(codes) else np.zeros(len(pairs), bool)
-        text = np.repeat(np.arange(len(texts)), lengths)
-        return lengths, *[np.bincount(text, m.losses(pairs, places, found), len(texts)) for m in (self.target, self.background)]
-
-
-def train(docs: DataFrame, labels: DataFrame, max_words: int = 50_000, max_bigrams: int = 1_000_000) -> Scorer:
-    """Count both models over all of ``docs`` and keep at most ``max_words`` words and ``max_bigrams`` bigrams of them."""
-    spark = docs.sparkSession
-    bounded_batches(spark, BATCH)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    by_word = materialize(_count_words(texts), "word-counts")
-    frequent = by_word.filter(F.col("n") >= count_threshold(by_word, max_words)).select("word")
-    vocabulary = Vocabulary([r.word.encode() for r in frequent.collect()])  # at most max_words rows
-    good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("good_id")).dropna().distinct()
-    flagged = texts.join(good.hint("merge"), texts["doc_id"] == good["good_id"], "left").select("text", F.col("good_id").isNotNull().alias("is_target"))
-    shared = spark.sparkContext.broadcast(vocabulary)
-    by_bigram = materialize(_count_bigrams(flagged, shared), "bigram-counts")
-
-    def margin(code) -> np.ndarray:
-        sums = by_bigram.groupBy(code.alias("id")).agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).toArrow()  # at most max_words + 2 rows
-        out = np.zeros((2, vocabulary.size))
-        out[:, sums["id"].to_numpy()] = sums["n_target"].to_numpy(), sums["n"].to_numpy()
-        return out
-
-    contexts, words = margin(F.expr(f"code div {vocabulary.size}")), margin(F.col("code") % vocabulary.size)
-    kept = by_bigram.filter(F.col("n") >= max(2, count_threshold(by_bigram, max_bigrams))).toArrow()  # at most max_bigrams rows
-    codes = kept["code"].to_numpy()
-    order = np.argsort(codes)
-    return Scorer(vocabulary, *[_model(codes[order], kept[c].to_numpy()[order], contexts[k], words[k]) for k, c in enumerate(("n_target", "n"))])
-
-
-def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """``doc_id, n_words, target_loss, background_loss, score`` (losses a word, in nats) for every row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
-    bounded_batches(docs.sparkSession, BATCH)
-
+class Frequent:
+    """Exact counts of the words and bigrams that one bucket could not hold, sorted by their hashes."""
+
+    words: np.ndarray
+    counts: np.ndarray  # of each word: n, of the target, last of a text, of the target
+    pairs: np.ndarray  # word and context of each bigram, sorted by their code
+    pair_counts: np.ndarray  # of each bigram: n, of the target
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Of each hash its place among the words, or -1."""
+        if not len(self.words):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[at] == hashes, at, -1)
+
+    def pair_places(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """Of each bigram, by hashes, its place or -1."""
+        if not len(self.pairs):
+            return np.full(len(word), -1)
+        at = np.minimum(np.searchsorted(pair_codes(self.pairs[:, 0], self.pairs[:, 1]), pair_codes(word, context)), len(self.pairs) - 1)
+        return np.where((self.pairs[at, 0] == word) & (self.pairs[at, 1] == context), at, -1)
+
+
+COUNTED = "kind int, word long, context long, n long, n_target long, n_last long, n_last_target long"
+_COUNTED = pa.schema([("kind", pa.int32()), *[(c, pa.int64()) for c in ("word", "context", "n", "n_target", "n_last", "n_last_target")]])
+TOTAL, WORD, PAIR = range(3)
+
+
+def _tally(chunk: Chunk, share: float | None, asked: Frequent | None) -> pa.RecordBatch:
+    """Totals, and counts of words and bigrams: of those with a share of the chunk's tokens, or of those that are asked for."""
+    word, context, doc, n = chunk.entries()
+    target = np.array(chunk.is_target, bool)[doc] * n
+    real = context != END
+    hashes = chunk.hashes()
+    starts = _runs(word)
+    by_word = [_sum_at(x, starts) for x in (n * real, target * real, n * ~real, target * ~real)]
+    kept_word = word[starts] if len(starts) else word
+    pair_starts = _runs(word, context)
+    by_pair = [_sum_at(x, pair_starts) for x in (n, target)]
+    pair_word, pair_context = word[pair_starts], context[pair_starts]
+    if asked is None:
+        some = by_word[0] >= share * chunk.n
+        some_pairs = (by_pair[0] >= share * chunk.n) & (pair_context != END)
+    else:
+        some = asked.places(hashes[kept_word]) >= 0
+        some_pairs = np.zeros(len(pair_word), bool)
+        some_pairs[asked.pair_places(hashes[pair_word], hashes[pair_context]) >= 0] = True
+    texts = [sum(by_word[2].tolist()), sum(by_word[3].tolist())]
+    none = np.zeros(int(some_pairs.sum()), np.int64)
+    columns = [
+        np.concatenate([[TOTAL], np.full(some.sum(), WORD), np.full(len(none), PAIR)]).astype(np.int32),
+        np.concatenate([[0], hashes[kept_word[some]].view(np.int64), hashes[pair_word[some_pairs]].view(np.int64)]),
+        np.concatenate([[0], np.zeros(some.sum(), np.int64), hashes[pair_context[some_pairs]].view(np.int64)]),
+        *[np.concatenate([[total], by_word[k][some], by_pair[k][some_pairs]]) for k, total in enumerate((chunk.n, int((target * real).sum())))],
+        *[np.concatenate([[total], by_word[k][some], none]) for k, total in zip((2, 3), texts, strict=True)],
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c), t) for c, t in zip(columns, _COUNTED.types, strict=True)], schema=_COUNTED)
+
+
+def _tallies(texts: DataFrame, share: float | None = None, asked=None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches):
+            yield _tally(chunk, share, asked.value if asked is not None else None)
+
+    sums = [F.sum(c).alias(c) for c in ("n", "n_target", "n_last", "n_last_target")]
+    return texts.mapInArrow(run, COUNTED).groupBy("kind", "word", "context").agg(*sums)
+
+
+def count_frequent(texts: DataFrame, n_partitions: int) -> tuple[Totals, Frequent]:
+    """Totals, and exact counts of the words and bigrams with at least ``1 / (8 n_partitions)`` of all tokens.
+
+    What has that share of all has at least half of it within the chunks where it has half that share, so the first
+    pass, which counts within chunks, misses none that could fill a bucket; the second one counts over all texts.
+    """
+    share = 1 / (16 * n_partitions)
+    local = materialize(_tallies(texts, share), "locally-frequent")
+    n = local.filter(F.col("kind") == TOTAL).agg(F.sum("n")).first()[0] or 0
+    found = local.filter((F.col("kind") != TOTAL) & (F.col("n") >= max(1.0, share * n))).select("kind", "word", "context").collect()  # at most 16 n_partitions of either
+    # the context of a kept bigram is no word of its own here, but its word is frequent, too
+    words = np.unique(np.array([r.word for r in found], np.int64).view(np.uint64))
+    pairs = np.array([(r.word, r.context) for r in found if r.kind == PAIR], np.int64).reshape(-1, 2).view(np.uint64)
+    pairs = pairs[np.argsort(pair_codes(pairs[:, 0], pairs[:, 1]))]
+    asked = Frequent(words, np.zeros((len(words), 4), np.int64), pairs, np.zeros((len(pairs), 2), np.int64))
+    totals = Totals()
+    for r in _tallies(texts, asked=texts.sparkSession.sparkContext.broadcast(asked)).collect():
+        if r.kind == TOTAL:
+            totals = Totals(r.n, r.n_target, r.n_last, r.n_last_target)
+        elif r.kind == WORD:
+            asked.counts[asked.places(np.array([r.word], np.int64).view(np.uint64))[0]] = r.n, r.n_target, r.n_last, r.n_last_target
+        else:
+            asked.pair_counts[asked.pair_places(*[np.array([x], np.int64).view(np.uint64) for x in (r.word, r.context)])[0]] = r.n, r.n_target
+    return totals, asked
+
+
+@dataclass(frozen=True)
+class Models:
+    """What a task must know of both models beside the counts in hand."""
+
+    totals: Totals
+    frequent: Frequent
+
+    def priors(self, n: np.ndarray, n_target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """p(w) of the target and of the background, from the counts of words."""
+        q = n / max(1, self.totals.tokens)
+        return (n_target + STRENGTH * q) / (self.totals.target_tokens + STRENGTH), q
+
+    def numerators(self, pairs: tuple[np.ndarray, np.ndarray], words: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+        """-log(c(h, w) + STRENGTH p(w)) of the target and of the background; counts are (all, target)."""
+        priors = self.priors(*words)
+        return [-np.log(c + STRENGTH * p) for c, p in zip(reversed(pairs), priors, strict=True)]
+
+    @staticmethod
+    def denominators(n: np.ndarray, n_target: np.ndarray) -> list[np.ndarray]:
+        """log(c(h) + STRENGTH) of the target and of the background."""
+        return [np.log(c + STRENGTH) for c in (n_target, n)]
+
+
+PARCEL = "bucket long, kind int, base long, a binary, b binary, c binary, d binary, e binary, f binary"
+_PARCEL = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("base", pa.int64()), *[(c, pa.binary()) for c in "abcdef"]])
+TEXTS, BIGRAMS = range(2)
+def _fixed(losses: np.ndarray) -> np.ndarray:
+    return np.rint(losses * UNIT).astype(np.int64)
+
+
+def parcels(chunk: Chunk, models: Models, n_buckets: int) -> pa.RecordBatch:
+    """A row of what is known of the chunk's texts, and one for each bucket with the bigrams that are dealt to it."""
+    frequent = models.frequent
+    word, context, doc, n = chunk.entries()
+    hashes = chunk.hashes()
+    rows = np.array(chunk.rows, np.int64)
+    target = np.array(chunk.is_target, bool)
+    place = frequent.places(hashes)  # of each number of the chunk
+    starts = _runs(word, context)
+    runs = np.diff(np.append(starts, len(word)))
+    pair_word, pair_context = word[starts], context[starts]
+    known = place[pair_word] >= 0
+    pair_place = np.full(len(starts), -1)
+    if len(frequent.pairs):
+        at = np.flatnonzero(known)
+        pair_place[at] = frequent.pair_places(hashes[pair_word[at]], hashes[pair_context[at]])
+    # losses that need no other chunk: the begin of a text, frequent words as contexts, frequent bigrams
+    own = np.zeros((2, len(rows)))
+    first = np.array(chunk.begins, bool) & (np.array(chunk.n_words) > 0)
+    for k, d in enumerate(models.denominators(np.array([models.totals.texts]), np.array([models.totals.target_texts]))):
+        own[k, first] += d[0]
+    is_end = pair_context == END
+    sums = np.zeros((2, len(starts)))
+    if known.any():
+        counts = frequent.counts[place[pair_word[known]]]
+        for k, d in enumerate(models.denominators(counts[:, 0] - counts[:, 2], counts[:, 1] - counts[:, 3])):
+            sums[k, known] += np.where(is_end[known], -d, d)
+        both = pair_place >= 0
+        counts, pair_counts = frequent.counts[place[pair_word[both]]], frequent.pair_counts[pair_place[both]]
+        for k, x in enumerate(models.numerators((pair_counts[:, 0], pair_counts[:, 1]), (counts[:, 0], counts[:, 1]))):
+            sums[k, both] += x
+        for k in range(2):
+            own[k] += np.bincount(doc, np.repeat(sums[k], runs) * n, len(rows))
+    texts = [rows, np.array([i or 0 for i in chunk.ids], np.int64), np.array([i is None for i in chunk.ids]), np.array(chunk.n_words, np.int64), *map(_fixed, own)]
+    out = [(int(_mixed(rows[:1].view(np.uint64))[0] % np.uint64(n_buckets)), TEXTS, 0, *[x.tobytes() for x in texts])]
+    # the rest by bucket
+    sent = (pair_place < 0) & ~(known & is_end)
+    key = hashes[pair_word]
+    key = np.where(known, pair_codes(key, hashes[pair_context]), key)
+    bucket = (_mixed(key) % np.uint64(n_buckets)).astype(np.int64)
+    chosen = np.flatnonzero(sent)
+    chosen = chosen[np.argsort(bucket[chosen], kind="stable")]
+    sizes = runs[chosen]
+    upto = np.cumsum(sizes)
+    at = np.arange(upto[-1] if len(upto) else 0) + np.repeat(starts[chosen] - (upto - sizes), sizes)
+    base = int(rows.min())
+    apart = (rows - base).astype(np.uint64)
+    if int(apart.max()) < 1 << 32:
+        apart = apart.astype(np.uint32)
+    docs, counted = apart[doc[at]], (n[at] << 1 | target[doc[at]]).astype(np.uint32)
+    words, contexts, lengths = hashes[pair_word[chosen]], hashes[pair_context[chosen]], sizes.astype(np.uint32)
+    cuts = _runs(bucket[chosen])
+    for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(chosen)][: len(cuts)], strict=True):
+        a, b = int(upto[lo] - sizes[lo]), int(upto[hi - 1])
+        fresh = _runs(words[lo:hi])
+        repeats = np.diff(np.append(fresh, hi - lo)).astype(np.uint32)
+        out.append((int(bucket[chosen[lo]]), BIGRAMS, base, words[lo:hi][fresh].tobytes(), repeats.tobytes(), contexts[lo:hi].tobytes(), lengths[lo:hi].tobytes(), docs[a:b].tobytes(), counted[a:b].tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _PARCEL.types, strict=True)], schema=_PARCEL)
+
+
+def _opened(parcel: tuple) -> tuple[np.ndarray, ...]:
+    """Word and context of each bigram of a parcel and its entries: how many, row and count (the target flag lowest)."""
+    _, _, base, words, repeats, contexts, lengths, docs, counted = parcel
+    lengths, counted = np.frombuffer(lengths, np.uint32), np.frombuffer(counted, np.uint32)
+    apart = np.frombuffer(docs, np.uint32 if len(docs) == 4 * len(counted) else np.uint64)
+    return np.repeat(np.frombuffer(words, np.uint64), np.frombuffer(repeats, np.uint32)), np.frombuffer(contexts, np.uint64), lengths.astype(np.int64), apart.astype(np.int64) + base, counted.astype(np.int64)
+
+
+SUMS = "row long, doc_id long, n_words long, target long, background long"
+_SUMS = pa.schema([(c, pa.int64()) for c in ("row", "doc_id", "n_words", "target", "background")])
+
+
+def scored(opened: list[tuple[np.ndarray, ...]], models: Models) -> pa.RecordBatch:
+    """Summed losses by row, of whole buckets."""
+    word, context, lengths, rows, counted = (np.concatenate(c) for c in zip(*opened, strict=True))
+    n, target = counted >> 1, (counted >> 1) * (counted & 1)
+    entry = np.cumsum(lengths) - lengths
+    by_chunk = [_sum_at(n, entry), _sum_at(target, entry)]
+    order = np.lexsort((context, word))
+    word, context = word[order], context[order]
+    starts = _runs(word, context)
+    pairs = [_sum_at(x[order], starts) for x in by_chunk]
+    is_end = context[starts] == np.uint64(END_HASH)
+    word_of = word[starts]
+    word_starts = _runs(word_of)
+    sizes = np.diff(np.append(word_starts, len(word_of)))
+    every = [_sum_at(np.where(is_end, 0, x), word_starts) for x in pairs]
+    last = [_sum_at(np.where(is_end, x, 0), word_starts) for x in pairs]
+    place = models.frequent.places(word_of[word_starts])
+    known = place >= 0
+    for k in range(2):  # the bigrams of a frequent word are spread over buckets
+        every[k] = np.where(known, models.frequent.counts[place, k] if len(models.frequent.counts) else 0, every[k])
+    numerators = models.numerators((pairs[0], pairs[1]), tuple(np.repeat(x, sizes) for x in every))
+    denominators = models.denominators(every[0] - last[0], every[1] - last[1])
+    sums = []
+    for top, bottom in zip(numerators, denominators, strict=True):
+        below = np.repeat(np.where(known, 0.0, bottom), sizes)
+        by_pair = np.where(is_end, -below, top + below)
+        value = np.empty(len(order))
+        value[order] = np.repeat(by_pair, np.diff(np.append(starts, len(word))))
+        sums.append(_fixed(np.repeat(value, lengths) * n))
+    by_row = np.argsort(rows, kind="stable")
+    heads = _runs(rows[by_row])
+    none, nothing = pa.nulls(len(heads), pa.int64()), pa.array(np.zeros(len(heads), np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(rows[by_row][heads]), none, nothing, *[pa.array(_sum_at(s[by_row], heads)) for s in sums]], schema=_SUMS)
+
+
+def _sums(texts: DataFrame, models, n_buckets: int) -> DataFrame:
+    """``row, doc_id, n_words, target, background``: summed losses of every row of ``texts``."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks(batches):
+            yield parcels(chunk, models.value, n_buckets)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, bucket = [], 0, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            n, target, background = shared.value.losses(batch.column("text").to_pylist())
-            none = n == 0
-            each = [pa.array(x / np.maximum(n, 1), mask=none) for x in (target, background)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *each], ["doc_id", "n_words", "target_loss", "background_loss"])
-
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    losses = slim.mapInArrow(run, "doc_id long, n_words long, target_loss double, background_loss double")
-    return losses.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+            for parcel in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if parcel[0] != bucket:
+                    bucket = parcel[0]
+                    if size >= ENTRIES_AT_ONCE:
+                        yield scored(held, models.value)
+                        held, size = [], 0
+                if parcel[1] == TEXTS:
+                    rows, ids, no_id, *sums = parcel[3:]
+                    ids = pa.array(np.frombuffer(ids, np.int64), mask=np.frombuffer(no_id, bool))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(rows, np.int64)), ids, *[pa.array(np.frombuffer(x, np.int64)) for x in sums]], schema=_SUMS)
+                else:
+                    held.append(_opened(parcel))
+                    size += len(held[-1][-1])
+        if held:
+            yield scored(held, models.value)
+
+    dealt = texts.mapInArrow(deal, PARCEL)
+    found = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, SUMS)
+    return found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_words", "target", "background")])
+
+
+def _flagged(docs: DataFrame, labels: DataFrame, max_broadcast: int) -> DataFrame:
+    """``row, doc_id, is_target, text``: rows numbered, those called good marked."""
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("good_id")).dropna().distinct()
+    if good.limit(max_broadcast + 1).count() <= max_broadcast:
+        return texts.join(F.broadcast(good), texts["doc_id"] == good["good_id"], "left").select("row", "doc_id", F.col("good_id").isNotNull().alias("is_target"), "text")
+    # texts without an id have no label, so no key stands for all of them
+    flagged = texts.filter("doc_id IS NOT NULL").join(good.hint("merge"), texts["doc_id"] == good["good_id"], "left").select("row", "doc_id", F.col("good_id").isNotNull().alias("is_target"), "text")
+    return materialize(flagged.unionByName(texts.filter("doc_id IS NULL").select("row", "doc_id", F.lit(False).alias("is_target"), "text")), "flagged-texts")
 
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, max_words: int = 50_000, max_bigrams: int = 1_000_000) -> DataFrame:
-    """Train on ``docs`` and score every row of them."""
-    return score(docs, train(docs, labels, max_words, max_bigrams))
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, max_broadcast: int = MAX_BROADCAST_LABELS) -> DataFrame:
+    """``doc_id, n_words, target_loss, background_loss, score`` (losses a word, in nats) for every row of ``docs``."""
+    spark: SparkSession = docs.sparkSession
+    bounded_batches(spark, BATCH)
+    texts = _flagged(docs, labels, max_broadcast)
+    n_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    totals, frequent = count_frequent(texts, n_partitions)
+    n_buckets = max(4 * n_partitions, totals.tokens // BUCKET_TOKENS)
+    sums = _sums(texts, spark.sparkContext.broadcast(Models(totals, frequent)), n_buckets)
+    losses = [F.when(F.col("n_words") > 0, F.col(c) / float(UNIT) / F.col("n_words")).alias(f"{c}_loss") for c in ("target", "background")]
+    return sums.select("doc_id", "n_words", *losses).withColumn("score", F.col("target_loss") - F.col("background_loss"))

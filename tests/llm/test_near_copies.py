@@ -1,8 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import near_copies as N
+from tidemark.llm import simhash as S
 
 
 def words(text):
@@ -49,6 +51,7 @@ def test_stage_against_brute_force(spark, small):
 @pytest.mark.parametrize("chunk", [N.CHUNK, 16])
 def test_planted_near_copies(spark, monkeypatch, chunk):
     monkeypatch.setattr(N, "CHUNK", chunk)
+    monkeypatch.setattr(N, "HOT", 4 * chunk)
     rng = np.random.default_rng(7)
     rows = []
     for k in range(60):
@@ -64,4 +67,28 @@ def test_planted_near_copies(spark, monkeypatch, chunk):
     rows += [(9000, None), (9001, " "), (9002, "One two"), (9003, "one TWO"), (9004, "one two three")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in N.one_of_each(df).collect()} == brute_kept(rows)[0]
+    assert {r.component_id for r in N.near_copies(df).collect()} == brute_kept(rows)[0]
     assert N.one_of_each(df.limit(0)).count() == 0
+
+
+def test_a_large_loose_component_of_several_groups(spark, monkeypatch):
+    """Chunks, their representatives and what those leave open: a chain whose links only meet across chunks."""
+    monkeypatch.setattr(N, "CHUNK", 8)
+    monkeypatch.setattr(N, "loose_links", lambda groups: groups.select(F.col("node").alias("a")).crossJoin(groups.agg(F.min("node").alias("b"))).filter("a > b"))
+    rows = [(k, " ".join(f"w{x}" for x in range(6 * k, 6 * k + 100))) for k in range(40)]  # each like the next alone
+    rows += [(100 + k, " ".join(f"v{k}x{x}" for x in range(50 + k))) for k in range(12)]  # unlike all
+    base = [f"u{x}" for x in range(90)]
+    rows += [(200 + k, " ".join([*base, f"end{k}"])) for k in range(50)]
+    kept = {r.doc_id for r in N.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == brute_kept(rows)[0] == {0, 200, *range(100, 112)}
+
+
+def test_radius_loses_next_to_nothing():
+    rng, far = np.random.default_rng(5), []
+    for size in (64, 100, 400):
+        for _ in range(400):
+            shared = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+            own = rng.integers(0, 1 << 63, (2, size // 8), dtype=np.uint64)  # similarity 0.8
+            a, b = (S.by_majority(np.concatenate([shared, o])) for o in own)
+            far.append(bin(a ^ b).count("1"))
+    assert max(far) <= N.RADIUS and np.mean(far) > 8

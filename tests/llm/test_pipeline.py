@@ -10,7 +10,7 @@ from tidemark.llm import gam
 from tidemark.llm.text_features import FEATURES, with_counts, with_features
 
 from .test_digest_index import brute as brute_digests
-from .test_simhash import brute_components, brute_fingerprint
+from .test_near_copies import brute_kept
 
 
 @pytest.fixture(scope="module")
@@ -47,8 +47,8 @@ def test_exact_stage(stages):
 
 def test_near_stage(stages):
     _, rows, _, kept = stages[1][2]
-    told = [(r.doc_id, brute_fingerprint(r.text)) for r in rows]
-    assert sorted(r.doc_id for r in kept) == sorted(set(brute_components(told))) and set(kept) <= set(rows)
+    want, _ = brute_kept([(r.doc_id, r.text) for r in rows])
+    assert {r.doc_id for r in kept} == want and set(kept) <= set(rows) and len(kept) == len(want)
 
 
 def test_mixing_stage(spark, stages):
@@ -83,5 +83,10 @@ def test_run(spark, stages):
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, "word " * 40000, "xx", None, 1)], "doc_id long, text string, lang string, source string, n_chars long")
     for docs in (odd, odd.limit(0)):
         for _, stage in P.STAGES:
+            before = docs
             docs = stage(spark, docs, sf)
-            docs.count()
+            if stage is not P.pack:
+                assert docs.exceptAll(before).isEmpty() and docs.columns == list(P.COLUMNS)
+        assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in before.collect()}
+    assert {r.doc_id for r in P.exact_dedup(spark, odd, sf).collect()} == {1, 2}  # a null text is empty
+    assert {r.doc_id for r in P.simhash_near_dedup(spark, odd, sf).collect()} == {1, 2}

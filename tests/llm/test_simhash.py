@@ -57,8 +57,12 @@ def test_odd_rows(spark):
     assert all(len(v) == 1 for v in by_fp.values()) and by_fp["0" * 16] == {5}
     assert by_fp[f"{brute_fingerprint('one two'):016x}"] == {3}
     assert S.near_duplicates(df.limit(0)).count() == 0
-    kept = S.one_of_each(df)
-    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [3, 5, 7, 8]
+
+
+def test_unlike_texts_of_one_id_are_not_linked(spark):
+    texts = ["alpha beta gamma delta epsilon", "one two three four five six", "red green blue white"]
+    got = S.near_duplicates(spark.createDataFrame([(4, texts[0]), (4, texts[1]), (2, texts[1]), (None, texts[2])], "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=repr) == [(2, 2), (4, 2), (4, 4), (None, None)]
 
 
 def test_bit_sliced_distances():

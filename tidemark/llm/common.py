@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import let
 from ..sources.scratch import materialize, scratch_path
 
-__all__ = ["BLANKS", "BLANK_RUN", "bounded_batches", "NO_ID", "bounded_labels", "id_key", "join_by_group", "let", "materialize", "read_table", "scratch_path"]
+__all__ = ["BLANKS", "BLANK_RUN", "bounded_batches", "NO_ID", "bounded_labels", "id_key", "join_by_group", "let", "materialize", "read_table", "scratch_path", "spare", "text_key"]
 
 #: Regex class of the blanks that separate words, as `[\x20\x09-\x0D]`.
 BLANKS = " \t\n\x0b\f\r"
@@ -47,6 +47,21 @@ def id_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 
 
+def text_key(column: str = "text") -> Column:
+    """A text's 64-bit hash: with the id it names a row, also where ids are null or repeat. A null text counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(column), F.lit("")))
+
+
+def spare(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores before those that ``docs`` has as columns."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 #: A group that holds at least 1 / HEAVY_SHARE of all rows is joined by broadcast: there are at most that many.
 HEAVY_SHARE = 1000
 

@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK_RUN, id_key, join_by_group, materialize, scratch_path
+from .common import BLANK_RUN, id_key, join_by_group, materialize, scratch_path, spare
 
 
 def text_digest(text: Column) -> Column:
@@ -55,24 +55,35 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex) -> DataFrame:
+def _ranges(members: DataFrame, n: int) -> list[DataFrame]:
+    """``members`` cut into ``n`` ascending ranges of ids of about the same size; null ids belong to the last."""
+    cuts = sorted(set(members.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.01))) if n > 1 else []
+    key, parts, low = id_key(), [], None
+    for cut in [*map(int, cuts), None]:
+        inside = F.lit(True) if low is None else key > low
+        parts.append(members.filter(inside if cut is None else inside & (key <= cut)))
+        low = cut
+    return parts
+
+
+def deduplicate(docs: DataFrame, index: DigestIndex, n_batches: int = 1) -> DataFrame:
     """Ingest ``docs`` into ``index`` and report every document.
 
     Returns ``doc_id, keep_id, group_size, kept, text_sha256``: ``keep_id`` is the owner in the index, ``group_size``
-    the rows of this batch with the digest. Rows of one document are collapsed before the join, heavy digests (at most
-    1000 by construction) are joined by broadcast, so no task gets a whole hot group.
+    the rows of ``docs`` with the digest. Ingested are ``n_batches`` ascending ranges of ids, one after the other, each
+    of them against what the index has by then; null ids come last. Rows of one document are collapsed before the
+    join, heavy digests (at most 1000 by construction) are joined by broadcast, so no task gets a whole hot group.
+    The result no longer reads the index.
     """
     members = materialize(
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_digest(F.col("text")).alias("digest"))
         .groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n")),
         "digests",
     )
-    groups = materialize(
-        members.groupBy("digest").agg(F.min("doc_id").alias("owner_id"), F.sum("n").alias("group_size"), F.count(F.lit(1)).alias("n_docs")),
-        "digest-groups",
-    )
-    index.append_new(groups)
-    owned = materialize(groups.drop("owner_id").join(index.rows().hint("merge"), "digest"), "owned-digests")
+    groups = members.groupBy("digest").agg(F.sum("n").alias("group_size"), F.count(F.lit(1)).alias("n_docs"))
+    for batch in _ranges(members, n_batches):
+        index.append_new(batch.groupBy("digest").agg(F.min("doc_id").alias("owner_id")))
+    owned = materialize(groups.join(index.rows().hint("merge"), "digest"), "owned-digests")
     both = join_by_group(members, owned, "digest", "n_docs")
     return both.select(
         "doc_id", F.col("owner_id").alias("keep_id"), "group_size",
@@ -87,9 +98,12 @@ def fresh_index(spark: SparkSession, label: str = "digest_index") -> DigestIndex
 
 
 def drop_duplicates(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """The rows of ``docs`` whose document is kept, with all their columns; of a repeated row one stays."""
-    keys = ["__key", "__digest"]
-    kept = deduplicate(docs, index).filter("kept").select(id_key().alias("__key"), F.col("text_sha256").alias("__digest"))
-    marked = docs.withColumns({"__key": id_key(), "__digest": text_digest(F.col("text"))})
+    """The rows of ``docs`` whose document is kept, with all their columns; of a repeated row one stays.
+
+    Rows are told apart by id and digest, so unlike texts under a null or repeated id all stay.
+    """
+    keys = spare(docs, "key", "digest")
+    kept = deduplicate(docs, index).filter("kept").select(id_key().alias(keys[0]), F.col("text_sha256").alias(keys[1]))
+    marked = docs.withColumns({keys[0]: id_key(), keys[1]: text_digest(F.col("text"))})
     # one shuffle of the texts: what the join is dealt by serves the removal of repeated rows, too
     return marked.join(kept.hint("merge"), keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

@@ -1,13 +1,25 @@
-"""Near copies by five-word shingles: documents whose shingle sets have a Jaccard similarity of at least 0.8.
-
-Documents of equal sets are merged first. Candidates are the sets that agree in one of ``BANDS`` bands of ``ROWS``
-MinHash values each; of pairs at the very threshold a band misses all but 0.41, so 20 bands lose 3 in 100,000 of them,
-and fewer of closer ones. Only the sets of a band's bucket that others share are shuffled, and within a bucket every
-link is verified by the exact similarity: from a document on, what is linked to it leaves the rest, so a bucket of near
-copies is passed a few times, not once for each pair. Spanning links are emitted, as many as there are members.
-
-Buckets of many documents or many shingles are cut into chunks, every two of which are compared by a work item of their
-own, so no task ever holds a whole hot bucket.
+"""Near copies by SimHash: documents whose five-word shingle sets have a Jaccard similarity of at least 0.8.
+
+The same fingerprints and the same bit-sliced comparison as in ``simhash``, at a radius for this similarity and with an
+exact check behind it. Sets of similarity 0.8 differ in 9.7 of 64 fingerprint bits on average, so the buckets of fewer
+than four bits can't find them; here a bucket is a band of ``ROWS`` MinHash values, which two such sets share with a
+chance of 0.41, so ``BANDS`` bands lose 3 in 100,000 of them, and fewer of closer ones. Then
+
+1. documents of equal sets are merged, and the rest is compared within its buckets, bit planes against fingerprints:
+   what differs in more than ``RADIUS`` bits (3 in 1,000,000 of the pairs at the threshold, 97 of 100 unlike pairs) is
+   abandoned. Small sets, whose fingerprints tell less, all pass. Spanning links are kept: the loose components;
+2. the sets of a loose component meet once, whatever number of buckets they share, and are told apart by exact
+   similarities. From a document on, what is linked to it leaves the rest, so a component of near copies is passed a
+   few times, not once for each pair.
+
+A loose component of many documents or many shingles is cut into chunks: the chunks first by themselves, then their
+representatives, and only what these do not bring together is compared chunk by chunk with all the others. So no task
+ever holds a whole hot group, and a large group of near copies costs in proportion to its members.
+
+Contract: null texts count as empty and texts without words are copies of one another; of fewer than five words the
+whole sequence is the one shingle; a null ``doc_id`` is larger than any other; rows are told apart by id and text, so
+unlike texts under a null or repeated id are documents of their own; rows that repeat both are one document; an empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,17 +29,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected
-from .common import NO_ID, bounded_batches, id_key, join_by_group, materialize
-from .simhash import shingle_hashes
+from .common import NO_ID, bounded_batches, id_key, join_by_group, materialize, spare, text_key
+from .simhash import HOT, by_majority, cut_hot, linked, shingle_hashes, whole_runs
 
 SHINGLE = 5
 #: The least similarity of near copies, 4 / 5, as integers: no rounding decides.
 ENOUGH, OF = 4, 5
 BANDS, ROWS = 20, 4
+#: Fingerprint bits in which near copies differ at most, and the size of the sets from which on that holds.
+RADIUS, SMALL_SET = 24, 64
 #: Documents and shingles of a chunk.
 CHUNK, CHUNK_SHINGLES = 1024, 1 << 20
 #: Shingles that are hashed at once: bounds the memory that a very long text takes.
@@ -62,35 +76,41 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))
 
 
-def _slim(docs: DataFrame) -> DataFrame:
+def with_sketches(docs: DataFrame) -> DataFrame:
+    """``key, text_hash, set_key, size, fp, bands`` of every row of ``docs``: its id and text hash, then of its shingle set."""
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-
-
-def with_bands(docs: DataFrame) -> DataFrame:
-    """``doc_id, set_key, bands`` of every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, found = [], []
-            for text in batch.column("text").to_pylist():
-                shingles = shingle_set(text)
-                keys.append(set_key(shingles))
-                found.append(bands(shingles))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), _lists(found)], ["doc_id", "set_key", "bands"])
+            sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("key"), batch.column("text_hash"), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(np.array([by_majority(s) for s in sets], np.uint64).view(np.int64)), _lists([bands(s) for s in sets]),
+                ],
+                ["key", "text_hash", "set_key", "size", "fp", "bands"],
+            )
 
-    return _slim(docs).mapInArrow(run, "doc_id long, set_key binary, bands array<long>")
+    slim = docs.select(id_key().alias("key"), text_key().alias("text_hash"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return slim.mapInArrow(run, "key long, text_hash long, set_key binary, size long, fp long, bands array<long>")
 
 
-def _with_sets(docs: DataFrame) -> DataFrame:
-    """``set_key, shingles`` of every row of ``docs``."""
+def loose_links(groups: DataFrame) -> DataFrame:
+    """Spanning links ``(a, b)`` between the nodes of ``groups(node, size, fp, bands)`` that may be near copies."""
+    keyed = groups.select(F.explode("bands").alias("key"), "fp", F.col("node").alias("id"), "size")
+    hot = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("key", F.ceil(F.col("n") / (HOT // 2)).alias("chunks")), "hot-buckets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), _lists(sets)], ["set_key", "shingles"])
+        for keys, fps, ids, sizes in whole_runs(batches, ("key", "fp", "id", "size")):
+            told = sizes >= SMALL_SET  # others can only be like sets of at most 5/4 the size
+            a, b = linked(keys[told], fps[told].view(np.uint64), ids[told], RADIUS)
+            small = sizes * ENOUGH < SMALL_SET * OF
+            k, i = keys[small], ids[small]
+            first = np.searchsorted(k, k)  # keys are sorted: the first of each bucket
+            far = i[first] != i
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, i[far]])), pa.array(np.concatenate([b, i[first][far]]))], ["a", "b"])
 
-    return _slim(docs).mapInArrow(run, "set_key binary, shingles array<long>")
+    return cut_hot(keyed, hot, "id").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def similar(sets: list[np.ndarray]) -> np.ndarray:
@@ -123,8 +143,8 @@ def similar(sets: list[np.ndarray]) -> np.ndarray:
     return label
 
 
-def _linked(ids: list[int], sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of a bucket, as two arrays of ids."""
+def _told_apart(ids: list[int], sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of some sets, as two arrays of ids."""
     label, named = similar(sets), np.array(ids, np.int64)
     least = np.full(len(ids), np.iinfo(np.int64).max)
     np.minimum.at(least, label, named)
@@ -133,39 +153,21 @@ def _linked(ids: list[int], sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndar
     return named[differ], root[differ]
 
 
-def links(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Spanning links ``(a, b)`` between the ids of ``groups(set_key, id, bands)``, whose texts ``docs`` has."""
-    keyed = groups.select(F.explode("bands").alias("key"), "set_key", "id")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    asked = materialize(keyed.join(shared.select("key"), "key"), "shared-buckets")
-    ids = asked.select(F.col("id").alias("__key")).distinct()
-    texts = docs.select("doc_id", "text").withColumn("__key", id_key()).join(ids.hint("merge"), "__key", "left_semi")
-    wanted = asked.select("set_key").distinct()
-    sets = materialize(_with_sets(texts).join(wanted, "set_key", "left_semi").dropDuplicates(["set_key"]), "shingle-sets")
-    sizes = sets.select("set_key", F.size("shingles").cast("long").alias("size"))
-    by_key = asked.join(sizes, "set_key").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
-    chunks = F.ceil(F.greatest(F.col("n") / CHUNK, F.col("size") / CHUNK_SHINGLES))
-    hot = materialize(by_key.select("key", chunks.alias("chunks")).filter("chunks > 1"), "hot-buckets")
-    items = asked
-    if not hot.isEmpty():
-        own = F.pmod(F.xxhash64("set_key"), F.col("chunks"))
-        other = F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        dealt = asked.join(hot, "key", "left").select("key", "set_key", "id", "chunks", own.alias("own"), other.alias("other"))
-        item = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-        items = dealt.select(F.when(F.col("chunks").isNull(), F.col("key")).otherwise(item).alias("key"), "set_key", "id")
+def exact_links(items: DataFrame, sets: DataFrame) -> DataFrame:
+    """Spanning links ``(a, b)`` by exact similarity of the nodes that share a key in ``items(key, node)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, sets = None, [], []
 
         def emitted() -> Iterator[pa.RecordBatch]:
             if len(ids) > 1:
-                a, b = _linked(ids, sets)
+                a, b = _told_apart(ids, sets)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
             lists = batch.column("shingles")
             offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-            for k, (name, i) in enumerate(zip(batch.column("key").to_pylist(), batch.column("id").to_pylist(), strict=True)):
+            for k, (name, i) in enumerate(zip(batch.column("key").to_pylist(), batch.column("node").to_pylist(), strict=True)):
                 if name != key:
                     yield from emitted()
                     key, ids, sets = name, [], []
@@ -173,26 +175,96 @@ def links(docs: DataFrame, groups: DataFrame) -> DataFrame:
                 sets.append(values[offsets[k] : offsets[k + 1]])
         yield from emitted()
 
-    carried = items.join(sets, "set_key").select("key", "id", "shingles")
+    carried = items.join(sets, "node").select("key", "node", "shingles")
     return carried.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """``doc_id, component_id`` of every row of ``docs``: the smallest ``doc_id`` reachable, the own one included.
+def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, shingles`` of the nodes of ``wanted(node, key, text_hash)``, whose texts ``docs`` has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _lists([shingle_set(t) for t in batch.column("text").to_pylist()])], ["node", "shingles"])
 
-    Null texts count as empty and texts without words are copies of one another; of fewer than five words the whole
-    sequence is the one shingle; a null ``doc_id`` is larger than any other; rows may repeat; other columns are ignored.
+    texts = docs.select(id_key().alias("key"), text_key().alias("text_hash"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    found = texts.join(wanted.hint("merge"), ["key", "text_hash"]).dropDuplicates(["node"])
+    return found.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+
+
+def _chunk(chunks: Column) -> Column:
+    return F.pmod(F.xxhash64("node"), chunks)
+
+
+def _large_links(members: DataFrame, chunked: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of the loose components that are cut into chunks, beside those within a chunk.
+
+    ``members(comp, node, chunks)``; ``chunked`` has the links within chunks.
     """
-    members = materialize(with_bands(docs), "bands")
-    merged = members.groupBy("set_key").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
-    groups = materialize(merged, "distinct-sets")
+    within = connected(chunked)
+    placed = materialize(members.join(within, "node", "left").select("comp", "node", "chunks", F.coalesce("root", "node").alias("root")), "large-components")
+    heads = placed.select("comp", F.col("root").alias("node")).distinct()
+    n_heads = heads.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts"))
+    dealt = heads.join(n_heads, "comp").select(F.xxhash64("comp", _chunk(F.col("parts"))).alias("key"), "node")
+    between = materialize(exact_links(dealt, sets), "links-of-heads")
+    joined = connected(between)
+    named = placed.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    named = materialize(named.select("comp", "node", "chunks", F.coalesce("top", "root").alias("root")), "large-components")
+    # what is not in the largest part of its component is compared with all of the component
+    parts = named.groupBy("comp", "root").agg(F.count(F.lit(1)).alias("n"), F.max("chunks").alias("chunks"))
+    main = parts.groupBy("comp").agg(F.max_by("root", F.struct("n", "root")).alias("main"), (F.sum("n") - F.max("n")).alias("n_other"), F.max("chunks").alias("chunks"), F.sum("n").alias("n_all"))
+    open_ = main.filter("n_other > 0").select("comp", "main", F.ceil(F.col("n_other") * F.col("chunks") / F.col("n_all")).alias("other_chunks"))
+    rest = named.join(open_, "comp").withColumn("is_other", F.col("root") != F.col("main"))
+    own = F.when(F.col("is_other"), _chunk(F.col("other_chunks"))).otherwise(_chunk(F.col("chunks")) + F.col("other_chunks"))
+    last = F.when(F.col("is_other"), F.col("other_chunks") + F.col("chunks")).otherwise(F.col("other_chunks")) - 1
+    paired = rest.select("comp", "node", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("other"))
+    items = paired.select(F.xxhash64("comp", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node")
+    return between.unionByName(exact_links(items, sets))
+
+
+def links(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Spanning links ``(a, b)`` between the nodes of ``groups(node, least, size, fp, bands)`` whose sets are similar; ``least`` names a row of each in ``docs``."""
+    loose = connected(loose_links(groups))
+    members = loose.select("node", F.col("root").alias("comp")).unionByName(loose.select(F.col("root").alias("node"), F.col("root").alias("comp")).distinct())
+    held = materialize(groups.select("node", "size", "least.*").join(members, "node"), "loose-components")
+    sets = materialize(_sets_of(docs, held.select("node", "key", "text_hash")), "shingle-sets")
+    load = held.groupBy("comp").agg(F.greatest(F.count(F.lit(1)) / CHUNK, F.sum("size") / CHUNK_SHINGLES).alias("load"))
+    large = materialize(load.filter("load > 1").select("comp", F.ceil("load").alias("chunks")), "large")
+    if large.isEmpty():
+        return exact_links(held.select(F.col("comp").alias("key"), "node"), sets)
+    dealt = materialize(held.select("comp", "node").join(large, "comp", "left"), "chunked-components")
+    key = F.when(F.col("chunks").isNull(), F.col("comp")).otherwise(F.xxhash64("comp", _chunk(F.col("chunks"))))
+    first = materialize(exact_links(dealt.select(key.alias("key"), "node"), sets), "links-of-chunks")
+    in_large = dealt.filter("chunks IS NOT NULL")
+    chunked = first.join(in_large.select(F.col("node").alias("a")), "a", "left_semi")
+    return first.unionByName(_large_links(in_large, chunked, sets))
+
+
+def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows ``key, text_hash, set_key`` of ``docs``, and ``set_key, n, least, root`` of the distinct sets: rows, smallest row, component."""
+    members = materialize(with_sketches(docs), "sketches")
+    merged = members.groupBy("set_key").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "text_hash")).alias("least"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")
+    )
+    groups = materialize(merged.withColumn("node", F.monotonically_increasing_id()), "distinct-sets")  # written, so the numbers stay
     roots = connected(links(docs, groups))
-    named = groups.join(roots, groups["id"] == roots["node"], "left").select("set_key", "n", F.coalesce("root", "id").alias("component"))
-    rows = join_by_group(members.select("doc_id", "set_key"), materialize(named, "named-sets"), "set_key", "n")
-    return rows.select("doc_id", F.nullif(F.col("component"), F.lit(NO_ID)).alias("component_id"))
+    named = groups.join(roots, "node", "left").select("set_key", "n", "least", F.coalesce("root", "node").alias("root"))
+    return members.select("key", "text_hash", "set_key"), materialize(named, "named-sets")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """``doc_id, component_id`` of every row of ``docs``: the smallest ``doc_id`` among its near copies, their near copies and so on, its own included."""
+    members, named = _rooted(docs)
+    least = materialize(named.groupBy("root").agg(F.min("least.key").alias("component"), F.count(F.lit(1)).alias("n_sets")), "components")
+    sets = materialize(join_by_group(named, least, "root", "n_sets").select("set_key", "n", "component"), "set-components")
+    rows = join_by_group(members, sets, "set_key", "n")
+    return rows.select(F.nullif(F.col("key"), F.lit(NO_ID)).alias("doc_id"), F.nullif(F.col("component"), F.lit(NO_ID)).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest of its component, with all their columns; of a repeated id one row."""
-    kept = near_copies(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_key().alias("__key")).distinct()
-    return docs.withColumn("__key", id_key()).join(kept.hint("merge"), "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    """Of each component of near copies the row with the smallest id (of equal ones, the smallest text hash), with all its columns."""
+    _, named = _rooted(docs)
+    keys = spare(docs, "key", "text_hash")
+    kept = named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias(keys[0]), F.col("least.text_hash").alias(keys[1]))
+    marked = docs.withColumns({keys[0]: id_key(), keys[1]: text_key()})
+    # one shuffle of the texts: what the join is dealt by serves the removal of repeated rows, too
+    return marked.join(kept.hint("merge"), keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

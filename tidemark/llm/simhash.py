@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, bounded_batches, id_key, join_by_group, materialize
+from .common import NO_ID, bounded_batches, join_by_group, materialize
 from ..operators.components import connected
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
@@ -43,9 +43,8 @@ def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
     return np.fromiter((digest(b" ".join(s), SEED) for s in zip(*[words[k:] for k in range(size)], strict=False)), "<u8", len(words) - size + 1)
 
 
-def fingerprint(text: str, size: int = SHINGLE) -> int:
-    """Bit k is 1 if it is set in over half the hashes; 0 without words."""
-    hashes = shingle_hashes(text, size)
+def by_majority(hashes: np.ndarray) -> int:
+    """Bit k is 1 if it is set in over half the hashes; 0 without any."""
     counts = np.zeros(64, np.int64)
     for k in range(0, len(hashes), 1 << 15):
         bits = np.unpackbits(hashes[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -53,6 +52,11 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, size: int = SHINGLE) -> int:
+    """The fingerprint of a text's shingles; 0 without words."""
+    return by_majority(shingle_hashes(text, size))
+
+
 def with_fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``doc_id, fp`` (the fingerprint as a signed long) of every row of ``docs``."""
     bounded_batches(docs.sparkSession)
@@ -154,11 +158,11 @@ def linked(keys: np.ndarray, fps: np.ndarray, ids: np.ndarray, radius: int = RAD
     return ids[differ], root[differ]
 
 
-def _whole_runs(batches: Iterator[pa.RecordBatch], at_once: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Columns of sorted batches, cut only between keys."""
+def whole_runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...] = ("key", "fp", "id"), at_once: int = 1 << 18) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of batches that are sorted by the first of them, cut only between its values."""
     held: list[np.ndarray] = []
     for batch in batches:
-        held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "id")]))
+        held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns]))
         if sum(h.shape[1] for h in held) < at_once:
             continue
         rows = np.concatenate(held, axis=1)
@@ -170,6 +174,20 @@ def _whole_runs(batches: Iterator[pa.RecordBatch], at_once: int = 1 << 18) -> It
         yield tuple(np.concatenate(held, axis=1))
 
 
+def cut_hot(keyed: DataFrame, hot: DataFrame, by: str) -> DataFrame:
+    """``keyed`` with the buckets of ``hot(key, chunks)`` cut into chunks by a hash of the column ``by``.
+
+    Every two chunks of a bucket meet under a key of their own. Keys are hashes: where two coincide more is compared.
+    """
+    if hot.isEmpty():
+        return keyed
+    own = F.pmod(F.xxhash64(by), F.col("chunks"))
+    other = F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    dealt = keyed.join(hot, "key", "left").select(*keyed.columns, "chunks", own.alias("own"), other.alias("other"))
+    item = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    return dealt.withColumn("key", F.when(F.col("chunks").isNull(), F.col("key")).otherwise(item)).select(*keyed.columns)
+
+
 def _buckets(fp: Column) -> Column:
     """The ten bucket numbers of a fingerprint: which two blocks, and their bits."""
     blocks = [F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << bits) - 1)) for low, bits in BLOCKS]
@@ -182,41 +200,30 @@ def links(groups: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius > len(BLOCKS) - 2:
         raise ValueError("the blocks find links of at most three differing bits")
     keyed = groups.select(F.explode(_buckets(F.col("fp"))).alias("key"), "fp", "id")
-    hot = materialize(keyed.groupBy("key").count().filter(F.col("count") > HOT), "hot-buckets")
-    if not hot.isEmpty():
-        chunks = F.ceil(F.col("count") / CHUNK)
-        own = F.pmod(F.xxhash64("fp"), chunks)
-        other = F.explode(F.when(F.col("count").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-        items = keyed.join(hot, "key", "left").select("key", "fp", "id", "count", own.alias("own"), chunks.alias("chunks"), other.alias("other"))
-        number = F.coalesce(F.least("own", "other") * F.col("chunks") + F.greatest("own", "other"), F.lit(0))
-        keyed = items.select(F.col("key").bitwiseOR(F.shiftleft(number, 30)).alias("key"), "fp", "id")
+    hot = materialize(keyed.groupBy("key").count().filter(F.col("count") > HOT).select("key", F.ceil(F.col("count") / CHUNK).alias("chunks")), "hot-buckets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, fps, ids in _whole_runs(batches):
+        for keys, fps, ids in whole_runs(batches):
             a, b = linked(keys, fps.view(np.uint64), ids, radius)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return cut_hot(keyed, hot, "fp").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row of ``docs``.
 
     Documents are linked when their fingerprints differ in at most ``radius`` bits; ``component_id`` is the smallest
-    ``doc_id`` reachable, the own one included. Null texts count as empty; texts without words have fingerprint zero
+    ``doc_id`` reachable, the own one included. Rows that share an id are documents of their own. Null texts count as empty; texts without words have fingerprint zero
     and are linked like others; a null ``doc_id`` is larger than any other; rows may repeat; an empty table gives an
     empty result; other columns are ignored.
     """
     members = materialize(with_fingerprints(docs, size), "fingerprints")
     groups = materialize(members.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("id"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
-    roots = connected(links(groups, radius))
-    named = groups.join(roots, groups["id"] == roots["node"], "left").select("fp", "n", F.coalesce("root", "id").alias("component"))
-    rows = join_by_group(members, materialize(named, "named-fingerprints"), "fp", "n")
+    # components of fingerprints, not of ids, which may repeat
+    roots = connected(links(groups.select("fp", F.col("fp").alias("id")), radius))
+    rooted = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "n", "id", F.coalesce("root", "fp").alias("root"))
+    least = materialize(rooted.groupBy("root").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("n_fps")), "components")
+    named = materialize(join_by_group(rooted, least, "root", "n_fps").select("fp", "n", "component"), "named-fingerprints")
+    rows = join_by_group(members, named, "fp", "n")
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.nullif(F.col("component"), F.lit(NO_ID)).alias("component_id"))
-
-
-def one_of_each(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest of its component, with all their columns; of a repeated id one row."""
-    kept = near_duplicates(docs, radius, size).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(id_key().alias("__key")).distinct()
-    # one shuffle of the texts: what the join is dealt by serves the removal of repeated rows, too
-    return docs.withColumn("__key", id_key()).join(kept.hint("merge"), "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)

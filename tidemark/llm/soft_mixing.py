@@ -10,9 +10,10 @@ domain, by projected gradient: each iteration is one distributed sum of a few nu
 the token-weighted metric a document's step depends on its own posterior and the residuals alone, so its rate is a fold
 over the residuals so far and no state is kept by document.
 
-Contract: a null text counts as empty and has no tokens; rows may repeat and each has its own rate; without labels all
-posteriors are equal; an empty table gives an empty result; other columns are ignored. Labels without a document are
-ignored.
+Contract: a null text counts as empty and has no tokens; rows may repeat, and each has its own rate; copies are decided
+by id and text, so unlike texts under a null or repeated id are documents of their own; without labels all posteriors
+are equal; an empty table gives an empty result; other columns are ignored, whatever their names. Labels without a
+document are ignored. A fit that does not come to rest raises.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, bounded_labels, id_key, materialize
+from .common import bounded_batches, bounded_labels, id_key, materialize, spare, text_key
 
 DOMAINS = ("clean", "low_quality", "toxic")
 
@@ -152,7 +153,7 @@ def _featurise(sample: DataFrame, model: DomainModel) -> DataFrame:
 
 
 def posterior_table(docs: DataFrame, model: DomainModel) -> DataFrame:
-    """``doc_id, n_tokens`` and a posterior for each domain, for every row of ``docs``: one pass."""
+    """``doc_id, text_hash, n_tokens`` and a posterior for each domain, for every row of ``docs``: one pass."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"p_{d}" for d in DOMAINS]
@@ -163,10 +164,11 @@ def posterior_table(docs: DataFrame, model: DomainModel) -> DataFrame:
                 continue
             found = [shared.value.features(t) for t in batch.column("text").to_pylist()]
             p = shared.value.posteriors(np.array([f[1] for f in found]), [f[2] for f in found])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in found], pa.int64()), *[pa.array(p[:, k]) for k in range(len(DOMAINS))]], ["doc_id", "n_tokens", *names])
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array([f[0] for f in found], pa.int64()), *[pa.array(p[:, k]) for k in range(len(DOMAINS))]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_tokens", *names])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n_tokens long, " + ", ".join(f"{n} double" for n in names))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_hash"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return slim.mapInArrow(run, "doc_id long, text_hash long, n_tokens long, " + ", ".join(f"{n} double" for n in names))
 
 
 @dataclass(frozen=True)
@@ -177,6 +179,8 @@ class Rates:
     rate: float
     penalty: float
     max_rate: float | None
+    #: By domain, what the expected share of all tokens misses its target by; not 0 where no allowed rates meet it.
+    residuals: tuple[float, ...] = ()
 
     def column(self, names: list[str]) -> Column:
         if not self.steps:
@@ -193,12 +197,13 @@ class Rates:
         return F.aggregate(history, F.lit(1.0), step)
 
 
-def fit_rates(posteriors: DataFrame, target_weights: dict[str, float], budget: float | None = 1.0, max_rate: float | None = None, penalty: float = 1e-3, iterations: int = 40, tolerance: float = 1e-4) -> Rates:
+def fit_rates(posteriors: DataFrame, target_weights: dict[str, float], budget: float | None = 1.0, max_rate: float | None = None, penalty: float = 1e-3, iterations: int = 400, tolerance: float = 1e-4) -> Rates:
     """Rates whose expected domain token totals match ``target_weights`` of ``budget`` times all tokens.
 
     A budget of None is the one at which the target of the clean domain is what there is of it.
     ``posteriors`` should be materialised. Stops when every domain is within ``tolerance`` of its target, relative to
-    all tokens, or when a step changes no residual by a tenth of that, or after ``iterations``.
+    all tokens, or when a step changes no residual by a tenth of that: no allowed rates come closer then, and
+    ``residuals`` says how far off they are. Raises if neither happens in ``iterations``.
     """
     if set(target_weights) != set(DOMAINS) or min(target_weights.values()) < 0 or not sum(target_weights.values()):
         raise ValueError(f"weights for {DOMAINS} are needed, none negative, not all 0")
@@ -219,47 +224,48 @@ def fit_rates(posteriors: DataFrame, target_weights: dict[str, float], budget: f
     # every row of the scaled Gram matrix sums to at most 1, so its norm is at most 1 and this step is safe
     rate = 1 / (1 + penalty)
     steps: list[tuple[float, ...]] = []
-    for _ in range(iterations):
-        residuals = [s - t for s, t in zip(shares, targets, strict=True)]
-        if max(map(abs, residuals)) <= tolerance:
-            break
+    for _ in range(iterations + 1):
+        residuals = tuple(s - t for s, t in zip(shares, targets, strict=True))
+        moved = max(abs(a - b) for a, b in zip(before, shares, strict=True)) if steps else 1.0
+        if max(map(abs, residuals)) <= tolerance or moved <= tolerance / 10:
+            return Rates(tuple(steps), rate, penalty, max_rate, residuals)
         steps.append(tuple(e / s for e, s in zip(residuals, present, strict=True)))
         fitted = Rates(tuple(steps), rate, penalty, max_rate).column(names)
         sums = posteriors.select(tokens.alias("t"), fitted.alias("r"), *names).agg(*[F.sum(F.col("t") * F.col("r") * F.col(n)) for n in names]).first()
         before, shares = shares, [x / total for x in sums]
-        if max(abs(a - b) for a, b in zip(before, shares, strict=True)) <= tolerance / 10:
-            break
-    return Rates(tuple(steps), rate, penalty, max_rate)
+    raise RuntimeError(f"the rates do not come to rest in {iterations} iterations")
 
 
 #: Target token shares of the domains.
 TARGETS = {"clean": 0.94, "low_quality": 0.04, "toxic": 0.02}
 
 
+def _mixed(docs: DataFrame, labels: DataFrame, target_weights: dict[str, float] | None, budget: float | None, max_rate: float | None) -> DataFrame:
+    table = materialize(posterior_table(docs, learn_domains(docs, labels)), "posteriors")
+    rates = fit_rates(table, target_weights or TARGETS, budget, max_rate)
+    rated = table.withColumn("rate", rates.column([f"p_{d}" for d in DOMAINS]))
+    return rated.withColumn("copies", copies(F.col("rate"), id_key(), F.col("text_hash")))
+
+
 def mix(docs: DataFrame, labels: DataFrame, target_weights: dict[str, float] | None = None, budget: float | None = 1.0, max_rate: float | None = None) -> DataFrame:
     """``doc_id, n_tokens``, posteriors, ``rate`` and ``copies`` for every row of ``docs``.
 
-    ``copies`` is the rate rounded up or down by a hash of the id, so its expectation is the rate.
+    ``copies`` is the rate rounded up or down by a hash of id and text, so its expectation is the rate.
     """
-    table = materialize(posterior_table(docs, learn_domains(docs, labels)), "posteriors")
-    rates = fit_rates(table, target_weights or TARGETS, budget, max_rate)
-    rated = table.withColumn("rate", rates.column([f"p_{d}" for d in DOMAINS]))
-    return rated.withColumn("copies", copies(F.col("doc_id"), F.col("rate")))
+    return _mixed(docs, labels, target_weights, budget, max_rate).drop("text_hash")
 
 
-def copies(doc_id: Column, rate: Column) -> Column:
-    chance = F.pmod(F.xxhash64(doc_id, F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
+def copies(rate: Column, *row: Column) -> Column:
+    chance = F.pmod(F.xxhash64(*row, F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     return (F.floor(rate) + (chance < rate - F.floor(rate)).cast("long")).cast("long")
 
 
 def resample(docs: DataFrame, labels: DataFrame, target_weights: dict[str, float] | None = None, budget: float | None = 1.0, max_rate: float | None = None) -> DataFrame:
-    """The rows of ``docs`` as often as ``mix`` says, with all their columns.
-
-    The rates are joined by ``doc_id`` (rows that repeat an id share one decision, that of the highest rate).
-    """
-    rated = mix(docs, labels, target_weights, budget, max_rate)
-    decided = rated.groupBy(id_key().alias("__key")).agg(F.max("copies").alias("__copies")).filter("__copies > 0")
-    joined = docs.withColumn("__key", id_key()).join(decided.hint("merge"), "__key")
+    """The rows of ``docs`` as often as ``mix`` says, with all their columns; rows of equal id and text share a decision."""
+    keys = spare(docs, "key", "text_hash", "copies", "copy")
+    rated = _mixed(docs, labels, target_weights, budget, max_rate)
+    decided = rated.groupBy(id_key().alias(keys[0]), F.col("text_hash").alias(keys[1])).agg(F.max("copies").alias(keys[2])).filter(F.col(keys[2]) > 0)
+    joined = docs.withColumns({keys[0]: id_key(), keys[1]: text_key()}).join(decided.hint("merge"), keys[:2])
     if max_rate is not None and max_rate <= 1:
         return joined.select(*docs.columns)
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns)
+    return joined.withColumn(keys[3], F.explode(F.sequence(F.lit(1).cast("long"), F.col(keys[2])))).select(*docs.columns)

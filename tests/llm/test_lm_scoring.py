@@ -73,12 +73,12 @@ def test_models_are_distributions():
             assert sum(model.p(h, w) for w in model.shares) == pytest.approx(1)
 
 
-@pytest.mark.parametrize(("n_words", "n_bytes"), [(1 << 20, 1 << 22), (50, 16), (1, 1)])
+@pytest.mark.parametrize(("n_bytes", "n_block"), [(6 << 20, 1 << 20), (50, 16), (7, 3), (1, 1)])
 @pytest.mark.parametrize("n_frequent", [0, 3, 1000])
-def test_chunks_of_any_size_give_the_same(monkeypatch, n_words, n_bytes, n_frequent):
+def test_chunks_of_any_size_give_the_same(monkeypatch, n_bytes, n_block, n_frequent):
     """Mapper and reducer in one process, with texts cut anywhere and any words dealt apart."""
-    monkeypatch.setattr(L, "WORDS_AT_ONCE", n_words)
-    monkeypatch.setattr(L, "BYTES_AT_ONCE", n_bytes)
+    monkeypatch.setattr(L, "CHUNK_BYTES", n_bytes)
+    monkeypatch.setattr(L, "BLOCK_BYTES", n_block)
     rng = np.random.default_rng(3)
     docs = [*DOCS, *[(100 + k, " ".join(f"w{x}" for x in rng.zipf(1.4, 60) if x < 500)) for k in range(30)]]
     labels = [*LABELS, *[(100 + k, k % 2) for k in range(30)]]
@@ -87,7 +87,7 @@ def test_chunks_of_any_size_give_the_same(monkeypatch, n_words, n_bytes, n_frequ
     background = brute_models(docs, labels)[1]
     common = [w for w, _ in background.words.most_common(n_frequent)]
     pairs = [(w, h) for (h, w), _ in background.pairs.most_common(n_frequent // 3) if w in common and h != "<s>"]
-    hashed = lambda ws: L._hashes([w.encode() for w in ws])
+    hashed = lambda ws: np.array([h for w in ws for h in L.word_hashes(w.encode())[0]], np.uint64)
     names = np.array(sorted(hashed(common).tolist()), np.uint64)
     coded = np.stack([hashed([p[0] for p in pairs]), hashed([p[1] for p in pairs])], axis=1).reshape(-1, 2)
     coded = coded[np.argsort(L.pair_codes(coded[:, 0], coded[:, 1]))]
@@ -103,32 +103,44 @@ def test_chunks_of_any_size_give_the_same(monkeypatch, n_words, n_bytes, n_frequ
                 asked.counts[asked.places(w)[0]] += told
             else:
                 asked.pair_counts[asked.pair_places(w, h)[0]] += told[:2]
-    models, sums, buckets = L.Models(totals, asked), Counter(), {}
-    ids, n = {}, Counter()
+    models, told, buckets = L.Models(totals, asked), {}, {}
     for chunk in L.chunks(iter([batch])):
         for p in zip(*[c.to_pylist() for c in L.parcels(chunk, models, 5).columns], strict=True):
             if p[1] == L.TEXTS:
-                for row, i, none, size, t, b in zip(*[np.frombuffer(x, bool if k == 2 else np.int64).tolist() for k, x in enumerate(p[3:])], strict=True):
-                    ids[row] = None if none else i
-                    n[row] += size
-                    sums[row, 0] += t
-                    sums[row, 1] += b
+                told.setdefault(p[2], []).append((p[1], *p[3:]))
             else:
-                buckets.setdefault(p[0], []).append(L._opened(p))
+                buckets.setdefault(p[0], []).append(L.Opened.of(p))
     for opened in buckets.values():
-        for r in L.scored(opened, models).to_pylist():
+        for p in zip(*[c.to_pylist() for c in L.scored(opened, models).columns], strict=True):
+            told.setdefault(p[2], []).append((p[1], *p[3:]))
+    ids, n, sums = {}, Counter(), Counter()
+    for base, parts in told.items():
+        for r in L.added_up(base, parts).to_pylist():
+            ids[r["row"]] = r["doc_id"]
+            n[r["row"]] += r["n_words"]
             sums[r["row"], 0] += r["target"]
             sums[r["row"], 1] += r["background"]
     got = [(ids[row], n[row], *[sums[row, k] / L.UNIT / n[row] if n[row] else None for k in range(2)]) for row in ids]
     assert_same(got, brute(docs, labels))
 
 
+def test_hashes_are_those_of_the_words(spark, small):
+    seen = {}
+    for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect():
+        raw = r.text.lower().encode()
+        hashes, places = L.word_hashes(raw)
+        assert [w for w in words(r.text)] == [raw[p:].split(b" ")[0].decode(errors="replace")[: len(w)] for p, w in zip(places, words(r.text), strict=True)]
+        for w, h in zip(words(r.text), hashes.tolist(), strict=True):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen) > 1000
+
+
 def test_very_frequent_bigrams_are_counted_apart(spark):
     docs = [(k, "again and again") for k in range(50)] + [(100 + k, f"a{k} b{k} c{k} d{k}") for k in range(50)]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("row", L.F.monotonically_increasing_id()).withColumn("is_target", L.F.lit(False))
     totals, found = L.count_frequent(df.select("row", "doc_id", "is_target", "text"), 1)
     assert totals == L.Totals(350, 0, 100, 0) and len(found.words) <= 16 and len(found.pairs) <= 16
-    again, both = L._hashes([b"again", b"and"])
+    again, both = L.word_hashes(b"again and")[0]
     assert found.counts[found.places(np.array([again]))[0]].tolist() == [100, 0, 50, 0]
     assert found.pair_counts[found.pair_places(np.array([again]), np.array([both]))[0]].tolist() == [50, 0]
 

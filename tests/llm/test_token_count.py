@@ -26,6 +26,28 @@ def test_random_texts(encoder):
         assert encoder.encode(text) == encoder.processor.encode(text)
 
 
+@pytest.mark.parametrize(("chunk", "overlap"), [(17, 1), (33, 2), (64, 8), (200, 64)])
+def test_no_chunk_length_changes_a_count(chunk, overlap, spark, small):
+    encoder = T.ResyncEncoder(sentencepiece.SentencePieceProcessor(model_file=MODEL), chunk, overlap)
+    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").limit(40).collect()]
+    for text in [*texts, "a" * 900 + " b" * 60, "x" * 100 + "日" * 700, "\n" * 500 + "end of it all " * 9]:
+        assert encoder.encode(text) == encoder.processor.encode(text)
+
+
+def test_splices_are_common_to_both_encodings(encoder, monkeypatch):
+    """Boundaries that the other encoding lacks are refused, and the overlap is widened."""
+    text, asked, plain = "one two three " * 200, [], T.ResyncEncoder._common
+
+    def common(self, text, start, end, start_at, left, right):
+        asked.append(end - start)
+        # as if the right encoding began no token in a narrow overlap
+        return plain(self, text, start, end, start_at, left, right if end - start > 20 else [])
+
+    monkeypatch.setattr(T.ResyncEncoder, "_common", common)
+    assert encoder.encode(text) == encoder.processor.encode(text)
+    assert max(asked) > 20 and min(asked) <= 8
+
+
 def test_documents(encoder, spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     for r in docs.collect():

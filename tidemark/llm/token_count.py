@@ -1,10 +1,11 @@
 """Token counts of a SentencePiece BPE model, with overlap resynchronisation for huge documents.
 
-A text of at most ``chunk_chars`` characters is encoded whole. A longer one is encoded in chunks that overlap; two
-neighbouring encodings, with their offsets, are spliced at a common boundary in the overlap that is proven stable: no
-piece of the vocabulary contains the two characters that meet there, so no merge of the whole text can span it, and
-what either side encodes to does not depend on the other. When an overlap has no such boundary, it is widened until it
-has one or reaches the end of the text.
+A text of at most ``chunk_chars`` characters is encoded whole. A longer one is encoded in chunks that overlap. Two
+neighbouring encodings are compared in their overlap, by the offsets of their tokens, and spliced at a common boundary,
+one at which either begins a token, that is proven stable: no piece of the vocabulary contains the two characters that
+meet there, so no merge of the whole text can span it, and what either side encodes to does not depend on the other.
+Where the alignment fails, because the overlap has no such boundary, it is widened, towards the begin of the chunk
+before and, when that is used up, by a longer chunk, until there is one or the text ends.
 
 Contract: null texts count as empty (0 bytes, 0 tokens); rows may repeat and are counted each on its own; an empty
 table gives an empty result; other columns are ignored.
@@ -57,35 +58,63 @@ class ResyncEncoder:
         pair = (left + right).replace(" ", SPACE)
         return pair not in self.joined and (self.bytes_for_unknown or bool(self.known & set(pair)))
 
-    def offsets(self, chunk: str) -> tuple[list[int], list[int]]:
-        """Token ids and the UTF-8 position in the chunk at which each begins."""
-        pieces = self.processor.encode(chunk, return_type="proto").pieces
-        return [p.id for p in pieces], [p.begin for p in pieces]
+    def offsets(self, text: str, begin: int, end: int, at: int) -> tuple[list[int], list[int]]:
+        """Token ids of ``text[begin:end]`` and the UTF-8 position in the text at which each begins, that of ``begin`` being ``at``."""
+        pieces = self.processor.encode(text[begin:end], return_type="proto").pieces
+        return [p.id for p in pieces], [at + p.begin for p in pieces]
 
     def encode(self, text: str) -> list[int]:
         if len(text) <= self.chunk_chars or not self.provable:
             return self.processor.encode(text)
         out: list[int] = []
-        done = begin = 0  # the kept tokens cover text[:done]; the present chunk begins at or before that
-        size = self.chunk_chars
-        while True:
-            end = min(len(text), begin + size)
-            ids, starts = self.offsets(text[begin:end])
-            first = bisect_left(starts, len(text[begin:done].encode())) if begin else 0
-            if end == len(text):
-                return out + ids[first:]
-            cut = self._boundary(text, done, end)
-            if cut is None:  # alignment failed: widen
-                size *= 2
-                continue
-            last = bisect_left(starts, len(text[begin:cut].encode()))
-            out += ids[first:last]
-            # the next chunk repeats an overlap, in which its own first tokens and the prefix that the model adds are lost
-            done, begin, size = cut, max(0, cut - self.overlap_chars), self.chunk_chars
-
-    def _boundary(self, text: str, done: int, end: int) -> int | None:
-        """The last stable boundary after ``done`` and before ``end``."""
-        return next((cut for cut in range(end - 1, done, -1) if self.stable(text[cut - 1], text[cut])), None)
+        done = done_at = 0  # the kept tokens cover text[:done], its first done_at bytes
+        end = min(len(text), self.chunk_chars)
+        begin, begin_at = 0, 0
+        left = self.offsets(text, begin, end, begin_at)
+        while end < len(text):
+            overlap, size = self.overlap_chars, self.chunk_chars
+            while True:
+                start = max(done, end - overlap)
+                start_at = done_at + len(text[done:start].encode())
+                until = min(len(text), max(start + size, end + self.overlap_chars))
+                right = self.offsets(text, start, until, start_at)
+                cut = self._common(text, start, end, start_at, left[1], right[1])
+                if cut or until == len(text) and start == done:
+                    break
+                if start > done:  # alignment failed: widen the overlap
+                    overlap *= 2
+                else:  # and then the chunk
+                    size *= 2
+                    end = min(len(text), begin + max(size, end - begin + self.chunk_chars))
+                    left = self.offsets(text, begin, end, begin_at)
+                    overlap = end - done
+            if not cut:  # nothing aligns up to the end of the text: the chunk before takes it all
+                end = len(text)
+                left = self.offsets(text, begin, end, begin_at)
+                break
+            out += left[0][bisect_left(left[1], done_at) if done else 0 : bisect_left(left[1], cut[1])]
+            done, done_at = cut
+            begin, begin_at, end, left = start, start_at, until, right
+        return out + left[0][bisect_left(left[1], done_at) if done else 0 :]
+
+    def _common(self, text: str, start: int, end: int, start_at: int, left: list[int], right: list[int]) -> tuple[int, int] | None:
+        """The last stable boundary between ``start`` and ``end`` at which both encodings begin a token: its character and byte.
+
+        The first character of the overlap does not count: there the model may add a prefix.
+        """
+        both = set(left[bisect_left(left, start_at + 1) :]).intersection(right)
+        at, found = start_at, None
+        for k in range(start, end):
+            if k > start and at in both and self.stable(text[k - 1], text[k]):
+                found = k, at
+            at += _width(text[k])
+        return found
+
+
+def _width(character: str) -> int:
+    """Bytes of a character in UTF-8."""
+    code = ord(character)
+    return 1 if code < 0x80 else 2 if code < 0x800 else 3 if code < 0x10000 else 4
 
 
 @cache

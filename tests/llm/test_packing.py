@@ -86,3 +86,39 @@ def test_query_contract(spark):
             at += r.length
         assert at == len(ids)
     assert P.pack(df.limit(0), PATH).count() == 0
+
+
+def test_null_and_repeated_ids_lose_nothing(spark):
+    rows = [(7, None), (7, "one two"), (7, "one two"), (None, "x y z"), (None, "x"), (1, "")]
+    plain = Tokenizer.from_file(PATH)
+    got = P.pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
+    want = sorted(((i, np.array([*plain.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in rows), key=repr)
+    assert sum(r.length for r in got) == sum(len(w[1]) // 4 for w in want)
+    # windows are read in order of their sequences: the ids of each document's pieces, cut or whole
+    tokens = lambda pairs: sorted((repr(i), ids[k : k + 4]) for i, ids in pairs for k in range(0, len(ids), 4))
+    assert tokens((r.doc_id, bytes(r.ids)) for r in got) == tokens(want)
+    assert {(r.doc_id, r.doc_tokens) for r in got} == {(i, len(ids) // 4) for i, ids in want}
+
+
+def test_time_grows_with_the_text(spark):
+    """Cutting copies nothing: a piece of a long text is a view of it."""
+    packer = P.SumOfSquaresPacker(64, 8)
+    ids = memoryview(bytes(4 * 64 * 1000 + 40))
+    windows = list(packer.add(P.Piece(1, 0, ids, len(ids) // 4)))
+    assert len(windows) == 1000 and all(w[0].ids.obj is ids.obj for w in windows)
+    (left,) = [p for ws in packer.windows.values() for w in ws for p in w]
+    assert len(left) == 10 and left.ids.obj is not ids.obj  # what stays open holds no long text
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+
+    spec = json.loads(Tokenizer.from_file(PATH).to_str())
+    assert P.CachedTokenizer(PATH).by_chunks
+    for change in ({"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}, {"normalizer": {"type": "Prepend", "prepend": "x"}}):
+        path = str(tmp_path / "other.json")
+        Tokenizer.from_str(json.dumps(spec | change)).save(path)
+        other = P.CachedTokenizer(path)
+        assert not other.by_chunks
+        for text in ("one two  three", " x\ty"):
+            assert other.encode(text) == np.array(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -16,7 +16,9 @@ the task, then a count within it.
 
 from __future__ import annotations
 
+import json
 import re
+from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -47,12 +49,34 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(printable) else chr(next(others)) for b in range(256)]
 
 
+#: Normalisers that change characters one by one, or compose them with a mark that follows.
+LOCAL_NORMALISERS = {"NFC", "Lowercase", "Replace"}
+
+
+def drops_blanks(spec: dict, tokenizer: Tokenizer) -> bool:
+    """Whether no token of this tokenizer can depend on what stands beyond a blank."""
+    steps = spec.get("normalizer") or {"normalizers": []}
+    steps = steps.get("normalizers", [steps])
+    local = all(n["type"] in LOCAL_NORMALISERS for n in steps) and all(n["content"].isspace() and n["pattern"] == {"Regex": r"\s+"} for n in steps if n["type"] == "Replace")
+    parts = spec.get("pre_tokenizer") or {}
+    parts = parts.get("pretokenizers", [parts])
+    first = parts[0]
+    removed = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True
+    plain = all(p.get("add_prefix_space", False) is False for p in parts) and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
+    added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"])) for t in spec.get("added_tokens", []))
+    if not (local and removed and plain and added and spec.get("post_processor") is None):
+        return False
+    words = [w for w, _ in tokenizer.pre_tokenizer.pre_tokenize_str("ab \t\ncd  é")]
+    return words[:2] == ["ab", "cd"] and len(words) == 3
+
+
 class CachedTokenizer:
     """Little-endian 32-bit ids of texts. Chunks between blanks are encoded on their own and remembered.
 
     That is exact for a tokenizer whose normaliser maps character by character or composes marks with the character
-    before, and whose pre-tokenizer drops blanks: no token can span one. Chunks of plain words go straight to the model
-    where a probe shows that the tokenizer treats them so; all others go through the whole tokenizer.
+    before, and whose pre-tokenizer drops blanks: no token can span one. ``by_chunks`` tells whether the tokenizer's
+    own description says so; the texts of any other one are encoded whole. Chunks of plain words go straight to the
+    model where a probe shows that the tokenizer treats them so; all others go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -62,6 +86,7 @@ class CachedTokenizer:
         self.packed = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
         self.seen: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
+        self.by_chunks = drops_blanks(json.loads(self.tokenizer.to_str()), self.tokenizer)
         self.direct = all(self._plain(x) == self._full(x) for x in ("Word.", "straßE", "!!", "Été$$$", "x", "it'"))
 
     def _full(self, chunk: str) -> bytes:
@@ -97,6 +122,8 @@ class CachedTokenizer:
         return ids
 
     def encode(self, text: str) -> bytes:
+        if not self.by_chunks:
+            return self._full(text)
         chunks = BLANK_CHUNKS.split(text) if SEPARATORS.search(text) else text.split()
         found = list(map(self.seen.get, chunks))
         if None in found:
@@ -111,9 +138,11 @@ def load_tokenizer(path: str) -> CachedTokenizer:
 
 @dataclass
 class Piece:
+    """A part of a document's ids; cutting copies none of them."""
+
     doc_id: int | None
     start: int
-    ids: bytes
+    ids: memoryview
     doc_tokens: int
 
     def __len__(self) -> int:
@@ -155,6 +184,8 @@ class SumOfSquaresPacker:
             yield [head]
         if not len(piece):
             return
+        if piece.start:  # an open window must not hold on to the whole of a long document
+            piece.ids = memoryview(bytes(piece.ids))
         level = self.best_level(len(piece))
         window: list[Piece] = []
         if level:
@@ -204,7 +235,7 @@ class SumOfSquaresPacker:
     def close(self) -> Iterator[list[Piece]]:
         """All that is open: full windows, then one for each power of two in the number of tokens left."""
         yield from self._consolidate()
-        rest = [piece for ws in self.windows.values() for w in ws for piece in w]
+        rest = deque(piece for ws in self.windows.values() for w in ws for piece in w)
         self.windows, self.n_open = {}, 0
         self.levels[:] = 0
         left = sum(map(len, rest))
@@ -213,10 +244,10 @@ class SumOfSquaresPacker:
                 continue
             window, room = [], 1 << power
             while room:
-                piece = rest.pop(0)
+                piece = rest.popleft()
                 if len(piece) > room:
                     piece, after = piece.cut(room)
-                    rest.insert(0, after)
+                    rest.appendleft(after)
                 window.append(piece)
                 room -= len(piece)
             yield window
@@ -231,7 +262,7 @@ def _rows(windows: Iterable[list[Piece]], first_id: int) -> list[tuple]:
     for k, window in enumerate(windows, first_id):
         offset = 0
         for p in window:
-            rows.append((p.doc_id, p.start, len(p), p.ids, p.doc_tokens, k, offset))
+            rows.append((p.doc_id, p.start, len(p), bytes(p.ids), p.doc_tokens, k, offset))
             offset += len(p)
     return rows
 
@@ -259,10 +290,11 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size: int = 4096
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = tokenizer.encode(text) + end
-                done += packer.add(Piece(doc_id, 0, ids, len(ids) // 4))
-                if len(done) >= 256:
-                    yield emitted(done)
-                    done = []
+                for window in packer.add(Piece(doc_id, 0, memoryview(ids), len(ids) // 4)):
+                    done.append(window)
+                    if len(done) >= 256:
+                        yield emitted(done)
+                        done = []
         done += packer.close()
         if done:
             yield emitted(done)

@@ -54,3 +54,14 @@ def test_hot_conversation(spark):
     df = spark.range(3000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.concat(F.lit("<"), F.col("id").cast("string")).alias("text"))
     r = C.chat_digests(C.format_chats(df)).first()
     assert r.n_turns == 3000 and r.loss_sha256 == hashlib.sha256("".join(f"<{i}" for i in range(3000)).encode()).hexdigest()
+
+
+def test_parts_are_told_from_texts_that_say_the_same(spark):
+    body = r"see \limage\g<image><audio>a\eb<document>!"
+    got = spark.range(1).select(C.parts_of(F.lit(body)).alias("p")).first().p
+    assert [tuple(x) for x in got] == [("text", "see <image>"), ("image", None), ("audio", None), ("text", "a\\b"), ("document", None), ("text", "!")]
+
+
+def test_a_column_named_content_of_another_type_is_ignored(spark):
+    df = spark.createDataFrame([(1, 0, "user", "hello", "else")], "conv_id long, turn long, role string, text string, content string")
+    assert C.format_chats(df).first().formatted == "<turn user>\nhello</turn>\n"

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import all_of, appended, let, nothing
 
 #: In the order of escaping; undone in the opposite order.
 ESCAPES = (("\\", "\\e"), ("<", "\\l"), (">", "\\g"))
@@ -83,10 +83,12 @@ def format_chats(turns: DataFrame, visitor: PartVisitor | None = None, loss_role
     Returns ``conv_id``, ``formatted``, ``spans`` (an array, one for each turn under the loss: the number of the turn
     from 0, where its text starts in the turn and in ``formatted``, and its length, in code points) and ``attachments``
     (turn, place among the attachments of the conversation, kind, reference and expanded tokens of every placeholder).
-    ``content`` is an array of parts as ``PART`` describes; without it ``text`` is the only part.
+    ``content`` is an array of parts as ``PART`` describes; without it, or where a column of that name is of another
+    type, ``text`` is the only part.
     """
     visitor = visitor or PartVisitor()
-    content = F.col("content") if "content" in turns.columns else text_parts(F.col("text"))
+    kinds = dict(turns.dtypes)
+    content = F.col("content") if kinds.get("content", "").startswith("array<struct<kind:") else text_parts(F.col("text"))
     role = F.coalesce(F.col("role"), F.lit(""))
     parts = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"),
@@ -105,9 +107,9 @@ def format_chats(turns: DataFrame, visitor: PartVisitor | None = None, loss_role
         return F.concat(t["head"], t["body"], F.lit(CLOSE))
 
     def spans(turns: Column) -> Column:
-        empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("starts"))
+        empty = F.struct(F.lit(0).cast("long").alias("at"), nothing("long").alias("starts"))
         length = lambda t: (F.char_length(t["head"]) + F.char_length(t["body"]) + len(CLOSE)).cast("long")
-        starts = F.aggregate(turns, empty, lambda acc, t: F.struct((acc["at"] + length(t)).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts")), lambda acc: acc["starts"])
+        starts = F.aggregate(turns, empty, lambda acc, t: F.struct((acc["at"] + length(t)).alias("at"), appended(acc["starts"], acc["at"]).alias("starts")), lambda acc: all_of(acc["starts"]))
 
         def with_starts(at: Column) -> Column:
             every = F.transform(
@@ -133,7 +135,10 @@ def format_chats(turns: DataFrame, visitor: PartVisitor | None = None, loss_role
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """``conv_id, turns(role, text), loss_texts`` from ``formatted`` and ``spans`` alone. Placeholders stay as they are in texts."""
+    """``conv_id, turns(role, text), loss_texts`` from ``formatted`` and ``spans`` alone.
+
+    Placeholders stay in the texts as they are; ``parts_of`` tells them from texts that say the same.
+    """
     pieces = F.split(F.col("formatted"), CLOSE)  # the last is empty: every turn ends in the mark, which no text holds
     cut = formatted.select("conv_id", "formatted", "spans", F.slice(pieces, F.lit(1), F.size(pieces) - 1).alias("pieces"))
 
@@ -149,6 +154,17 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return cut.select("conv_id", "formatted", F.transform("pieces", turn).alias("turns"), F.transform("spans", masked).alias("loss_texts"))
 
 
+def parts_of(body: Column) -> Column:
+    """Array of ``(kind, text)`` of a turn's formatted text: placeholders and the texts between them, in order.
+
+    In an escaped text no angle bracket stands, so a bracket always belongs to a placeholder. Adjacent texts are one part.
+    """
+    # a part begins at every opening bracket and after every closing one
+    pieces = F.filter(F.split(body, r"(?=<)|(?<=>)"), lambda p: p != "")
+    is_mark = lambda p: F.startswith(p, F.lit("<"))
+    return F.transform(pieces, lambda p: F.struct(F.when(is_mark(p), F.btrim(p, F.lit("<>"))).otherwise("text").alias("kind"), F.when(is_mark(p), F.lit(None).cast("string")).otherwise(unescape(p)).alias("text")))
+
+
 def chat_digests(formatted: DataFrame) -> DataFrame:
     """Digests of what is read back from the output of ``format_chats``."""
     back = read_back(formatted)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import let
 from ..sources.scratch import materialize, scratch_path
 
-__all__ = ["BLANKS", "BLANK_RUN", "bounded_batches", "NO_ID", "bounded_labels", "id_key", "join_by_group", "let", "materialize", "read_table", "scratch_path", "spare", "text_key"]
+__all__ = ["BLANKS", "BLANK_RUN", "all_of", "appended", "bounded_batches", "NO_ID", "bounded_labels", "id_key", "join_by_group", "let", "materialize", "nothing", "read_table", "scratch_path", "spare", "text_key"]
 
 #: Regex class of the blanks that separate words, as `[\x20\x09-\x0D]`.
 BLANKS = " \t\n\x0b\f\r"
@@ -47,6 +47,27 @@ def id_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
 
 
+#: Entries that a fold appends one by one before it lays them aside: appending copies.
+LAID_ASIDE = 256
+
+
+def nothing(kind: str) -> Column:
+    """What ``appended`` begins with, for entries of the SQL type ``kind``."""
+    return F.struct(F.array().cast(f"array<array<{kind}>>").alias("done"), F.array().cast(f"array<{kind}>").alias("open"))
+
+
+def appended(held: Column, entry: Column) -> Column:
+    """``held`` and an entry more, within a fold: no step copies more than ``LAID_ASIDE`` entries, or a list of such lists."""
+    full = F.size(held["open"]) >= LAID_ASIDE
+    done = F.when(full, F.array_append(held["done"], held["open"])).otherwise(held["done"])
+    return F.struct(done.alias("done"), F.when(full, F.array(entry)).otherwise(F.array_append(held["open"], entry)).alias("open"))
+
+
+def all_of(held: Column) -> Column:
+    """The entries that ``held`` has, in order."""
+    return F.concat(F.flatten(held["done"]), held["open"])
+
+
 def text_key(column: str = "text") -> Column:
     """A text's 64-bit hash: with the id it names a row, also where ids are null or repeat. A null text counts as empty."""
     return F.xxhash64(F.coalesce(F.col(column), F.lit("")))

@@ -46,3 +46,16 @@ def test_anti_join_uses_the_buckets(spark):
     new = spark.createDataFrame([("x", 1)], "digest string, owner_id long")
     plan = new.join(index.rows().hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan and plan.count("Exchange") == 1  # the batch alone is shuffled
+
+
+def test_batches_meet_in_the_index(spark):
+    rows = [(k, f"text {k % 7}") for k in range(40)] + [(None, "text 3"), (None, "alone"), (5, "text 5"), (-4, "text 6")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (1, 3, 10):
+        index, sizes = D.fresh_index(spark), []
+        plain = index.append_new
+        index.append_new = lambda groups, plain=plain, index=index, sizes=sizes: (plain(groups), sizes.append(index.rows().count()))
+        got = D.deduplicate(df, index, n_batches=n)
+        index.drop()  # the result does not read it
+        assert {tuple(r) for r in got.collect()} == brute(rows)
+        assert sizes[-1] == 8 and (n == 1 or sizes[0] < 8 and len(sizes) > 1)

@@ -61,7 +61,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest_index.deduplicate(read_table(spark, sf_dir, "documents"), digest_index.fresh_index(spark))
+    index = digest_index.fresh_index(spark)
+    found = digest_index.deduplicate(read_table(spark, sf_dir, "documents"), index, n_batches=4)
+    index.drop()
+    return found
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,6 +90,39 @@ def test_exact_top_k_is_brute_force(spark):
         assert [got[q, k + 1] for k in range(4)] == order
 
 
+@pytest.mark.parametrize("block", [4096, 3])
+@pytest.mark.parametrize("earlier", [False, True])
+def test_bucket_top_k_is_brute_force(spark, monkeypatch, block, earlier):
+    """One hot bucket, small ones and a vector that many items share, in blocks of any size."""
+    monkeypatch.setattr(precedents, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    vectors_ = [rng.normal(size=4).tolist() for _ in range(40)] + [[0.5, 0.5, 0.5, 0.5]] * 6
+    rows = [(f"i{k:02}", dt.date(2020, 1, 1 + k % 9), v, ["hot", *([f"b{k % 5}"] if k % 2 else [])] if k % 7 else [f"b{k % 5}"], float(k), k % 2) for k, v in enumerate(vectors_)]
+    df = spark.createDataFrame(rows, "id string, trade_date date, vector array<double>, band_buckets array<string>, fwd_return double, fwd_down int")
+    got = {(r.query_id, r["rank"]): (r.item_id, r.fwd_return) for r in precedents.bucket_top_k(df.filter("fwd_down = 1"), df, 5, earlier=earlier, not_itself=True).collect()}
+    want = {}
+    for q in rows:
+        if q[5] == 1:
+            near = [(-sum(a * b for a, b in zip(q[2], x[2], strict=True)), x[0], x[4]) for x in rows if x[0] != q[0] and set(x[3]) & set(q[3]) and (not earlier or x[1] < q[1])]
+            want |= {(q[0], k): (i, f) for k, (_, i, f) in enumerate(sorted(near)[:5], 1)}
+    assert got == want
+
+
+def test_top_k_of_sets_with_copies_and_empty_ones(spark):
+    texts = {0: None, 1: "", 2: "too few", 20: "", 40: "a b c d e f", 3: "a b c d e f", 5: "a b c d e f g", 60: "a b c d e f g", 7: "h i j k l m n", 80: "x y z u v w"}
+    items = minhash.with_signatures(minhash.text_shingles(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))).cache()
+    words = {k: (t or "").split() for k, t in texts.items()}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in words.items()}
+    sim = lambda a, b: 1.0 if not a | b else len(a & b) / len(a | b)
+    for found in (minhash.exact_top_k(items, items.filter("doc_id % 20 = 0"), 3), minhash.lsh_top_k(items, items.filter("doc_id % 20 = 0"), 3)):
+        got = {(r.query, r["rank"]): (r.item, pytest.approx(r.similarity)) for r in found.collect()}
+        want = {}
+        for q in (0, 20, 40, 60, 80):
+            near = sorted((-sim(sets[q], sets[i]), i) for i in texts if i != q and sim(sets[q], sets[i]) > 0)[:3]
+            want |= {(q, k): (i, -s) for k, (s, i) in enumerate(near, 1)}
+        assert got == want
+
+
 def wilson(k, n, z=1.96):
     if not n:
         return 0.0, 0.0
@@ -139,7 +172,7 @@ def test_walk_forward_never_looks_ahead(spark, small):
 
     known = similarity.all_patterns(spark, small)
     index = precedents.simhash_index(known.filter("fwd_down IS NOT NULL AND market = 'tgt'"), similarity.PLANES)
-    pairs = precedents.bucket_candidates(index, index, F.col("item_trade_date") < F.col("query_trade_date"))
+    pairs = precedents.bucket_top_k(index, index, 5, earlier=True)
     assert pairs.count() and pairs.filter(F.substring_index("item_id", "|", -1) >= F.substring_index("query_id", "|", -1)).count() == 0
     norms = known.select(vectors.dot(F.col("vector"), F.col("vector")).alias("n")).agg(F.min("n"), F.max("n")).first()
     assert norms[0] == pytest.approx(1) and norms[1] == pytest.approx(1)

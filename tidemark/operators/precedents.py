@@ -6,6 +6,7 @@ Everything is a column: a query is a row, so one query and a walk-forward backte
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,20 +20,86 @@ def simhash_index(items: DataFrame, planes: np.ndarray, config: SimHashConfig =
     return vectors.with_bit_buckets(items, planes, config.band_bits)
 
 
-def bucket_candidates(queries: DataFrame, library: DataFrame, residual: Column | None = None) -> DataFrame:
-    """Distinct ``query_id, item_id`` that share a bucket; ``residual`` may compare ``query_`` and ``item_`` symbol and date."""
-    keys = ("symbol", "trade_date")
-    left = queries.select(F.col("id").alias("query_id"), *[F.col(k).alias(f"query_{k}") for k in keys], F.explode("band_buckets").alias("bucket"))
-    right = library.select(F.col("id").alias("item_id"), *[F.col(k).alias(f"item_{k}") for k in keys], F.explode("band_buckets").alias("bucket"))
-    hits = left.join(right, "bucket")
-    return (hits if residual is None else hits.filter(residual)).select("query_id", "item_id").distinct()
-
-
-def with_cosine(pairs: DataFrame, queries: DataFrame, library: DataFrame) -> DataFrame:
-    """``query_id, item_id, cosine, fwd_return, fwd_down`` of candidate pairs."""
-    q = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
-    x = library.select(F.col("id").alias("item_id"), F.col("vector").alias("item_vector"), "fwd_return", "fwd_down")
-    return pairs.join(x, "item_id").join(q, "query_id").select("query_id", "item_id", vectors.dot(F.col("query_vector"), F.col("item_vector")).alias("cosine"), "fwd_return", "fwd_down")
+#: Rows of either side that are multiplied at once; larger buckets are cut into chunks.
+BLOCK = 4096
+
+
+def _chunked(rows: DataFrame, other: DataFrame, name: str) -> DataFrame:
+    """``rows`` with their chunk ``name`` of a bucket, and a copy of each for every chunk that the other side has of it."""
+    sizes = lambda df: df.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("chunks")).filter("chunks > 1")
+    own, others = sizes(rows).withColumnRenamed("chunks", "_own"), sizes(other).withColumnRenamed("chunks", "_others")
+    placed = rows.join(own, "bucket", "left").withColumn(name, F.pmod(F.xxhash64("id"), F.coalesce("_own", F.lit(1).cast("long"))))
+    copies = F.sequence(F.lit(0).cast("long"), F.coalesce("_others", F.lit(1).cast("long")) - 1)
+    return placed.join(others, "bucket", "left").withColumn("other", F.explode(copies)).drop("_own", "_others")
+
+
+def _best_of_block(queries: pa.RecordBatch, items: pa.RecordBatch, k: int, earlier: bool, not_itself: bool) -> pa.RecordBatch | None:
+    """The ``k`` most similar items of each query, and what is as similar but for rounding."""
+
+    def matrix(side: pa.RecordBatch) -> np.ndarray:
+        return side.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(side.num_rows, -1)
+
+    a, b = matrix(queries), matrix(items)
+    if not a.shape[1] or a.shape[1] != b.shape[1]:
+        return None
+    cosine = a @ b.T
+    if earlier:
+        days = [side.column("trade_date").cast(pa.int32()).to_numpy(zero_copy_only=False) for side in (queries, items)]
+        cosine[days[0][:, None] <= days[1]] = -np.inf
+    if not_itself:
+        ids = [side.column("id").to_numpy(zero_copy_only=False) for side in (queries, items)]
+        cosine[ids[0][:, None] == ids[1]] = -np.inf
+    last = max(0, cosine.shape[1] - k)
+    least = np.partition(cosine, last, axis=1)[:, last]
+    row, place = np.nonzero((cosine >= least[:, None] - 1e-9) & np.isfinite(cosine))
+    exact = np.zeros(len(row))
+    for d in range(a.shape[1]):  # in the order of the dimensions, whatever the shape of the block
+        exact += a[row, d] * b[place, d]
+    return pa.RecordBatch.from_arrays(
+        [queries.column("id").take(pa.array(row)), items.column("id").take(pa.array(place)), pa.array(exact), items.column("fwd_return").take(pa.array(place)), items.column("fwd_down").take(pa.array(place))],
+        ["query_id", "item_id", "cosine", "fwd_return", "fwd_down"],
+    )
+
+
+def bucket_top_k(queries: DataFrame, library: DataFrame, k: int, earlier: bool = False, not_itself: bool = False) -> DataFrame:
+    """``query_id, item_id, cosine, fwd_return, fwd_down, rank``: of each query the ``k`` most similar items that share a bucket.
+
+    Both sides have ``id, trade_date, vector, band_buckets``, the library ``fwd_return`` and ``fwd_down``, too. With
+    ``earlier`` only items before the query count; ties go by item. A bucket is one matrix product, cut into blocks
+    where it is large, and of each block only the ``k`` best of every query leave the task: pairs are never rows.
+    """
+    columns = ["id", F.col("trade_date").cast("date").alias("trade_date"), F.transform("vector", lambda x: x.cast("double")).alias("vector")]
+    q = queries.select(*columns, F.lit(None).cast("double").alias("fwd_return"), F.lit(None).cast("int").alias("fwd_down"), F.explode("band_buckets").alias("bucket"))
+    x = library.select(*columns, F.col("fwd_return").cast("double").alias("fwd_return"), F.col("fwd_down").cast("int").alias("fwd_down"), F.explode("band_buckets").alias("bucket"))
+    slim = [side.select("id", "bucket") for side in (q, x)]
+    asked = _chunked(q, slim[1], "own").withColumn("key", F.xxhash64("bucket", F.col("own"), F.col("other"))).withColumn("asks", F.lit(True))
+    given = _chunked(x, slim[0], "own").withColumn("key", F.xxhash64("bucket", F.col("other"), F.col("own"))).withColumn("asks", F.lit(False))
+    kept = ["key", "asks", "id", "trade_date", "vector", "fwd_return", "fwd_down"]
+
+    def run(batches):
+        key, held = None, {True: [], False: []}
+
+        def done():
+            if held[True] and held[False]:
+                sides = [pa.Table.from_batches(held[side]).combine_chunks().to_batches()[0] for side in (True, False)]
+                found = _best_of_block(*sides, k, earlier, not_itself)
+                if found is not None and found.num_rows:
+                    yield found
+
+        for batch in batches:
+            keys, asks = batch.column("key").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (asks[1:] != asks[:-1])])) if len(keys) else []
+            for lo, hi in zip(cuts, [*cuts[1:], len(keys)], strict=True):
+                if keys[lo] != key:
+                    yield from done()
+                    key, held = keys[lo], {True: [], False: []}
+                held[bool(asks[lo])].append(batch.slice(lo, hi - lo))
+        yield from done()
+
+    kind = dict(library.dtypes)["id"]
+    blocks = asked.select(*kept).unionByName(given.select(*kept)).repartition("key").sortWithinPartitions("key", "asks")
+    found = blocks.mapInArrow(run, f"query_id {kind}, item_id {kind}, cosine double, fwd_return double, fwd_down int")
+    return top_k(found.dropDuplicates(["query_id", "item_id"]), k)
 
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
@@ -150,9 +217,7 @@ def precedent_list(patterns: DataFrame, queries: DataFrame, planes: np.ndarray,
     """``query_id, item_id, cosine, fwd_return, fwd_down, rank`` of the ``k`` nearest precedents of one market, those of the target market earlier than the query."""
     known = materialize(simhash_index(patterns.filter("fwd_down IS NOT NULL"), planes, simhash), "simhash-index")
     asked = known.join(queries.select("id"), "id", "left_semi")
-    library = known.filter(F.col("market") == side)
-    earlier = None if side == "lib" else F.col("item_trade_date") < F.col("query_trade_date")
-    return top_k(with_cosine(bucket_candidates(asked, library, earlier), asked, library), k)
+    return bucket_top_k(asked, known.filter(F.col("market") == side), k, earlier=side == "tgt")
 
 
 def backtest(patterns: DataFrame, queries: DataFrame, planes: np.ndarray, simhash: SimHashConfig = DEFAULT.simhash, fusion: FusionConfig = DEFAULT.fusion) -> DataFrame:
@@ -166,10 +231,7 @@ def backtest(patterns: DataFrame, queries: DataFrame, planes: np.ndarray, simhas
     rates = {r: F.broadcast(base_rate(patterns).filter(F.col("market") == r).select(F.col("p_down").alias(f"{r}_base"))) for r in ("lib", "tgt")}
     out = asked.select(F.col("id").alias("query_id"), "symbol", "trade_date", F.col("fwd_return"), F.col("fwd_down").alias("actual_down"))
     for side in ("lib", "tgt"):
-        library = known.filter(F.col("market") == side)
-        earlier = None if side == "lib" else F.col("item_trade_date") < F.col("query_trade_date")
-        pairs = bucket_candidates(asked, library, earlier)
-        summary = summarise(top_k(with_cosine(pairs, asked, library), simhash.top_k))
+        summary = summarise(bucket_top_k(asked, known.filter(F.col("market") == side), simhash.top_k, earlier=side == "tgt"))
         out = out.join(summary.select("query_id", *[F.col(c).alias(f"{side}_{c}") for c in summary.columns if c != "query_id"]), "query_id", "left").crossJoin(rates[side])
     sides = [column for side in ("lib", "tgt") for column in completed(out, F.col(f"{side}_base"), side, fusion)]
     fused = fuse(out.select("query_id", "symbol", "trade_date", "fwd_return", "actual_down", *sides), fusion)

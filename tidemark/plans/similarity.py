@@ -62,7 +62,8 @@ l0 AS (SELECT query, item, {_JACCARD} AS similarity FROM h JOIN w2 q ON q.doc_id
 l1 AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, item) AS rank FROM l0 QUALIFY rank <= 10)"""
 EXACT_TOP = f"""{SHINGLES}, e0 AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS s FROM w1),
 e1 AS (SELECT x.doc_id AS query, y.doc_id AS item, count(*) / (any_value(x.n) + any_value(y.n) - count(*))::DOUBLE AS similarity FROM e0 x JOIN e0 y USING (s) WHERE x.doc_id % 20 = 0 AND x.doc_id <> y.doc_id GROUP BY ALL),
-e2 AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, item) AS rank FROM e1 QUALIFY rank <= 10)"""
+e3 AS (SELECT * FROM e1 UNION ALL SELECT x.doc_id, y.doc_id, 1.0 FROM w1 x JOIN w1 y ON len(x.shingles) = 0 AND len(y.shingles) = 0 WHERE x.doc_id % 20 = 0 AND x.doc_id <> y.doc_id),
+e2 AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, item) AS rank FROM e3 QUALIFY rank <= 10)"""
 
 
 def jaccard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,11 +189,11 @@ def verdicts_of_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def verdicts_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = all_patterns(spark, sf_dir)
-    return precedents.backtest(known, _asked(known.filter("market = 'tgt'"), "symbol"), PLANES)
+    return precedents.backtest(known, known.filter("market = 'tgt'"), PLANES)
 
 
 _LATEST = "market = 'tgt' AND (symbol, trade_date) IN (SELECT (symbol, max(trade_date)) FROM known WHERE market = 'tgt' GROUP BY symbol)"
-_WALK = "market = 'tgt' AND symbol % 20 = 0"
+_WALK = "market = 'tgt'"
 
 
 def _verdict_sql(asked: str, tail: str) -> str:
@@ -256,8 +257,7 @@ def cosine_topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cosine_topk_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = precedents.simhash_index(_embedded(spark, sf_dir), EMBEDDING_PLANES)
     asked = _asked(index, "id")
-    scored = precedents.with_cosine(precedents.bucket_candidates(asked, index, F.col("query_id") != F.col("item_id")), asked, index)
-    return tidy(precedents.top_k(scored, 10).select("query_id", "item_id", "cosine", "rank"), 6)
+    return tidy(precedents.bucket_top_k(asked, index, 10, not_itself=True).select("query_id", "item_id", "cosine", "rank"), 6)
 
 
 add("simhash_buckets", simhash_buckets, f"WITH {_UB} SELECT id, bucket FROM ue")

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+from functools import cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -219,22 +221,21 @@ def stochastic(x: np.ndarray, k: int, d: int) -> tuple[np.ndarray, np.ndarray]:
     return np.where(np.isnan(smooth), np.nan, raw), smooth
 
 
-def compute(frame: pd.DataFrame) -> pd.DataFrame:
-    """All recursive indicators of one symbol's bars."""
+def compute(frame: pd.DataFrame, wanted: tuple[str, ...] | None = None) -> pd.DataFrame:
+    """The wanted recursive indicators of one symbol's bars, by default all; what nobody asks for is not computed."""
     frame = frame.sort_values("trade_date")
     high, low, close = (frame[c].to_numpy(float) for c in ("high", "low", "close"))
-    out = {"symbol": frame["symbol"].to_numpy(), "trade_date": frame["trade_date"].to_numpy()}
-    out |= {f"ema{n}": ema(close, n) for n in EMA_PERIODS}
-    out |= {f"macd{f}{s}": macd_line(close, f, s) for f, s in MACD_PERIODS}
-    out |= {f"RSI{n}": rsi(close, n) for n in RSI_PERIODS}
-    out |= {f"ADX{n}": adx(high, low, close, n) for n in ADX_PERIODS}
-    out |= {f"KAMA{n}": kama(close, n) for n in KAMA_PERIODS}
-    out["SAR"] = parabolic_sar(high, low)
-    out["ATR"] = wilder(true_range(high, low, close), ATR_PERIOD, 1)
     n, k, d = STOCH_RSI
-    out["fastksr"], out["fastdsr"] = stochastic(rsi(close, n), k, d)
-    out["HT_TRENDLINE"], out["HT_DCPERIOD"] = hilbert(close)
-    return pd.DataFrame(out).replace({np.nan: None})
+    ways = {f"ema{n}": lambda n=n: ema(close, n) for n in EMA_PERIODS}
+    ways |= {f"macd{f}{s}": lambda f=f, s=s: macd_line(close, f, s) for f, s in MACD_PERIODS}
+    ways |= {f"RSI{n}": lambda n=n: rsi(close, n) for n in RSI_PERIODS}
+    ways |= {f"ADX{n}": lambda n=n: adx(high, low, close, n) for n in ADX_PERIODS}
+    ways |= {f"KAMA{n}": lambda n=n: kama(close, n) for n in KAMA_PERIODS}
+    ways |= {"SAR": lambda: parabolic_sar(high, low), "ATR": lambda: wilder(true_range(high, low, close), ATR_PERIOD, 1)}
+    stoch, wave = cache(lambda: stochastic(rsi(close, n), k, d)), cache(lambda: hilbert(close))
+    ways |= {"fastksr": lambda: stoch()[0], "fastdsr": lambda: stoch()[1], "HT_TRENDLINE": lambda: wave()[0], "HT_DCPERIOD": lambda: wave()[1]}
+    out = {"symbol": frame["symbol"].to_numpy(), "trade_date": frame["trade_date"].to_numpy()}
+    return pd.DataFrame(out | {c: ways[c]() for c in wanted or RECURSIVE}).replace({np.nan: None})
 
 
 RECURSIVE = (
@@ -243,7 +244,8 @@ RECURSIVE = (
 )
 
 
-def recursive_indicators(bars: DataFrame) -> DataFrame:
-    """``symbol, trade_date`` and every recursive indicator."""
-    schema = f"symbol {dict(bars.dtypes)['symbol']}, trade_date date, " + ", ".join(f"{c} double" for c in RECURSIVE)
-    return bars.select("symbol", "trade_date", "high", "low", "close").groupBy("symbol").applyInPandas(compute, schema)
+def recursive_indicators(bars: DataFrame, columns: tuple[str, ...] | list[str] | None = None) -> DataFrame:
+    """``symbol, trade_date`` and the recursive indicators ``columns``, by default all."""
+    wanted = tuple(columns or RECURSIVE)
+    schema = f"symbol {dict(bars.dtypes)['symbol']}, trade_date date, " + ", ".join(f"{c} double" for c in wanted)
+    return bars.select("symbol", "trade_date", "high", "low", "close").groupBy("symbol").applyInPandas(lambda frame: compute(frame, wanted), schema)

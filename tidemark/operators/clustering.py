@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ClusterConfig
+from ..sources.scratch import materialize
 
-#: CURE clusters a sample hierarchically in one place: at most this many rows.
-MAX_SAMPLE = 2000
+#: Rows that CURE clusters hierarchically at once; a larger sample is clustered in parts first, each down to a tenth.
+CURE_ROWS, CURE_SHRINK = 1024, 10
 
 
 def profiles(df: DataFrame, columns: list[str], key: str = "symbol", day: str = "trade_date") -> DataFrame:
@@ -116,11 +117,11 @@ def silhouette(points: DataFrame, block: int = 2048) -> DataFrame:
     return each.agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("s")).crossJoin(n_clusters).select("n", "n_clusters", F.when(F.col("n_clusters") > 1, F.col("s")).alias("silhouette"))
 
 
-def ward(x: np.ndarray, k: int) -> np.ndarray:
-    """Labels of ``k`` clusters by Ward's criterion, merging the two clusters whose union costs least."""
+def ward(x: np.ndarray, k: int, weight: np.ndarray | None = None) -> np.ndarray:
+    """Labels of ``k`` clusters by Ward's criterion, merging the two clusters whose union costs least; rows may stand for several."""
     n = len(x)
-    size, alive = np.ones(n), np.ones(n, bool)
-    cost = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1) / 2 if n * n * x.shape[1] <= 5e7 else np.array([((x - row) ** 2).sum(1) / 2 for row in x])
+    size, alive = np.ones(n) if weight is None else weight.astype(float), np.ones(n, bool)
+    cost = np.array([((x - row) ** 2).sum(1) for row in x]) * (size[:, None] * size / (size[:, None] + size))
     np.fill_diagonal(cost, np.inf)
     label = np.arange(n)
     nearest = cost.argmin(1)
@@ -146,35 +147,62 @@ def ward(x: np.ndarray, k: int) -> np.ndarray:
     return np.unique(label, return_inverse=True)[1]
 
 
-def cure_representatives(sample: np.ndarray, config: ClusterConfig = DEFAULT.cluster) -> tuple[np.ndarray, np.ndarray]:
-    """Points that stand for the clusters of a sample, drawn towards their centres, and the cluster of each."""
-    labels = ward(sample, min(config.k, len(sample)))
-    points, owners = [], []
+def _scattered(points: np.ndarray, centre: np.ndarray, n: int) -> np.ndarray:
+    """At most ``n`` of the points: the one farthest from the centre, then each time the one farthest from those chosen."""
+    chosen = [int(((points - centre) ** 2).sum(1).argmax())]
+    apart = ((points - points[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < min(n, len(points)) and apart.max() > 0:
+        chosen.append(int(apart.argmax()))
+        apart = np.minimum(apart, ((points - points[chosen[-1]]) ** 2).sum(1))
+    return points[chosen]
+
+
+def _merged(parts: pd.DataFrame, k: int, representatives: int) -> pd.DataFrame:
+    """``parts(centre, weight, points)`` as at most ``k`` of them."""
+    centres, weight = np.array(parts["centre"].tolist(), float), parts["weight"].to_numpy(float)
+    labels = ward(centres, min(k, len(parts)), weight)
+    out = []
     for c in range(labels.max() + 1):
-        own = sample[labels == c]
-        centre = own.mean(0)
-        chosen = [int(((own - centre) ** 2).sum(1).argmax())]
-        while len(chosen) < min(config.representatives, len(own)):
-            apart = np.min([((own - own[j]) ** 2).sum(1) for j in chosen], axis=0)
-            apart[chosen] = -1
-            chosen.append(int(apart.argmax()))
-        points.append(centre + config.shrink * (own[chosen] - centre))
-        owners += [c] * len(chosen)
-    return np.vstack(points), np.array(owners)
-
-
-def cure(points: DataFrame, config: ClusterConfig = DEFAULT.cluster, max_sample: int = MAX_SAMPLE) -> DataFrame:
+        own = labels == c
+        centre = (centres[own] * weight[own, None]).sum(0) / weight[own].sum()
+        points = np.array([p for ps in parts["points"][own] for p in ps], float)
+        out.append((centre.tolist(), weight[own].sum(), _scattered(points, centre, representatives).tolist()))
+    return pd.DataFrame(out, columns=["centre", "weight", "points"])
+
+
+def cure(points: DataFrame, config: ClusterConfig = DEFAULT.cluster, at_once: int = CURE_ROWS) -> DataFrame:
     """``points(id, vector)`` with ``cure_cluster``: that of the nearest representative.
 
-    Half the rows, five a cluster at least and ``max_sample`` at most, are sampled by a hash of the id; the
-    representatives are few (ten a cluster), the assignment is one pass.
+    Half the rows, by a hash of the id, or all where that is less than five a cluster, are clustered by Ward's criterion.
+    More than ``at_once`` of them are clustered in parts first, each down to a tenth, as often as need be: a partial
+    cluster goes on as its centre, its size and a few scattered points. So the sample grows with the table, and no task
+    holds more than ``at_once`` rows. The representatives are few (ten a cluster), the assignment is one pass.
     """
     n = points.count()
-    size = min(n, max_sample, max(5 * config.k, n // 2))
-    if not size:
+    if not n:
         return points.withColumn("cure_cluster", F.lit(None).cast("int"))
-    chosen = points.orderBy(F.xxhash64("id", F.lit(config.seed)), "id").limit(size).select("vector").toPandas()["vector"]
-    reps, owners = cure_representatives(np.array(chosen.tolist(), float), config)
+    half = F.pmod(F.xxhash64("id", F.lit(config.seed)), F.lit(2)) == 0
+    vector = F.transform("vector", lambda x: x.cast("double"))
+    parts = (points if n < 10 * config.k else points.filter(half)).select("id", vector.alias("centre"), F.lit(1.0).alias("weight"), F.array(vector).alias("points"))
+    schema = "centre array<double>, weight double, points array<array<double>>"
+    left, level = parts.count(), 0
+    while left > at_once:
+        groups = -(-left // at_once)
+        # the parts of the first level are dealt by id, later ones by what they are
+        dealt = parts.withColumn("part", F.pmod(F.xxhash64(*(["id"] if level == 0 else ["centre", "weight"])), F.lit(groups)))
+
+        def shrunk(pdf: pd.DataFrame) -> pd.DataFrame:
+            return _merged(pdf.reset_index(drop=True), max(config.k, len(pdf) // CURE_SHRINK), config.representatives)
+
+        parts = materialize(dealt.groupBy("part").applyInPandas(shrunk, schema), "partial-clusters")
+        before, left, level = left, parts.count(), level + 1
+        if left >= before:  # fewer rows than clusters in each part
+            break
+    few = parts.select("centre", "weight", "points").toPandas()  # at most at_once rows, or a few clusters for each part
+    few = few.iloc[np.lexsort(np.array(few["centre"].tolist(), float).T[::-1])].reset_index(drop=True)  # in an order that no task decides
+    found = _merged(few, config.k, config.representatives)
+    reps = np.vstack([np.array(c) + config.shrink * (np.array(p, float) - np.array(c)) for c, p in zip(found["centre"], found["points"], strict=True)])
+    owners = np.repeat(np.arange(len(found)), found["points"].map(len))
 
     @F.pandas_udf("int")
     def nearest(vectors: pd.Series) -> pd.Series:

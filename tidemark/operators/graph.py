@@ -1,7 +1,7 @@
 """Correlation graph: returns, Pearson edges, degrees, PageRank, components and communities.
 
-Everything is a long table. Iterations run where the size of the graph, which is counted first, allows: a graph of at
-most ``SMALL`` edges is iterated in one place, a larger one by joins.
+Everything is a long table, and every algorithm is the same at every size. PageRank's sums may be iterated in one place
+where the graph has at most ``SMALL`` edges: the same sums, without a job for each iteration.
 """
 
 from __future__ import annotations
@@ -73,8 +73,16 @@ def pagerank(nodes: DataFrame, links: DataFrame, config: GraphConfig = DEFAULT.g
         scores = _pagerank_in_place(nodes, two_way, config, tolerance)
     else:
         scores = _pagerank_by_joins(nodes, two_way, config, tolerance)
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("pagerank_score"), "symbol")
-    return scores.withColumn("rank", F.row_number().over(order))
+    return numbered(scores, [F.desc("pagerank_score"), F.asc("symbol")], "rank")
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with its place in a global order, from 1: a range partition, and the sizes of the partitions before."""
+    ordered = df.orderBy(*order).withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    held = materialize(ordered, "ordered")
+    sizes = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a partition
+    return held.join(F.broadcast(before), "_part").withColumn(name, (F.col("_before") + F.col("_place") + 1).cast("int")).drop("_part", "_place", "_before")
 
 
 def _pagerank_in_place(nodes: DataFrame, two_way: DataFrame, config: GraphConfig, tolerance: float) -> DataFrame:
@@ -137,99 +145,77 @@ def modularity(links: DataFrame, membership: DataFrame) -> DataFrame:
     return terms.agg(F.sum("term").alias("modularity"))
 
 
-def communities(nodes: DataFrame, links: DataFrame, rounds: int = 20) -> DataFrame:
-    """``symbol, community_id, community_size, detection_method``: Louvain where the graph is small, else label propagation."""
-    held = materialize(links.select("src", "dst", "weight"), "community-links")
-    if held.count() <= SMALL and nodes.count() <= SMALL:
-        found, method = _louvain(nodes, held), "louvain"
-    else:
-        found, method = _propagated(nodes, held, rounds), "label_propagation"
-    size = Window.partitionBy("community_id")
-    return found.withColumn("community_size", F.count(F.lit(1)).over(size)).withColumn("detection_method", F.lit(method))
-
-
-def louvain(n: int, links: list[tuple[int, int, float]]) -> list[int]:
-    """Community of each of n nodes, numbered by their smallest member; nodes are visited in order, so it is deterministic."""
-    member = list(range(n))
-    near: list[dict[int, float]] = [{} for _ in range(n)]
-    for a, b, w in links:
-        near[a][b] = near[a].get(b, 0.0) + w
-        near[b][a] = near[b].get(a, 0.0) + w
-    loops = [0.0] * n
-    while True:
-        size = len(near)
-        strength = [sum(d.values()) + 2 * loops[k] for k, d in enumerate(near)]
-        twice = sum(strength)
-        if not twice:
-            break
-        group, total = list(range(size)), strength[:]
-        moved_ever, moving = False, True
-        while moving:
-            moving = False
-            for k in range(size):
-                total[group[k]] -= strength[k]
-                to: dict[int, float] = {group[k]: 0.0}
-                for j, w in near[k].items():
-                    to[group[j]] = to.get(group[j], 0.0) + w
-                gain = {g: w - total[g] * strength[k] / twice for g, w in to.items()}
-                best = max(gain, key=lambda g: (round(gain[g], 12), -g))
-                if round(gain[best] - gain[group[k]], 12) <= 0:
-                    best = group[k]
-                if best != group[k]:
-                    group[k], moving, moved_ever = best, True, True
-                total[group[k]] += strength[k]
-        if not moved_ever:
-            break
-        names = {g: i for i, g in enumerate(sorted(set(group)))}
-        merged: list[dict[int, float]] = [{} for _ in names]
-        new_loops = [0.0] * len(names)
-        for k in range(size):
-            a = names[group[k]]
-            new_loops[a] += loops[k]
-            for j, w in near[k].items():
-                b = names[group[j]]
-                if a == b:
-                    new_loops[a] += w / 2
-                else:
-                    merged[a][b] = merged[a].get(b, 0.0) + w
-        member = [names[group[m]] for m in member]
-        near, loops = merged, new_loops
-    first: dict[int, int] = {}
-    for k, m in enumerate(member):
-        first.setdefault(m, k)
-    return [first[m] for m in member]
-
-
-def _louvain(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    names = sorted(r.symbol for r in nodes.select("symbol").distinct().collect())  # counted to be few
-    place = {s: k for k, s in enumerate(names)}
-    rows = sorted((place[r.src], place[r.dst], r.weight) for r in links.collect())
-    found = louvain(len(names), rows)
-    kind = dict(nodes.dtypes)["symbol"]
-    return nodes.sparkSession.createDataFrame([(s, names[c]) for s, c in zip(names, found, strict=True)], f"symbol {kind}, community_id {kind}")
+#: A round of moves must raise the modularity by so much; so many rounds in a row may fail to.
+GAIN, TRIES = 1e-9, 4
+
 
+def _quality(edges: DataFrame, labels: DataFrame, twice: float) -> float:
+    """Modularity of ``labels(id, label)`` on two-way ``edges(src, dst, weight)`` whose weights sum to ``twice``."""
+    of = lambda side: labels.select(F.col("id").alias(side), F.col("label").alias(f"{side}_label"))
+    sums = edges.join(of("src"), "src").join(of("dst"), "dst").groupBy("src_label").agg(
+        F.sum(F.when(F.col("src_label") == F.col("dst_label"), F.col("weight")).otherwise(0.0)).alias("inside"), F.sum("weight").alias("all")
+    )
+    return sums.agg(F.sum(F.col("inside") / twice - F.pow(F.col("all") / twice, F.lit(2.0)))).first()[0] or 0.0
 
-def _propagated(nodes: DataFrame, links: DataFrame, rounds: int) -> DataFrame:
-    """Each node takes the label of the largest weight around it, the smallest of equals, until none changes.
 
-    In each round a half of the nodes that want to move does, another half each time, so that neighbours don't swap
-    labels for ever. Raises if some still want to after ``4 * rounds``. A community is named by its smallest member.
+def _moved(edges: DataFrame, labels: DataFrame, twice: float, turn: int) -> DataFrame:
+    """``id, label`` after a round of local moves.
+
+    A node goes to the community of its neighbours that raises the modularity most, the smallest of equals. In each round
+    a half of the nodes may move, another half each time, and of two nodes alone in their communities only the larger
+    joins the smaller, so that neighbours do not swap places for ever.
     """
-    two_way = both_ways(links)
-    now = materialize(nodes.select("symbol", F.col("symbol").alias("label")), "labels")
-    for k in range(4 * rounds):
-        votes = two_way.join(now, two_way["dst"] == now["symbol"]).groupBy("src", "label").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy("src").agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("to"))
-        wants = F.col("to").isNotNull() & (F.col("to") != F.col("label"))
-        turn = F.pmod(F.xxhash64("symbol", F.lit(k)), F.lit(2)) == 0
-        moved = materialize(now.join(best, now["symbol"] == best["src"], "left").select("symbol", wants.alias("wants"), F.when(wants & turn, F.col("to")).otherwise(F.col("label")).alias("label")), "labels")
-        if moved.filter("wants").isEmpty():
+    strength = edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k"))
+    placed = labels.join(strength, "id", "left").select("id", "label", F.coalesce("k", F.lit(0.0)).alias("k"))
+    totals = placed.groupBy(F.col("label").alias("to")).agg(F.sum("k").alias("total"), F.count(F.lit(1)).alias("size"))
+    near = edges.filter("src <> dst").join(labels.select(F.col("id").alias("dst"), F.col("label").alias("to")), "dst").groupBy(F.col("src").alias("id"), "to").agg(F.sum("weight").alias("w"))
+    options = near.unionByName(labels.select("id", F.col("label").alias("to"), F.lit(0.0).alias("w"))).groupBy("id", "to").agg(F.sum("w").alias("w"))
+    c = F.col
+    gain = F.round(c("w") - c("k") * (c("total") - F.when(c("to") == c("label"), c("k")).otherwise(0.0)) / twice, 12)
+    weighed = options.join(placed, "id").join(totals, "to").select("id", "label", "to", "size", gain.alias("gain"))
+    best = weighed.groupBy("id", "label").agg(
+        F.min_by(F.struct("to", "size", "gain"), F.struct(-c("gain"), c("to"))).alias("best"),
+        F.max(F.when(c("to") == c("label"), c("gain"))).alias("stay"), F.max(F.when(c("to") == c("label"), c("size"))).alias("size"),
+    )
+    swaps = (c("size") == 1) & (c("best.size") == 1) & (c("best.to") > c("label"))
+    may = F.crc32(F.concat_ws("|", c("id").cast("string"), F.lit(str(turn))).cast("binary")) % 2 == 0
+    goes = (c("best.to") != c("label")) & (c("best.gain") > c("stay")) & ~swaps & may
+    return best.select("id", F.when(goes, c("best.to")).otherwise(c("label")).alias("label"))
+
+
+def communities(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """``symbol, community_id, community_size, detection_method``: Louvain, by joins at every size.
+
+    Rounds of local moves go on while they raise the modularity; then each community becomes a node, with the weight
+    inside it as a loop, until a level changes nothing. The modularity rises with every round that is kept, so this
+    ends; and each round is a few shuffles by node or community, whatever the graph. Communities are named by their
+    smallest member.
+    """
+    edges = materialize(both_ways(links).groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "community-links")
+    member = nodes.select("symbol", F.col("symbol").alias("node")).distinct()
+    twice = edges.agg(F.sum("weight")).first()[0] or 0.0
+    turn = 0
+    while twice:
+        ids = edges.select(F.col("src").alias("id")).distinct()
+        labels = materialize(ids.withColumn("label", F.col("id")), "community-labels")
+        start = best = _quality(edges, labels, twice)
+        tries = 0
+        while tries < TRIES:
+            moved = materialize(_moved(edges, labels, twice, turn), "community-labels")
+            turn += 1
+            now = _quality(edges, moved, twice)
+            if now > best + GAIN:
+                labels, best, tries = moved, now, 0
+            else:
+                tries += 1
+        if best <= start + GAIN:
             break
-        now = moved.drop("wants")
-    else:
-        raise RuntimeError(f"no convergence in {4 * rounds} rounds")
-    named = now.groupBy("label").agg(F.min("symbol").alias("community_id"))
-    return now.join(named, "label").select("symbol", "community_id")
+        member = materialize(member.join(labels, member["node"] == labels["id"], "left").select("symbol", F.coalesce("label", "node").alias("node")), "community-members")
+        of = lambda side, labels=labels: labels.select(F.col("id").alias(side), F.col("label").alias(f"{side}_label"))
+        merged = edges.join(of("src"), "src").join(of("dst"), "dst").groupBy(F.col("src_label").alias("src"), F.col("dst_label").alias("dst"))
+        edges = materialize(merged.agg(F.sum("weight").alias("weight")), "community-links")
+    named = member.groupBy("node").agg(F.min("symbol").alias("community_id"), F.count(F.lit(1)).alias("community_size"))
+    return member.join(named, "node").select("symbol", "community_id", "community_size", F.lit("louvain").alias("detection_method"))
 
 
 def statistics(nodes: DataFrame, pairs: DataFrame, links: DataFrame, parts: DataFrame) -> DataFrame:

@@ -24,9 +24,9 @@ def simhash_index(items: DataFrame, planes: np.ndarray, config: SimHashConfig =
 BLOCK = 4096
 
 
-def _chunked(rows: DataFrame, other: DataFrame, name: str) -> DataFrame:
+def _chunked(rows: DataFrame, other: DataFrame, name: str, block: int) -> DataFrame:
     """``rows`` with their chunk ``name`` of a bucket, and a copy of each for every chunk that the other side has of it."""
-    sizes = lambda df: df.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("chunks")).filter("chunks > 1")
+    sizes = lambda df: df.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).alias("chunks")).filter("chunks > 1")
     own, others = sizes(rows).withColumnRenamed("chunks", "_own"), sizes(other).withColumnRenamed("chunks", "_others")
     placed = rows.join(own, "bucket", "left").withColumn(name, F.pmod(F.xxhash64("id"), F.coalesce("_own", F.lit(1).cast("long"))))
     copies = F.sequence(F.lit(0).cast("long"), F.coalesce("_others", F.lit(1).cast("long")) - 1)
@@ -61,7 +61,7 @@ def _best_of_block(queries: pa.RecordBatch, items: pa.RecordBatch, k: int, earli
     )
 
 
-def bucket_top_k(queries: DataFrame, library: DataFrame, k: int, earlier: bool = False, not_itself: bool = False) -> DataFrame:
+def bucket_top_k(queries: DataFrame, library: DataFrame, k: int, earlier: bool = False, not_itself: bool = False, block: int | None = None) -> DataFrame:
     """``query_id, item_id, cosine, fwd_return, fwd_down, rank``: of each query the ``k`` most similar items that share a bucket.
 
     Both sides have ``id, trade_date, vector, band_buckets``, the library ``fwd_return`` and ``fwd_down``, too. With
@@ -71,9 +71,9 @@ def bucket_top_k(queries: DataFrame, library: DataFrame, k: int, earlier: bool =
     columns = ["id", F.col("trade_date").cast("date").alias("trade_date"), F.transform("vector", lambda x: x.cast("double")).alias("vector")]
     q = queries.select(*columns, F.lit(None).cast("double").alias("fwd_return"), F.lit(None).cast("int").alias("fwd_down"), F.explode("band_buckets").alias("bucket"))
     x = library.select(*columns, F.col("fwd_return").cast("double").alias("fwd_return"), F.col("fwd_down").cast("int").alias("fwd_down"), F.explode("band_buckets").alias("bucket"))
-    slim = [side.select("id", "bucket") for side in (q, x)]
-    asked = _chunked(q, slim[1], "own").withColumn("key", F.xxhash64("bucket", F.col("own"), F.col("other"))).withColumn("asks", F.lit(True))
-    given = _chunked(x, slim[0], "own").withColumn("key", F.xxhash64("bucket", F.col("other"), F.col("own"))).withColumn("asks", F.lit(False))
+    slim, block = [side.select("id", "bucket") for side in (q, x)], block or BLOCK
+    asked = _chunked(q, slim[1], "own", block).withColumn("key", F.xxhash64("bucket", F.col("own"), F.col("other"))).withColumn("asks", F.lit(True))
+    given = _chunked(x, slim[0], "own", block).withColumn("key", F.xxhash64("bucket", F.col("other"), F.col("own"))).withColumn("asks", F.lit(False))
     kept = ["key", "asks", "id", "trade_date", "vector", "fwd_return", "fwd_down"]
 
     def run(batches):
@@ -108,33 +108,15 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def exact_top_k(queries: DataFrame, library: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    """``query_id, item_id, cosine, rank`` against the whole library, in blocks: one matrix product for each two of them.
+def exact_top_k(queries: DataFrame, library: DataFrame, k: int, block: int = BLOCK, earlier: bool = False) -> DataFrame:
+    """``query_id, item_id, cosine, rank`` against the whole library but the query itself, in blocks: one matrix product for each two of them.
 
-    Both sides have ``id`` (long) and ``vector``. Blocks hold at most about ``block`` rows, so a task's memory is bounded.
+    Both sides have ``id`` and ``vector``; with ``earlier`` also ``trade_date``, and only items before the query count.
+    Queries meet every block of the library, so this is for a stated set of them; a task's memory is bounded.
     """
-    dim_type = "array<double>"
-
-    def blocks(items: DataFrame, name: str) -> DataFrame:
-        count = max(1, -(-items.count() // block))
-        return items.select(F.pmod(F.xxhash64("id"), F.lit(count)).alias("b"), F.struct("id", F.col("vector").cast(dim_type).alias("vector")).alias("r")).groupBy("b").agg(F.collect_list("r").alias(name)).drop("b")
-
-    def product(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for left, right in zip(pdf["left"], pdf["right"], strict=True):
-                a, b = np.array([r["vector"] for r in left], float), np.array([r["vector"] for r in right], float)
-                ai, bi = np.array([r["id"] for r in left]), np.array([r["id"] for r in right])
-                cosine = a @ b.T
-                cosine[ai[:, None] == bi[None, :]] = -np.inf  # not itself
-                order = np.lexsort((np.broadcast_to(bi, cosine.shape), -cosine))[:, :k]
-                rows = np.repeat(np.arange(len(ai)), order.shape[1])
-                found = pd.DataFrame({"query_id": ai[rows], "item_id": bi[order.ravel()], "cosine": cosine[rows, order.ravel()]})
-                yield found[np.isfinite(found["cosine"])]
-
-    pairs = blocks(queries, "left").crossJoin(blocks(library, "right"))  # of blocks, not of rows
-    return top_k(pairs.mapInPandas(product, "query_id long, item_id long, cosine double"), k)
+    plain = {"trade_date": F.col("trade_date") if earlier else F.lit(None).cast("date"), "fwd_return": F.lit(None).cast("double"), "fwd_down": F.lit(None).cast("int"), "band_buckets": F.array(F.lit("all"))}
+    sides = [side.select("id", "vector", *[c.alias(n) for n, c in plain.items()]) for side in (queries, library)]
+    return bucket_top_k(*sides, k, earlier=earlier, not_itself=True, block=block).select("query_id", "item_id", "cosine", "rank")
 
 
 def summarise(ranked: DataFrame) -> DataFrame:

@@ -63,13 +63,13 @@ RECURSIVE_GROUPS = {
     "ind_adx": (["ADX5", "ADX10", "ADX20"], "adx", ", " + sql.ADX),
     "ind_kama": (["KAMA10", "KAMA20", "KAMA30"], "kama", ", " + sql.KAMA),
     "ind_stochrsi": (["fastksr", "fastdsr"], "stochrsi", ", " + sql.STOCH_RSI),
-    "ind_sar": (["SAR"], None, ""),
+    "ind_sar": (["SAR"], "sar", ", " + sql.SAR),
     "ind_ht": (["HT_TRENDLINE", "HT_DCPERIOD"], None, ""),
 }
 
 
 def _recursive_query(columns: list[str]):
-    return lambda spark, sf_dir: tidy(recursive.recursive_indicators(adapters.bars(spark, sf_dir)).select(*KEYS, *columns))
+    return lambda spark, sf_dir: tidy(recursive.recursive_indicators(adapters.bars(spark, sf_dir), columns))
 
 
 for _name, (_columns, _table, _more) in RECURSIVE_GROUPS.items():
@@ -114,7 +114,7 @@ SELECT symbol, trade_date, {sql.rounded('close / p - 1', 6)} AS daily_return, {s
 
 
 def macd_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = recursive.recursive_indicators(adapters.bars(spark, sf_dir)).select(*KEYS, F.lit(1.0).alias("close"), "macd1226")
+    lines = recursive.recursive_indicators(adapters.bars(spark, sf_dir), ["macd1226"]).select(*KEYS, F.lit(1.0).alias("close"), "macd1226")
     return lines.withColumn("macd_cross_signal", features.sequence_features()["macd_cross_signal"]).select(*KEYS, "macd_cross_signal")
 
 
@@ -161,4 +161,14 @@ for _name, _parts in FEATURE_SQL.items():
     add(_name, _feature_query(list(_parts)), f"WITH RECURSIVE {_BOTH}, g AS (SELECT symbol, trade_date, {', '.join(f'{e} AS {c}' for c, e in _parts.items())} FROM f) SELECT symbol, trade_date, {', '.join(c if c in _TEXT else sql.tidy([c]) for c in _parts)} FROM g")
 add("feat_adx", _feature_query(["trend_strength_adx", "adx_strength_label"]), f"""WITH RECURSIVE {sql.RECURSIVE}, {sql.ADX} SELECT symbol, trade_date,
 CASE WHEN ADX10 > 25 THEN 1 WHEN ADX10 <= 25 THEN 0 END::INT AS trend_strength_adx, CASE WHEN ADX20 >= 25 THEN 'STRONG_TREND' WHEN ADX20 >= 15 THEN 'WEAK_TREND' ELSE 'NO_TREND' END AS adx_strength_label FROM adx""")
-add("feat_all", _feature_query([*features.TREND_COLUMNS, *features.MOMENTUM_COLUMNS, *features.VOLATILITY_COLUMNS, *features.LABEL_COLUMNS]))
+_ADX_SQL = {
+    "trend_strength_adx": "CASE WHEN ADX10 > 25 THEN 1 WHEN ADX10 <= 25 THEN 0 END::INT",
+    "adx_strength_label": "CASE WHEN ADX20 >= 25 THEN 'STRONG_TREND' WHEN ADX20 >= 15 THEN 'WEAK_TREND' ELSE 'NO_TREND' END",
+    "log_return": f"CASE WHEN lag(close) OVER {sql.BY_DATE} > 0 AND close > 0 THEN ln(close / lag(close) OVER {sql.BY_DATE}) END",
+    "next_3d_label": f"CASE WHEN {_NEXT} > 1.01::DOUBLE * close THEN 'UP' WHEN {_NEXT} < 0.99::DOUBLE * close THEN 'DOWN' WHEN {_NEXT} IS NOT NULL THEN 'FLAT' END",
+}
+_ALL = [*features.TREND_COLUMNS, *features.MOMENTUM_COLUMNS, *features.VOLATILITY_COLUMNS, *features.LABEL_COLUMNS]
+_ALL_SQL = {c: e for parts in FEATURE_SQL.values() for c, e in parts.items()} | _ADX_SQL
+_PLAIN = _TEXT | {"trend_strength_adx", "adx_strength_label", "next_3d_label"}
+add("feat_all", _feature_query(_ALL), f"""WITH RECURSIVE {_BOTH}, {sql.ADX}, fa AS (SELECT * FROM f JOIN adx USING (symbol, trade_date)), g AS (SELECT symbol, trade_date, {', '.join(f'{_ALL_SQL[c]} AS {c}' for c in _ALL)} FROM fa)
+SELECT symbol, trade_date, {', '.join(c if c in _PLAIN else sql.tidy([c]) for c in _ALL)} FROM g""")

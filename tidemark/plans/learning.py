@@ -138,7 +138,11 @@ def dq_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.recommendations(quality.missing(df, QUALITY), quality.outliers(df, KEY_FEATURES), quality.completeness(df, QUALITY))
 
 
-add("dq_recommendations", dq_recommendations)
+_ADVICE = ", ".join(f"(count(*) - count({c})) > 0.2::DOUBLE * count(*) AS m_{c}" for c in QUALITY)
+_STRAY = ", ".join(f"(count(*) FILTER ({c} < {c}_1 - 1.5::DOUBLE * ({c}_3 - {c}_1) OR {c} > {c}_3 + 1.5::DOUBLE * ({c}_3 - {c}_1))) > 0.1::DOUBLE * count({c}) AS o_{c}" for c in KEY_FEATURES)
+add("dq_recommendations", dq_recommendations, f"""WITH {_OUT_SQL}, a AS (SELECT {_ADVICE}, {_STRAY}, 100 * (count(*) - count(*) FILTER ({_LACK} > 10)) < 80 * count(*) AS thin FROM o),
+b AS (SELECT 'MISSING_DATA' AS type, 'HIGH' AS severity, {" + ".join(f"m_{c}::INT" for c in QUALITY)} AS n_columns FROM a UNION ALL SELECT 'OUTLIERS', 'MEDIUM', {" + ".join(f"o_{c}::INT" for c in KEY_FEATURES)} FROM a UNION ALL SELECT 'COMPLETENESS', 'HIGH', thin::INT FROM a),
+c AS (SELECT type, severity, n_columns::BIGINT AS n_columns FROM b WHERE n_columns > 0) SELECT * FROM c UNION ALL SELECT 'OK', 'INFO', 0 WHERE NOT EXISTS (FROM c)""")
 add("metadata", lambda s, d: quality.metadata(adapters.bars(s, d)), f"""WITH {sql.BARS} SELECT count(*) AS n_rows, count(DISTINCT symbol) AS n_symbols, min(year(trade_date))::INT AS min_year, max(year(trade_date))::INT AS max_year,
 count(DISTINCT (year(trade_date), month(trade_date), symbol)) AS n_partitions FROM bars""")
 add("clean_filter", lambda s, d: quality.clean(adapters.ticks(s, d)).groupBy("symbol").agg(F.count(F.lit(1)).alias("n")),
@@ -150,7 +154,7 @@ add("post_load_verify", lambda s, d: quality.verify(_measured(s, d), ["close", "
 def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars with RSI and MACD, written partitioned by year, month and symbol, and read again."""
     bars = adapters.bars(spark, sf_dir)
-    lines = recursive.recursive_indicators(bars).select(*KEYS, "RSI14", "macd1226")
+    lines = recursive.recursive_indicators(bars, ["RSI14", "macd1226"])
     path = scratch_path(spark, "stored-bars")
     table = bars.join(lines, KEYS).select(
         F.concat(F.lit("S"), F.col("symbol").cast("string")).alias("stock_symbol"), F.col("trade_date").cast("timestamp").alias("timestamp"), F.year("trade_date").alias("year"), F.month("trade_date").alias("month"), "close", "RSI14", "macd1226",

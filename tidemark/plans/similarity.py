@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import recursive, rolling, vectors
-from ..operators import minhash, patterns, precedents
+from ..operators import minhash, patterns, precedents, serving
 from ..schema import SIGNALS
 from ..sources import adapters
-from ..sources.scratch import materialize
+from ..sources.scratch import materialize, scratch_path
 from . import sql
 from .indicators import KEYS, featured_bars
 from .kit import add, tidy
@@ -100,11 +100,12 @@ c AS (SELECT (SELECT count(*) FROM r)::DOUBLE AS n, (SELECT count(*) FROM p)::DO
 SELECT n, n_pairs, {sql.rounded("n * (n - 1) / 2")} AS all_pairs, {sql.rounded("100 * n_pairs / (n * (n - 1) / 2)")} AS candidate_percent, {sql.rounded("n * (n - 1) / 2 / n_pairs")} AS reduction FROM c""")
 
 
-def query_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols whose daily states of some window resemble those of symbol 0 at the end of 1999."""
-    daily = featured_bars(spark, sf_dir).select(*KEYS, *SIGNALS)
-    signed = minhash.with_signatures(minhash.state_shingles(daily, list(SIGNALS)))
-    return minhash.similar_symbols(signed, F.lit(0), F.lit("1999-12-31").cast("date"), 10)
+def query_similar(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    """For the last window of every symbol whose number is divisible by 20, the days of other symbols whose states resemble it, with the bars' own columns."""
+    daily = materialize(featured_bars(spark, sf_dir).select(*KEYS, "close", "next_3d_label", *SIGNALS), "daily-states")
+    signed = materialize(minhash.with_signatures(minhash.state_shingles(daily, list(SIGNALS))), "state-signatures")
+    asked = _asked(signed, "symbol").groupBy("symbol").agg(F.max("trade_date").alias("query_date"))
+    return tidy(minhash.similar_windows(signed, asked, daily, k))
 
 
 add("query_similar", query_similar)
@@ -114,7 +115,7 @@ def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars with outcomes and the last sma20, RSI and MACD, by market."""
     bars = adapters.bars(spark, sf_dir)
     averages = rolling.rolling_indicators(bars).select(*KEYS, "close", "volume", "sma20")
-    lines = recursive.recursive_indicators(bars).select(*KEYS, F.col("RSI14").alias("rsi"), F.col("macd1226").alias("macd"))
+    lines = recursive.recursive_indicators(bars, ["RSI14", "macd1226"]).select(*KEYS, F.col("RSI14").alias("rsi"), F.col("macd1226").alias("macd"))
     return patterns.outcomes(averages.join(lines, KEYS)).withColumn("market", adapters.market(F.col("trade_date")))
 
 
@@ -224,6 +225,54 @@ def precedent_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("precedent_list", precedent_list, _verdict_sql(_LATEST, f"SELECT query_id, item_id, {sql.tidy(['cosine', 'fwd_return'], 6)}, fwd_down, r::INT AS rank FROM lib3 WHERE r <= 10"))
 
+_SAYS = "printf('%s risk %.1f: %d library precedents fell %.1f%% of the time, %d target precedents %.1f%%; the markets are %s.', label, risk_score, lib_n, 100 * lib_p_down, tgt_n, 100 * tgt_p_down, lower(agreement))"
+add("alert_reason", lambda s, d: (v := verdicts_of_latest(s, d)).select("symbol", "trade_date", "label", precedents.reason(v).alias("reason")),
+    _verdict_sql(_LATEST, f"SELECT symbol, trade_date, label, {_SAYS} AS reason FROM verdicts"))
+
+
+def precedent_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten patterns of the target market most like each symbol's latest one, of all that came before it."""
+    known = all_patterns(spark, sf_dir).filter("market = 'tgt' AND fwd_down IS NOT NULL")
+    return tidy(precedents.exact_top_k(_latest(known), known, 10, earlier=True), 6)
+
+
+add("precedent_exact", precedent_exact, f"""WITH RECURSIVE {_P}, k AS MATERIALIZED (SELECT * FROM patterns WHERE market = 'tgt' AND fwd_down IS NOT NULL), a AS (SELECT * FROM k WHERE (symbol, trade_date) IN (SELECT (symbol, max(trade_date)) FROM k GROUP BY symbol)),
+t AS (SELECT a.id AS query_id, k.id AS item_id, list_dot_product(a.vector, k.vector) AS cosine FROM a JOIN k ON k.trade_date < a.trade_date)
+SELECT query_id, item_id, {sql.rounded("cosine", 6)} AS cosine, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, item_id) AS r FROM t) WHERE r <= 10""")
+
+
+def _served(spark: SparkSession, sf_dir: str) -> serving.PrecedentStore:
+    return serving.PrecedentStore.build(all_patterns(spark, sf_dir), PLANES, scratch_path(spark, "precedent-store"))
+
+
+def _quarter_ends(spark: SparkSession, symbols: DataFrame) -> DataFrame:
+    ends = F.explode(F.sequence(F.lit("1999-03-31").cast("date"), F.lit("2001-12-31").cast("date"), F.expr("INTERVAL 3 MONTHS"))).alias("query_date")
+    return symbols.select("symbol").distinct().select("symbol", ends)
+
+
+def served_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The standardised returns behind the last pattern of each symbol up to every quarter's end, from the stored index."""
+    store = _served(spark, sf_dir)
+    shapes = store.shapes(_quarter_ends(spark, store.symbols()))
+    return tidy(shapes.select("symbol", "query_date", "pattern_date", *[F.get("shape", F.lit(k)).alias(f"z{k}") for k in (0, 10, 19)]), 6)
+
+
+_QUARTERS = """sq AS (SELECT symbol, unnest(generate_series(0, 11)) AS q FROM (SELECT DISTINCT symbol FROM patterns WHERE market = 'tgt')),
+se AS (SELECT symbol, least(DATE '1999-03-31' + to_months(3 * q::INT), last_day(DATE '1999-03-31' + to_months(3 * q::INT)))::DATE AS query_date FROM sq),
+sp AS (SELECT se.symbol, se.query_date, p.trade_date AS pattern_date, p.vector FROM se ASOF JOIN (SELECT * FROM patterns WHERE market = 'tgt') p ON se.symbol = p.symbol AND se.query_date >= p.trade_date)"""
+add("served_shapes", served_shapes, f"""WITH RECURSIVE {_P}, {_QUARTERS} SELECT symbol, query_date, pattern_date, {", ".join(f"{sql.rounded(f'vector[{k + 1}]', 6)} AS z{k}" for k in (0, 10, 19))} FROM sp""")
+add("served_dates", lambda s, d: _served(s, d).dates().groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("trade_date").alias("first"), F.max("trade_date").alias("last")),
+    f"WITH RECURSIVE {_P} SELECT symbol, count(*) AS n, min(trade_date) AS first, max(trade_date) AS last FROM patterns WHERE market = 'tgt' GROUP BY symbol")
+
+
+def served_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of the stored index to a question for every symbol and quarter's end: the verdict and why."""
+    store = _served(spark, sf_dir)
+    return tidy(store.ask(_quarter_ends(spark, store.symbols())).select("symbol", "query_date", "pattern_date", "close", "lib_n", "tgt_n", "risk_score", "label", "agreement", "reason"))
+
+
+add("served_alerts", served_alerts)
+
 _CHECKS = ", ".join(f"('{m}', {t}::DOUBLE, {str(r).lower()})" for m, t, r in precedents.SANITY_CHECKS)
 _DIST = """SELECT market, avg(fwd_down) AS base_rate_down, avg((fwd_return > 0)::INT) AS p_up, avg(fwd_return) AS mean_fwd_return, stddev_samp(fwd_return) AS std_fwd_return, avg(abs(fwd_return)) AS volatility_fwd,
 quantile_cont(fwd_return, 0.95) AS fwd_return_p95, quantile_cont(fwd_return, 0.05) AS fwd_return_p05 FROM patterns WHERE fwd_down IS NOT NULL GROUP BY market"""

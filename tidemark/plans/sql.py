@@ -134,6 +134,22 @@ y5 AS (
 ),
 adx AS (SELECT symbol, trade_date, ADX5, ADX10, ADX20 FROM y5 JOIN c2 USING (symbol, rn))"""
 
+#: Parabolic stop and reverse by recursion, after RECURSIVE: table sar. A step first tells whether the bar crosses the stop.
+SAR = f"""s0 AS MATERIALIZED (SELECT symbol, trade_date, rn, high, low, CASE WHEN rn = 2 THEN high ELSE lag(high) OVER {BY_DATE} END AS hp, CASE WHEN rn = 2 THEN low ELSE lag(low) OVER {BY_DATE} END AS lp,
+  lead(high) OVER {BY_DATE} AS nh, lead(low) OVER {BY_DATE} AS nl FROM c2),
+s1 AS (
+  SELECT symbol, rn, NULL::DOUBLE AS SAR, NOT (low - nl > nh - high AND low - nl > 0) AS up, CASE WHEN low - nl > nh - high AND low - nl > 0 THEN high ELSE low END AS stop,
+    CASE WHEN low - nl > nh - high AND low - nl > 0 THEN nl ELSE nh END AS extreme, 0.02::DOUBLE AS speed FROM s0 WHERE rn = 1
+  UNION ALL
+  SELECT symbol, rn, SAR, up, CASE WHEN up THEN least(SAR + speed * (extreme - SAR), lp, low) ELSE greatest(SAR + speed * (extreme - SAR), hp, high) END, extreme, speed
+  FROM (SELECT b.symbol, b.rn, b.high, b.low, b.hp, b.lp, e.up <> (CASE WHEN e.up THEN b.low <= e.stop ELSE b.high >= e.stop END) AS up,
+    CASE WHEN e.up AND b.low <= e.stop THEN greatest(e.extreme, b.hp, b.high) WHEN NOT e.up AND b.high >= e.stop THEN least(e.extreme, b.lp, b.low) ELSE e.stop END AS SAR,
+    CASE WHEN e.up AND b.low <= e.stop THEN b.low WHEN NOT e.up AND b.high >= e.stop THEN b.high WHEN e.up THEN greatest(e.extreme, b.high) ELSE least(e.extreme, b.low) END AS extreme,
+    CASE WHEN e.up AND b.low <= e.stop OR NOT e.up AND b.high >= e.stop THEN 0.02::DOUBLE WHEN e.up AND b.high > e.extreme OR NOT e.up AND b.low < e.extreme THEN least(e.speed + 0.02::DOUBLE, 0.2::DOUBLE) ELSE e.speed END AS speed
+    FROM s1 e JOIN s0 b ON b.symbol = e.symbol AND b.rn = e.rn + 1)
+),
+sar AS (SELECT symbol, trade_date, SAR FROM s1 JOIN c2 USING (symbol, rn))"""
+
 _KAMA = (10, 20, 30)
 
 

@@ -67,6 +67,12 @@ def loadings(spark, matrix: np.ndarray, names: list[str]) -> DataFrame:
     return spark.createDataFrame(rows, "pc int, feature string, loading double").withColumn("rank", F.row_number().over(order))
 
 
+def top_loadings(found: DataFrame, n: int = 5) -> DataFrame:
+    """``pc, features``: the features that weigh most in each component, as a text."""
+    named = found.filter(F.col("rank") <= n).select("pc", F.struct("rank", F.format_string("%s (%+.3f)", "feature", "loading").alias("text")).alias("entry"))
+    return named.groupBy("pc").agg(F.array_join(F.transform(F.array_sort(F.collect_list("entry")), lambda e: e["text"]), ", ").alias("features"))
+
+
 def kmeans(df: DataFrame, k: int | None = None, column: str = "features", config: ClusterConfig = DEFAULT.cluster):
     """A fitted K-means model."""
     return KMeans(k=k or config.k, maxIter=config.max_iterations, tol=config.tolerance, seed=config.seed, featuresCol=column, predictionCol="cluster_id").fit(df)

@@ -253,6 +253,7 @@ def distribution(patterns: DataFrame) -> DataFrame:
     r = F.col("fwd_return")
     known = patterns.filter("fwd_down IS NOT NULL")
     return known.groupBy("market").agg(
+        F.count(F.lit(1)).alias("n_pattern"), F.percentile(r, F.lit(0.5)).alias("median_fwd_return"),
         F.avg("fwd_down").alias("base_rate_down"), F.avg(F.when(r > 0, 1.0).otherwise(0.0)).alias("p_up"), F.avg(r).alias("mean_fwd_return"),
         F.stddev_samp(r).alias("std_fwd_return"), F.avg(F.abs(r)).alias("volatility_fwd"),
         F.percentile(r, F.lit(0.95)).alias("fwd_return_p95"), F.percentile(r, F.lit(0.05)).alias("fwd_return_p05"),

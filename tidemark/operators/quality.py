@@ -113,3 +113,8 @@ def binned_means(df: DataFrame, by: str, value: str, bins: int = 8) -> DataFrame
     edges = F.broadcast(df.agg(F.array_distinct(F.percentile(by, [k / bins for k in range(1, bins)])).alias("_edges")))  # one row
     number = F.aggregate("_edges", F.lit(1), lambda n, e: n + (F.col(by) > e).cast("int"))
     return df.crossJoin(edges).groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(by).alias("mean_by"), F.avg(value).alias("mean_value"))
+
+
+def plot_sample(df: DataFrame, key: str, n: int = 50_000) -> DataFrame:
+    """At most ``n`` rows for a chart, the same each time: those whose key has the smallest hash."""
+    return df.orderBy(F.md5(F.col(key).cast("string").cast("binary")), key).limit(n)

@@ -47,6 +47,17 @@ def pca_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(clustering.loadings(spark, clustering.project(df, k, "symbol")[1], list(PCA_INPUT)), 6)
 
 
+def pca_top_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.top_loadings(pca_profiles(spark, sf_dir))
+
+
+def pca_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a scatter chart of the symbols shows: their first two components and their cluster."""
+    df = clustering.assembled(_profiles_all(spark, sf_dir), list(PCA_INPUT))
+    scores = clustering.assembled(clustering.project(df, 2, "symbol")[0], ["pc1", "pc2"])
+    return tidy(clustering.kmeans(scores).transform(scores).select("symbol", "pc1", "pc2", "cluster_id"), 6)
+
+
 def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = clustering.from_array(_embedded(spark, sf_dir).drop("cluster_id"), "vector")
     return clustering.kmeans(df).transform(df).select("id", "cluster_id")
@@ -72,6 +83,8 @@ def silhouette_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("pca_explained", pca_explained)
 add("pca_profiles", pca_profiles)
+add("pca_top_loadings", pca_top_loadings)
+add("pca_scatter", pca_scatter)
 add("kmeans", kmeans)
 add("elbow", elbow)
 add("cure", cure)
@@ -188,6 +201,21 @@ add("pruned_count", lambda s, d: stored(s, d).filter("year = 1997 AND stock_symb
     f"WITH {sql.BARS} SELECT count(*) AS n FROM bars WHERE year(trade_date) = 1997 AND symbol = 3")
 add("top_groups", lambda s, d: adapters.bars(s, d).groupBy(F.year("trade_date").alias("year"), "symbol").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "year", "symbol").limit(5),
     f"WITH {sql.BARS} SELECT year(trade_date)::INT AS year, symbol, count(*) AS n FROM bars GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 5")
+add("month_counts", lambda s, d: adapters.bars(s, d).groupBy(F.year("trade_date").alias("year"), F.month("trade_date").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("symbol").alias("n_symbols")),
+    f"WITH {sql.BARS} SELECT year(trade_date)::INT AS year, month(trade_date)::INT AS month, count(*) AS n, count(DISTINCT symbol) AS n_symbols FROM bars GROUP BY 1, 2")
+
+
+def declared_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks written in the declared layout by year, month and symbol, and counted from a read of it."""
+    path = scratch_path(spark, "declared-layout")
+    stored = adapters.ticks(spark, sf_dir).filter("timestamp IS NOT NULL").select(F.col("symbol").alias("stock_symbol"), "timestamp", "price", F.year("timestamp").alias("year"), F.month("timestamp").alias("month"))
+    ticks.write_partitioned(stored, path)
+    return tidy(spark.read.parquet(path).groupBy("year", "month", "stock_symbol").agg(F.count(F.lit(1)).alias("n"), F.avg("price").alias("mean_price")))
+
+
+add("declared_layout", declared_layout, f"SELECT year(ts)::INT AS year, month(ts)::INT AS month, event_type AS stock_symbol, count(*) AS n, {sql.rounded('avg(value)')} AS mean_price FROM events WHERE ts IS NOT NULL GROUP BY 1, 2, 3")
+add("plot_sample", lambda s, d: tidy(quality.plot_sample(adapters.ticks(s, d), "event_id").select("event_id", "symbol", "price")),
+    f"SELECT event_id, event_type AS symbol, {sql.rounded('value')} AS price FROM events ORDER BY md5(event_id::VARCHAR), event_id LIMIT 50000")
 add("storage_size", lambda s, d: ticks.stored_size(s, f"{d}/lineitem.parquet"))
 add("schema_document", lambda s, d: s.createDataFrame([(k, f.name, f.dataType.simpleString(), f.nullable) for k, f in enumerate(documented_schema())], "position int, name string, type string, nullable boolean"))
 

@@ -273,6 +273,11 @@ def served_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("served_alerts", served_alerts)
 
+_FIGURES_SQL = {"n_pattern": "count(*)", "median_fwd_return": "quantile_cont(fwd_return, 0.5)", "base_rate_down": "avg(fwd_down)", "p_up": "avg((fwd_return > 0)::INT)", "mean_fwd_return": "avg(fwd_return)", "std_fwd_return": "stddev_samp(fwd_return)",
+    "volatility_fwd": "avg(abs(fwd_return))", "fwd_return_p95": "quantile_cont(fwd_return, 0.95)", "fwd_return_p05": "quantile_cont(fwd_return, 0.05)"}
+add("pattern_distribution", lambda s, d: tidy(precedents.distribution(all_patterns(s, d)), 6),
+    f"WITH RECURSIVE {_P} SELECT market, {', '.join(e + ' AS ' + c if c == 'n_pattern' else sql.rounded(e, 6) + ' AS ' + c for c, e in _FIGURES_SQL.items())} FROM patterns WHERE fwd_down IS NOT NULL GROUP BY market")
+
 _CHECKS = ", ".join(f"('{m}', {t}::DOUBLE, {str(r).lower()})" for m, t, r in precedents.SANITY_CHECKS)
 _DIST = """SELECT market, avg(fwd_down) AS base_rate_down, avg((fwd_return > 0)::INT) AS p_up, avg(fwd_return) AS mean_fwd_return, stddev_samp(fwd_return) AS std_fwd_return, avg(abs(fwd_return)) AS volatility_fwd,
 quantile_cont(fwd_return, 0.95) AS fwd_return_p95, quantile_cont(fwd_return, 0.05) AS fwd_return_p05 FROM patterns WHERE fwd_down IS NOT NULL GROUP BY market"""

@@ -75,6 +75,23 @@ def parse_symbols(text: str, every: Callable[[], list[str]], default: Sequence[s
     return list(dict.fromkeys(s.strip().upper() for s in found if s.strip()))
 
 
+def crawl(symbols: Sequence[str], fetch: Callable[[str], list[tuple]], limiter: RateLimiter | None = None, attempts: int = 5, sleep: Callable[[float], None] = time.sleep) -> tuple[dict[str, list[tuple]], dict[str, str]]:
+    """Rows by symbol, and for each symbol that could not be fetched the last error: one that fails does not stop the others."""
+    limiter = limiter or RateLimiter(sleep=sleep)
+    rows, failed = {}, {}
+
+    def one(symbol: str) -> list[tuple]:
+        limiter.acquire()
+        return list(fetch(symbol))
+
+    for symbol in dict.fromkeys(symbols):
+        try:
+            rows[symbol] = with_retry(lambda symbol=symbol: one(symbol), attempts, sleep=sleep)
+        except Exception as error:
+            failed[symbol] = f"{type(error).__name__}: {error}"
+    return rows, failed
+
+
 class _Symbol(InputPartition):
     def __init__(self, symbol: str):
         self.symbol = symbol

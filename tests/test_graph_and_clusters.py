@@ -4,7 +4,6 @@ import itertools
 import numpy as np
 import pytest
 
-from tidemark.config import ClusterConfig
 from tidemark.operators import clustering, graph, portfolio
 
 EDGES = [(0, 1, 0.9), (1, 2, 0.8), (0, 2, 0.7), (3, 4, 0.6), (4, 5, 0.9), (3, 5, 0.5), (2, 3, 0.1)]
@@ -39,18 +38,71 @@ def test_pagerank_in_place_and_by_joins(spark, small_graph, monkeypatch):
         assert sorted(r["rank"] for r in rows) == list(range(1, 8))
 
 
-def test_communities_and_modularity(spark, small_graph, monkeypatch):
+def modularity(n, edges, label):
+    m, strength = sum(w for *_, w in edges), [0.0] * n
+    for a, b, w in edges:
+        strength[a] += w
+        strength[b] += w
+    inside = sum(w for a, b, w in edges if label[a] == label[b]) / m
+    return inside - sum((sum(strength[k] for k in range(n) if label[k] == c) / (2 * m)) ** 2 for c in set(label))
+
+
+def plain_louvain(n, edges):
+    """Nodes one after the other, each to its best community, while any moves; then communities as nodes."""
+    member, near = list(range(n)), {}
+    for a, b, w in edges:
+        near[a, b] = near.get((a, b), 0.0) + w
+        near[b, a] = near.get((b, a), 0.0) + w
+    twice = sum(near.values())
+    while True:
+        ids = sorted({a for a, _ in near})
+        label, k = {i: i for i in ids}, {i: sum(w for (a, _), w in near.items() if a == i) for i in ids}
+        moved_ever = moving = True
+        while moving:
+            moving = False
+            for i in ids:
+                to = {label[i]: 0.0}
+                for (a, b), w in near.items():
+                    if a == i and b != i:
+                        to[label[b]] = to.get(label[b], 0.0) + w
+                gain = {c: w - k[i] * sum(k[j] for j in ids if label[j] == c and j != i) / twice for c, w in to.items()}
+                best = max(gain, key=lambda c: (round(gain[c], 12), -c))
+                if gain[best] > gain[label[i]] + 1e-12:
+                    label[i], moving = best, True
+        moved_ever = any(label[i] != i for i in ids)
+        if not moved_ever:
+            return member
+        member = [label.get(m, m) for m in member]
+        merged = {}
+        for (a, b), w in near.items():
+            merged[label[a], label[b]] = merged.get((label[a], label[b]), 0.0) + w
+        near = merged
+
+
+def test_communities_and_modularity(spark, small_graph):
     nodes, links = small_graph
-    for limit, method in ((graph.SMALL, "louvain"), (0, "label_propagation")):
-        monkeypatch.setattr(graph, "SMALL", limit)
-        found = graph.communities(nodes, links)
-        got = {r.symbol: r.community_id for r in found.collect()}
-        assert got[0] == got[1] == got[2] and got[3] == got[4] == got[5] != got[0] and got[6] == 6
-        assert {r.detection_method for r in found.collect()} == {method}
-        m = sum(w for *_, w in EDGES)
-        strength = {k: sum(w for s, d, w in EDGES for x in (s, d) if x == k) for k in range(7)}
-        want = sum(w for s, d, w in EDGES if got[s] == got[d]) / m - sum((sum(strength[k] for k in got if got[k] == c) / (2 * m)) ** 2 for c in set(got.values()))
-        assert graph.modularity(links, found).first().modularity == pytest.approx(want)
+    found = graph.communities(nodes, links)
+    got = {r.symbol: r.community_id for r in found.collect()}
+    assert got[0] == got[1] == got[2] and got[3] == got[4] == got[5] != got[0] and got[6] == 6
+    assert {r.detection_method for r in found.collect()} == {"louvain"}
+    assert {r.symbol: r.community_size for r in found.collect()} == {0: 3, 1: 3, 2: 3, 3: 3, 4: 3, 5: 3, 6: 1}
+    assert graph.modularity(links, found).first().modularity == pytest.approx(modularity(7, EDGES, [got[k] for k in range(7)]))
+
+
+@pytest.mark.parametrize("kind", ["planted", "star", "chain"])
+def test_communities_are_as_good_as_those_of_one_node_at_a_time(spark, kind):
+    rng = np.random.default_rng(8)
+    if kind == "planted":
+        edges = [(a, b, 1.0) for a in range(40) for b in range(a + 1, 40) if rng.random() < (0.6 if a % 4 == b % 4 else 0.05)]
+    else:
+        edges = [(0, k, 1.0) for k in range(1, 40)] if kind == "star" else [(k, k + 1, 1.0) for k in range(39)]
+    nodes, links = spark.range(40).withColumnRenamed("id", "symbol"), spark.createDataFrame(edges, "src long, dst long, weight double")
+    got = {r.symbol: r.community_id for r in graph.communities(nodes, links).collect()}
+    label = [got[k] for k in range(40)]
+    assert all(min(j for j in range(40) if label[j] == c) == c for c in label)
+    assert modularity(40, edges, label) >= modularity(40, edges, plain_louvain(40, edges)) - 0.02
+    if kind == "planted":
+        assert len(set(label)) == 4 and all(label[k] == label[k % 4] for k in range(40))
 
 
 def test_components_degrees_and_empty_graph(spark, small_graph):
@@ -116,11 +168,36 @@ def test_cure_finds_separate_clusters(spark):
     rows = [(k, (centres[k % 6] + rng.normal(size=4)).tolist()) for k in range(300)]
     out = clustering.cure(spark.createDataFrame(rows, "id long, vector array<double>")).collect()
     assert len({(r.id % 6, r.cure_cluster) for r in out}) == 6
-    reps, owners = clustering.cure_representatives(np.array([r[1] for r in rows]), ClusterConfig(representatives=4))
-    assert len(reps) == 24 and np.bincount(owners).tolist() == [4] * 6
     assert clustering.cure(spark.createDataFrame([], "id long, vector array<double>")).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [1024, 64])
+def test_cure_sample_grows_with_the_table(spark, at_once):
+    """Half of the rows in parts of a few; small clusters keep a representative."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(scale=40, size=(6, 3))
+    rows = [(k, (centres[0 if k % 50 else 1 + k // 50 % 5] + rng.normal(size=3)).tolist()) for k in range(1500)]
+    out = clustering.cure(spark.createDataFrame(rows, "id long, vector array<double>"), at_once=at_once).collect()
+    assert len({(0 if r.id % 50 else 1 + r.id // 50 % 5, r.cure_cluster) for r in out}) == 6
+
+
+def test_ward_of_weighted_rows():
+    """A row that stands for several is as good as the rows."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(12, 2))
+    weight = rng.integers(1, 5, 12)
+    labels = clustering.ward(x, 4, weight)
+    every = clustering.ward(np.repeat(x, weight, axis=0), 4)
+    first = np.cumsum(weight) - weight
+    assert {frozenset(np.flatnonzero(labels == c)) for c in range(4)} == {frozenset(np.flatnonzero(every[first] == c)) for c in range(4)}
+
+
+def test_numbered_is_a_global_order(spark):
+    df = spark.range(1000).selectExpr("id", "id % 7 AS k").repartition(5)
+    got = graph.numbered(df, [df["k"].desc(), df["id"].asc()], "rank").collect()
+    assert [(r.k, r.id) for r in sorted(got, key=lambda r: r["rank"])] == sorted(((k % 7, k) for k in range(1000)), key=lambda t: (-t[0], t[1])) and {r["rank"] for r in got} == set(range(1, 1001))
+
+
 def test_agreement(spark):
     df = spark.createDataFrame([(0, 0), (0, 0), (1, 1), (1, 1), (2, 0)], "a int, b int")
     r = clustering.agreement(df, "a", "a").first()

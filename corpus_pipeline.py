@@ -22,16 +22,26 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal normalised texts the one with the smallest id."""
-    return digest_index.drop_duplicates(docs.select(*COLUMNS), digest_index.fresh_index(spark))
+    index = digest_index.fresh_index(spark)
+    kept = digest_index.drop_duplicates(docs.select(*COLUMNS), index)
+    index.drop()  # the decisions are written by then
+    return kept
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (five-word shingles, Jaccard similarity of at least 0.8) the document with the smallest id."""
+    """Of each component of near copies (five-word shingles, Jaccard similarity of at least 0.8) the document with the smallest id.
+
+    Operator 8's fingerprints and bit-sliced comparison at a radius for that similarity, then exact similarities.
+    """
     return near_copies.one_of_each(docs.select(*COLUMNS))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents at rates of at most 1 that bring the domains to their target weights; clean documents keep rate 1."""
+    """Documents at rates of at most 1; clean documents keep rate 1, and the others are thinned to their share of what is clean.
+
+    The budget is the one at which the clean domain's target is all that there is of it. A domain of which there is less
+    than its target stays as it is.
+    """
     return soft_mixing.resample(docs.select(*COLUMNS), read_table(spark, sf_dir, "labels"), budget=None, max_rate=1.0)
 
 

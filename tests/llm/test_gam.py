@@ -17,6 +17,75 @@ def test_learns_steps_and_interactions():
     assert ((G.fit(x[:4000], y[:4000]).score(x[4000:]) >= 0.5) == y[4000:]).mean() > 0.98
 
 
+def plain_tree(g, h, leaves, ridge):
+    """All cuts of all parts tried, one after the other."""
+    worth = lambda lo, hi: sum(g[lo:hi]) ** 2 / (sum(h[lo:hi]) + ridge)
+    parts = [(0, len(g))]
+    while len(parts) < leaves:
+        options = [(worth(lo, c) + worth(c, hi) - worth(lo, hi), lo, hi, c) for lo, hi in parts for c in range(lo + 1, hi)]
+        if not options or max(options)[0] <= 1e-12:
+            break
+        _, lo, hi, c = max(options, key=lambda o: o[0])
+        parts.remove((lo, hi))
+        parts += [(lo, c), (c, hi)]
+    out = [0.0] * len(g)
+    for lo, hi in parts:
+        out[lo:hi] = [sum(g[lo:hi]) / (sum(h[lo:hi]) + ridge)] * (hi - lo)
+    return out
+
+
+def plain_fit(x, y, bins, rounds, rate, leaves, pair_bins, pair_rounds, n_pairs, ridge=1.0):
+    """The raw scores of the rows, boosted row by row and cut by cut."""
+    n, m = x.shape
+    at = lambda j, b: [sum(v >= e for e in sorted(set(np.quantile(x[:, j], np.linspace(0, 1, b + 1)[1:-1]).tolist()))) for v in x[:, j]]
+    share = (sum(y) + 1) / (n + 2)
+    raw = [float(np.log(share / (1 - share)))] * n
+    p = lambda: [1 / (1 + np.exp(-r)) for r in raw]
+    fine, coarse = [at(j, bins) for j in range(m)], [at(j, pair_bins) for j in range(m)]
+    for _ in range(rounds):
+        for j in range(m):
+            now, size = p(), max(fine[j]) + 1
+            size = len(set(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1]).tolist())) + 1
+            g, h = [0.0] * size, [0.0] * size
+            for i in range(n):
+                g[fine[j][i]] += y[i] - now[i]
+                h[fine[j][i]] += now[i] * (1 - now[i])
+            step = plain_tree(g, h, leaves, ridge)
+            raw = [raw[i] + rate * step[fine[j][i]] for i in range(n)]
+
+    def quadrants(a, b, now):
+        best = (0.0, None)
+        for s in range(1, max(coarse[a]) + 1):
+            for t in range(1, max(coarse[b]) + 1):
+                sums = {}
+                for i in range(n):
+                    key = coarse[a][i] >= s, coarse[b][i] >= t
+                    g, h = sums.get(key, (0.0, 0.0))
+                    sums[key] = g + y[i] - now[i], h + now[i] * (1 - now[i])
+                whole = sum(g for g, _ in sums.values()) ** 2 / (sum(h for _, h in sums.values()) + ridge)
+                gain = sum(g**2 / (h + ridge) for g, h in sums.values()) - whole
+                if best[1] is None or gain > best[0] + 1e-12:
+                    best = gain, {k: g / (h + ridge) for k, (g, h) in sums.items()} | {"cut": (s, t)}
+        return best
+
+    now = p()
+    every = sorted(((quadrants(a, b, now)[0], a, b) for a in range(m) for b in range(a)), key=lambda t: (-t[0], t[1:]))
+    for _ in range(pair_rounds):
+        for _, a, b in [e for e in every[:n_pairs] if e[0] > 1e-6]:
+            _, values = quadrants(a, b, p())
+            s, t = values["cut"]
+            raw = [raw[i] + rate * values.get((coarse[a][i] >= s, coarse[b][i] >= t), 0.0) for i in range(n)]
+    return raw
+
+
+def test_fit_is_brute_force():
+    rng = np.random.default_rng(6)
+    x = rng.random((60, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.4) ^ (rng.random(60) < 0.1)).astype(float)
+    settings = {"bins": 6, "rounds": 4, "rate": 0.3, "leaves": 3, "pair_bins": 4, "pair_rounds": 3, "n_pairs": 2}
+    assert G.fit(x, y, **settings).raw(x) == pytest.approx(plain_fit(x, y.tolist(), **settings))
+
+
 def test_score_is_a_sum_of_table_entries():
     rng = np.random.default_rng(2)
     x, y = rng.random((500, 3)), (rng.random(500) > 0.5).astype(float)

@@ -55,6 +55,46 @@ def test_mix_on_documents(spark, small):
     assert all(int(r.rate) <= r.copies <= int(r.rate) + 1 for r in rows.values())
 
 
+def test_posteriors_are_brute_force(spark, small):
+    """Every document's posterior from the weights, word by word."""
+    import math
+    import re
+
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    model = M.learn_domains(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in M.posterior_table(docs, model).collect():
+        text = texts[r.doc_id]
+        size, tokens = max(1, len(text.encode())), len(re.findall(r"[^\x20\x09-\x0D]+", text))
+        distinct = {w for w in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w}
+        share = lambda kind, text=text, size=size: len(re.findall(kind, text)) / size
+        shapes = [math.log1p(tokens), size / max(1, tokens), share("[#*$%&|<>]"), share("[A-Z]"), share("!"), share("[0-9]"), len(distinct) / max(1, tokens), len(distinct) / max(1, tokens**0.8)]
+        z = []
+        for d in range(3):
+            total = model.weights[0, d] + sum(model.weights[1 + k, d] * (s - model.mean[k]) / model.scale[k] for k, s in enumerate(shapes))
+            z.append(total + sum(model.weights[1 + M.N_SHAPES + model.lexicon[w.encode()], d] for w in distinct if w.encode() in model.lexicon))
+        p = [math.exp(x - max(z)) for x in z]
+        assert [r[f"p_{d}"] for d in M.DOMAINS] == pytest.approx([x / sum(p) for x in p], abs=1e-9) and r.n_tokens == tokens
+
+
+def test_regression_is_where_its_gradient_vanishes():
+    rng = np.random.default_rng(12)
+    x = np.column_stack([np.ones(200), rng.normal(size=(200, 3))])
+    y = (x[:, 1] > 0.3).astype(int) + (x[:, 2] > 1)
+    w = M._softmax_regression(x, y, 3, steps=4000)
+    p = np.exp(x @ w - (x @ w).max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    assert np.abs(x.T @ (p - np.eye(3)[y]) / len(x) + 1e-3 * w).max() < 1e-3
+
+
+def test_rates_that_do_not_come_to_rest_raise(table):
+    _, _, df = table
+    with pytest.raises(RuntimeError):
+        M.fit_rates(df, {"clean": 0.9, "low_quality": 0.07, "toxic": 0.03}, budget=1.2, iterations=3)
+    found = M.fit_rates(df, {"clean": 0.98, "low_quality": 0.01, "toxic": 0.01}, max_rate=1.0)
+    assert found.residuals[0] < -1e-3 and max(map(abs, found.residuals)) < 1  # there is not that much clean text
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, 0.0), (1, "", 0.0), (None, "x", 0.0), (2, "word " * 30000, 0.0)], "doc_id long, text string, rate double")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

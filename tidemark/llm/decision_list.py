@@ -82,8 +82,7 @@ def _thresholds(rows: DataFrame, features: tuple[str, ...], bins: int) -> dict[s
 
 def _binned(rows: DataFrame, thresholds: dict[str, list[float]]) -> DataFrame:
     """Rows with ``bins``: for each feature the number of thresholds that the value reaches."""
-    bins = [F.width_bucket_array(F.col(f), ts) if hasattr(F, "width_bucket_array") else _reached(F.col(f), ts) for f, ts in thresholds.items()]
-    return rows.withColumn("bins", F.array(*bins))
+    return rows.withColumn("bins", F.array(*[_reached(F.col(f), ts) for f, ts in thresholds.items()]))
 
 
 def _reached(value: Column, thresholds: list[float]) -> Column:
@@ -162,6 +161,11 @@ def _pruned(rows: DataFrame, conditions: list[Condition]) -> Rule | None:
     return rules[best] if rules[best].covered_bad else None
 
 
+def one_of_each_id(labelled: DataFrame) -> DataFrame:
+    """``doc_id, target`` and the features, one row an id: of rows that repeat an id the one with the smallest features."""
+    return labelled.groupBy("doc_id", "target").agg(F.min(F.struct(*FEATURES)).alias("least")).select("doc_id", "target", "least.*")
+
+
 #: A document fails outright with fewer words, or with a larger percentage of repeated words.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
@@ -175,7 +179,7 @@ def judge(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 30_000) -> tup
     """
     rows = materialize(with_features(with_counts(docs)), "rule-features")
     sample = F.broadcast(bounded_labels(labels, F.col("quality"), max_fit_rows))
-    fit = materialize(rows.dropDuplicates(["doc_id"]).join(sample, "doc_id").select("doc_id", "target", *FEATURES), "rule-fit")
+    fit = materialize(one_of_each_id(rows.join(sample, "doc_id")), "rule-fit")
     learned = learn(fit)
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     judged = rows.withColumn("base_failed", base_failed).withColumn("rule", learned.rule_number())

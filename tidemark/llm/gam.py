@@ -160,8 +160,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 20_000) -> Gam
     """Fit on at most ``max_fit_rows`` labelled documents that are not held out."""
     sample = bounded_labels(labels.filter(~held_out(F.col("doc_id"))), F.col("quality"), max_fit_rows)
     labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most max_fit_rows rows
-    targets = with_features(with_counts(labelled.select("doc_id", "text"))).dropDuplicates(["doc_id"]).join(F.broadcast(sample), "doc_id")
-    rows = targets.select("target", *FEATURES).toPandas().sort_values(["target", *FEATURES])  # the order is that of the values, not of the tasks
+    featured = with_features(with_counts(labelled.select("doc_id", "text"))).groupBy("doc_id").agg(F.min(F.struct(*FEATURES)).alias("least"))  # of a repeated id the smallest
+    rows = featured.join(F.broadcast(sample), "doc_id").select("target", "least.*").select("target", *FEATURES).toPandas().sort_values(["target", *FEATURES])  # the order is that of the values, not of the tasks
     return fit(rows[list(FEATURES)].to_numpy(float), rows["target"].to_numpy(float))
 
 

@@ -118,7 +118,7 @@ def learn_domains(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 12_000
     """Fit on at most ``max_fit_rows`` labelled documents."""
     limit = bounded_labels(labels, domain_of(labels), max_fit_rows)
     sample = materialize(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(limit), "doc_id").dropDuplicates(["doc_id"]),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(limit), "doc_id").groupBy("doc_id", "target").agg(F.min("text").alias("text")),
         "labelled-sample",
     )
     lexicon = {w.encode(): k for k, w in enumerate(_lexicon(sample, lexicon_size))}

@@ -1,4 +1,4 @@
-"""Declared schemas and vocabularies."""
+"""Declared schemas and column lists."""
 
 from __future__ import annotations
 
@@ -37,17 +37,6 @@ ASSOCIATION_ITEMS = ("rsi_status", "bb_position_label", "macd_cross_signal", "tr
 #: The six signals whose daily states are shingled.
 SIGNALS = ("rsi_status", "macd_cross_signal", "bb_position_label", "adx_strength_label", "trend_ema_cross", "is_high_volatility")
 
-# Vocabularies of the categorical features.
-RSI_STATUS = ("Overbought", "Oversold", "Neutral")
-NEXT_LABEL = ("UP", "DOWN", "FLAT")
-MACD_CROSS = ("BULLISH_CROSS", "BEARISH_CROSS", "NONE")
-BB_POSITION = ("ABOVE_UPPER", "UPPER_ZONE", "AT_MIDDLE", "LOWER_ZONE", "BELOW_LOWER")
-ADX_STRENGTH = ("STRONG_TREND", "WEAK_TREND", "NO_TREND")
-RISK_LABELS = ("SAFE", "CAUTION", "STRONG")
-AGREEMENT = ("ALIGNED", "CONFLICT", "NEUTRAL")
-CONFIDENCE = ("HIGH", "MEDIUM", "LOW")
-SANITY = ("GOOD", "FAIR", "POOR")
-
 
 def tick_schema() -> T.StructType:
     """The schema of a tick CSV file, read without inference."""

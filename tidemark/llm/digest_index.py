@@ -92,9 +92,12 @@ def deduplicate(docs: DataFrame, index: DigestIndex, n_batches: int = 1) -> Data
 
 
 def fresh_index(spark: SparkSession, label: str = "digest_index") -> DigestIndex:
-    """An empty index in the shared scratch folder."""
-    # about 100 MB of documents to a bucket would be right at scale; 32 suffice for scratch use
-    return DigestIndex(spark, f"{label}_{uuid.uuid4().hex}", scratch_path(spark, label), buckets=32)
+    """An empty index in the shared scratch folder, with as many buckets as the session has shuffle partitions.
+
+    So a batch that is dealt to the buckets is written by one task for each, and buckets grow in number with the data.
+    """
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return DigestIndex(spark, f"{label}_{uuid.uuid4().hex}", scratch_path(spark, label), buckets)
 
 
 def drop_duplicates(docs: DataFrame, index: DigestIndex) -> DataFrame:

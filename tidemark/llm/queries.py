@@ -62,7 +62,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = digest_index.fresh_index(spark)
-    found = digest_index.deduplicate(read_table(spark, sf_dir, "documents"), index, n_batches=4)
+    found = digest_index.deduplicate(read_table(spark, sf_dir, "documents"), index, n_batches=2)
     index.drop()
     return found
 

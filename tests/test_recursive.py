@@ -83,3 +83,20 @@ def test_any_series_gives_every_column(values):
     frame = pd.DataFrame({"symbol": 1, "trade_date": pd.date_range("2020-01-01", periods=len(x)), "high": x * 1.01, "low": x * 0.99, "close": x})
     out = R.compute(frame)
     assert list(out.columns) == ["symbol", "trade_date", *R.RECURSIVE] and len(out) == len(x)
+
+
+def test_recursions_without_a_join(spark, small):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.clustering import profiles
+    from tidemark.plans.indicators import KEYS, featured_bars
+    from tidemark.schema import PCA_INPUT
+    from tidemark.sources import adapters
+
+    bars, wanted = adapters.bars(spark, small), ["RSI14", "KAMA10", "HT_DCPERIOD"]
+    joined = bars.join(R.recursive_indicators(bars, wanted), KEYS).select(*KEYS, "close", *wanted).orderBy(*KEYS).collect()
+    assert R.with_recursive(bars, wanted).select(*KEYS, "close", *wanted).orderBy(*KEYS).collect() == joined
+    found = profiles(featured_bars(spark, small), list(PCA_INPUT))
+    assert found._jdf.queryExecution().executedPlan().toString().count("+- Exchange hashpartitioning") == 1
+    days = bars.groupBy("symbol").agg(F.countDistinct("trade_date").alias("n_days")).collect()
+    assert sorted(found.select("symbol", "n_days").collect()) == sorted(days)

@@ -94,10 +94,11 @@ def sequence_features(key: str = "symbol", order: str = "trade_date", horizon: i
 
 def symbol_features(df: DataFrame, key: str = "symbol") -> DataFrame:
     """``close_zscore`` (0 where the deviation is unknown or 0) and ``is_high_volatility`` (wider than 1.5 times the symbol's mean)."""
-    stats = df.groupBy(c(key).alias("_key")).agg(F.avg("close").alias("_mean"), F.stddev_samp("close").alias("_sd"), F.avg("bb_width").alias("_width"))
+    whole = Window.partitionBy(key)  # not a join: windows by symbol share one shuffle, and columns that nobody reads cost nothing
+    stats = df.withColumns({"_mean": F.avg("close").over(whole), "_sd": F.stddev_samp("close").over(whole), "_width": F.avg("bb_width").over(whole)})
     z = F.when(c("_sd").isNull() | (c("_sd") == 0), 0.0).otherwise(F.try_divide(c("close") - c("_mean"), c("_sd")))
     wide = F.when(_known("bb_width", "_width"), F.when(c("bb_width") > 1.5 * c("_width"), 1).otherwise(0))
-    return df.join(stats, c(key) == c("_key"), "left").withColumns({"close_zscore": z, "is_high_volatility": wide}).drop("_key", "_mean", "_sd", "_width")
+    return stats.withColumns({"close_zscore": z, "is_high_volatility": wide}).drop("_mean", "_sd", "_width")
 
 
 def add_features(df: DataFrame, key: str = "symbol", order: str = "trade_date") -> DataFrame:

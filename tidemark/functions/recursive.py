@@ -12,7 +12,8 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 # Periods of the indicators.
 EMA_PERIODS = (5, 10, 15, 20)
@@ -249,3 +250,25 @@ def recursive_indicators(bars: DataFrame, columns: tuple[str, ...] | list[str] |
     wanted = tuple(columns or RECURSIVE)
     schema = f"symbol {dict(bars.dtypes)['symbol']}, trade_date date, " + ", ".join(f"{c} double" for c in wanted)
     return bars.select("symbol", "trade_date", "high", "low", "close").groupBy("symbol").applyInPandas(lambda frame: compute(frame, wanted), schema)
+
+
+def with_recursive(bars: DataFrame, columns: tuple[str, ...] | list[str] | None = None) -> DataFrame:
+    """``bars`` with the recursive indicators ``columns``, by default all, without a join.
+
+    A symbol's bars are one row of arrays while its recursions run, and rows again after that. The key stays the column that
+    it was, so the result is still dealt by symbol: windows by symbol that follow need no shuffle.
+    """
+    wanted = tuple(columns or RECURSIVE)
+    kept = [c for c in bars.columns if c != "symbol"]
+
+    @F.pandas_udf("array<array<double>>")
+    def lines(day: pd.Series, high: pd.Series, low: pd.Series, close: pd.Series) -> list:
+        found = compute(pd.DataFrame({"symbol": 0, "trade_date": day[0], "high": high[0], "low": low[0], "close": close[0]}), wanted)
+        return [found[c].tolist() for c in wanted]
+
+    packed = bars.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("trade_date", *[c for c in kept if c != "trade_date"]))).alias("_bars"))
+    # a window of one row: of what runs Python, Spark knows of windows alone that their rows stay where they are
+    given = [F.col("_bars.trade_date"), *[F.col(f"_bars.{c}").cast("array<double>") for c in ("high", "low", "close")]]
+    ran = packed.withColumn("_lines", lines(*given).over(Window.partitionBy("symbol")))
+    rows = ran.select("symbol", F.explode(F.arrays_zip("_bars", *[F.get("_lines", F.lit(k)).alias(c) for k, c in enumerate(wanted)])).alias("_row"))
+    return rows.select("symbol", *[F.col(f"_row._bars.{c}").alias(c) for c in kept], *[F.col(f"_row.{c}").alias(c) for c in wanted])

@@ -35,11 +35,11 @@ def ratio(top: Column, bottom: Column, zero: float = 0.0) -> Column:
     return F.when(bottom == 0, F.when(top.isNotNull(), F.lit(zero))).otherwise(F.try_divide(top, bottom))
 
 
-def base(bars: DataFrame) -> DataFrame:
+def base(bars: DataFrame, carried: tuple[str, ...] | list[str] = ()) -> DataFrame:
     """Bars with row numbers, previous values, typical price, true range and flows."""
     c = F.col
     numbered = bars.select(
-        *KEYS, "open", "high", "low", "close", "volume", F.row_number().over(by_date()).alias("rn"),
+        *KEYS, *carried, "open", "high", "low", "close", "volume", F.row_number().over(by_date()).alias("rn"),
         F.lag("close").over(by_date()).alias("prev_close"), F.lag("high").over(by_date()).alias("prev_high"), F.lag("low").over(by_date()).alias("prev_low"),
         ((c("high") + c("low") + c("close")) / 3).alias("TYPPRICE"),
     ).withColumn("prev_typical", F.lag("TYPPRICE").over(by_date()))
@@ -61,10 +61,10 @@ def trima_spans(n: int) -> tuple[int, int]:
     return ((n + 1) // 2, (n + 1) // 2) if n % 2 else (n // 2, n // 2 + 1)
 
 
-def rolling_indicators(bars: DataFrame) -> DataFrame:
-    """``bars`` with every indicator of bounded look-back."""
+def rolling_indicators(bars: DataFrame, carried: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """``bars`` with every indicator of bounded look-back, and the columns ``carried`` as they are."""
     c = F.col
-    first = base(bars)
+    first = base(bars, carried)
     spread5 = F.max("high").over(last(5)) - F.min("low").over(last(5))
     spread14 = F.max("high").over(last(14)) - F.min("low").over(last(14))
     first = first.select(
@@ -90,7 +90,7 @@ def rolling_indicators(bars: DataFrame) -> DataFrame:
         return ratio(c("TYPPRICE") - c(f"tp_mean{n}"), 0.015 * apart)
 
     second = first.select(
-        *KEYS, "rn", "open", "high", "low", "close", "volume", "TYPPRICE", "Trange", "sma5", "sma10", "sma15", "sma20",
+        *KEYS, *carried, "rn", "open", "high", "low", "close", "volume", "TYPPRICE", "Trange", "sma5", "sma10", "sma15", "sma20",
         (c("sma20") + 2 * c("sd20")).alias("upperband"), c("sma20").alias("middleband"), (c("sma20") - 2 * c("sd20")).alias("lowerband"),
         *[gated(F.avg, f"half{n}", trima_spans(n)[1], n).alias(f"TRIMA{n}") for n in (5, 10, 20)],
         (c("sma12") - c("sma26")).alias("APO"), (100 * ratio(c("sma12") - c("sma26"), c("sma26"))).alias("PPO"),

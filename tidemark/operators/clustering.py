@@ -20,8 +20,13 @@ CURE_ROWS, CURE_SHRINK = 1024, 10
 
 
 def profiles(df: DataFrame, columns: list[str], key: str = "symbol", day: str = "trade_date") -> DataFrame:
-    """Mean of every column by symbol, with rows and distinct days: one pass."""
-    return df.groupBy(key).agg(*[F.avg(c).alias(c) for c in columns], F.count(F.lit(1)).alias("n_rows"), F.countDistinct(day).alias("n_days"))
+    """Mean of every column by symbol, with rows and distinct days: one pass.
+
+    A day counts where it differs from the one before: a distinct count would hold all the sums once for every day.
+    """
+    marked = df.withColumn("_before", F.lag(day).over(Window.partitionBy(key).orderBy(day)))
+    new = F.col(day).isNotNull() & ~F.col(day).eqNullSafe(F.col("_before"))
+    return marked.groupBy(key).agg(*[F.avg(c).alias(c) for c in columns], F.count(F.lit(1)).alias("n_rows"), F.count_if(new).alias("n_days"))
 
 
 def assembled(df: DataFrame, columns: list[str], output: str = "features") -> DataFrame:

@@ -77,8 +77,8 @@ for _name, (_columns, _table, _more) in RECURSIVE_GROUPS.items():
 
 
 def with_indicators(bars: DataFrame) -> DataFrame:
-    """Bars with all indicators; both sides are partitioned by symbol already, so the join adds no shuffle of its own."""
-    return rolling.rolling_indicators(bars).join(recursive.recursive_indicators(bars), KEYS)
+    """Bars with all indicators. The recursive ones come first and are carried, so nothing is joined and no wide row is shuffled."""
+    return rolling.rolling_indicators(recursive.with_recursive(bars), recursive.RECURSIVE)
 
 
 def featured_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

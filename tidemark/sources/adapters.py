@@ -29,8 +29,10 @@ def daily_bars(trades: DataFrame, symbol: Column, day: Column, price: Column, qu
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of a supplier's line items by ship date, priced per unit."""
     c = F.col
+    # a supplier has hardly two line items a day, so they are dealt by supplier at once: windows and recursions that follow need no shuffle
+    items = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_orderkey", "l_linenumber").repartition("l_suppkey")
     return daily_bars(
-        table(spark, sf_dir, "lineitem"), c("l_suppkey"), F.to_date("l_shipdate"), F.try_divide(c("l_extendedprice"), c("l_quantity")),
+        items, c("l_suppkey"), F.to_date("l_shipdate"), F.try_divide(c("l_extendedprice"), c("l_quantity")),
         c("l_quantity"), [c("l_orderkey"), c("l_linenumber")],
     )
 

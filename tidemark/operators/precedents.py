@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, FusionConfig, SimHashConfig
 from ..functions import vectors
 from ..sources.scratch import materialize
+from . import quality
 
 
 def simhash_index(items: DataFrame, planes: np.ndarray, config: SimHashConfig = DEFAULT.simhash) -> DataFrame:
@@ -251,13 +252,16 @@ SANITY_CHECKS = (
 def distribution(patterns: DataFrame) -> DataFrame:
     """By market the figures that the sanity check compares."""
     r = F.col("fwd_return")
-    known = patterns.filter("fwd_down IS NOT NULL")
-    return known.groupBy("market").agg(
-        F.count(F.lit(1)).alias("n_pattern"), F.percentile(r, F.lit(0.5)).alias("median_fwd_return"),
+    known = materialize(patterns.filter("fwd_down IS NOT NULL").select("market", "fwd_return", "fwd_down"), "outcomes")
+    ranked = quality.quantiles(known, {"fwd_return": r}, [0.5, 0.95, 0.05], ("market",))
+    q = ranked.select("market", *[F.get("q", F.lit(k)).alias(c) for k, c in enumerate(("median_fwd_return", "fwd_return_p95", "fwd_return_p05"))])
+    figures = known.groupBy("market").agg(
+        F.count(F.lit(1)).alias("n_pattern"),
         F.avg("fwd_down").alias("base_rate_down"), F.avg(F.when(r > 0, 1.0).otherwise(0.0)).alias("p_up"), F.avg(r).alias("mean_fwd_return"),
         F.stddev_samp(r).alias("std_fwd_return"), F.avg(F.abs(r)).alias("volatility_fwd"),
-        F.percentile(r, F.lit(0.95)).alias("fwd_return_p95"), F.percentile(r, F.lit(0.05)).alias("fwd_return_p05"),
     )
+    names = ["market", "n_pattern", "median_fwd_return", "base_rate_down", "p_up", "mean_fwd_return", "std_fwd_return", "volatility_fwd", "fwd_return_p95", "fwd_return_p05"]
+    return figures.join(q, "market", "left").select(*names)  # a row a market
 
 
 def sanity_check(patterns: DataFrame) -> DataFrame:

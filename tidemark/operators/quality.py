@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, QualityConfig
+from ..sources.scratch import materialize
 
 
 def unknown(df: DataFrame, column: str) -> Column:
@@ -39,11 +40,15 @@ def statistics(df: DataFrame, columns: list[str]) -> DataFrame:
 def outliers(df: DataFrame, columns: list[str], config: QualityConfig = DEFAULT.quality, exact: bool = False) -> DataFrame:
     """``column, q1, q3, lower, upper, n_outliers, outlier_percentage`` beyond the whiskers: two passes for all columns.
 
-    Quartiles are sketched with a bounded error unless ``exact``, which holds every distinct value and is for small tables.
+    Quartiles are sketched with a bounded error unless ``exact``, which writes the columns once and ranks what lies near them.
     """
     known = lambda c: F.when(~unknown(df, c), F.col(c).cast("double"))
-    quartiles = [(F.percentile(known(c), [0.25, 0.75]) if exact else F.percentile_approx(known(c), [0.25, 0.75], 10_000)).alias(f"q|{c}") for c in columns]
-    edges = df.agg(*quartiles)
+    if exact:
+        df = materialize(df.select(*columns), "measured")
+        found = quantiles(df, {c: known(c) for c in columns}, [0.25, 0.75])
+        edges = found.agg(*[F.max(F.when(F.col("name") == c, F.col("q"))).alias(f"q|{c}") for c in columns])
+    else:
+        edges = df.agg(*[F.percentile_approx(known(c), [0.25, 0.75], 10_000).alias(f"q|{c}") for c in columns])
     q = lambda c, k: F.get(F.col(f"`q|{c}`"), F.lit(k))
     span = lambda c: config.iqr_factor * (q(c, 1) - q(c, 0))
     beyond = lambda c: (known(c) < q(c, 0) - span(c)) | (known(c) > q(c, 1) + span(c))
@@ -108,9 +113,11 @@ def spread(df: DataFrame, key: str, value: str) -> DataFrame:
 def binned_means(df: DataFrame, by: str, value: str, bins: int = 8) -> DataFrame:
     """``bin, n, mean_by, mean_value`` in bins between the quantiles of ``by``; bins with equal edges are one.
 
-    Edges come from one aggregate, so no row is ever ranked.
+    Edges are exact; only the rows near them are ranked.
     """
-    edges = F.broadcast(df.agg(F.array_distinct(F.percentile(by, [k / bins for k in range(1, bins)])).alias("_edges")))  # one row
+    df = materialize(df.select(by, value), "binned")
+    found = quantiles(df, {by: F.col(by)}, [k / bins for k in range(1, bins)])
+    edges = F.broadcast(found.agg(F.array_distinct(F.max("q")).alias("_edges")))  # one row
     number = F.aggregate("_edges", F.lit(1), lambda n, e: n + (F.col(by) > e).cast("int"))
     return df.crossJoin(edges).groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(by).alias("mean_by"), F.avg(value).alias("mean_value"))
 
@@ -118,3 +125,43 @@ def binned_means(df: DataFrame, by: str, value: str, bins: int = 8) -> DataFrame
 def plot_sample(df: DataFrame, key: str, n: int = 50_000) -> DataFrame:
     """At most ``n`` rows for a chart, the same each time: those whose key has the smallest hash."""
     return df.orderBy(F.md5(F.col(key).cast("string").cast("binary")), key).limit(n)
+
+
+#: Relative error of the sketch that brackets a quantile, and how far the bracket reaches beyond it at first.
+SKETCH, MARGIN = 10_000, 0.001
+
+
+def quantiles(df: DataFrame, values: dict[str, Column], shares: list[float], by: tuple[str, ...] = (), margin: float = MARGIN) -> DataFrame:
+    """``*by, name, q``: exact quantiles of each value at ``shares``, interpolated as ``percentile`` does it; no row where no value is known.
+
+    A sketch brackets every quantile; then rows below the brackets are counted and those inside, by value, are ranked. So
+    only some thousandths of the rows are shuffled and no buffer holds a column. A bracket that misses is widened, up to all rows.
+    Groups of ``by`` should be few, and ``df``, which is read twice, should be written already.
+    """
+    keys = [*by, "name"]
+    long = df.select(*by, F.explode(F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("v")) for n, v in values.items()])).alias("_s")).select(*by, "_s.*").filter("v IS NOT NULL")
+    while True:
+        ends = [e for s in shares for e in (max(0.0, s - margin), min(1.0, s + margin))]
+        sketched = long.groupBy(*keys).agg(F.count("v").alias("n"), F.percentile_approx("v", ends, SKETCH).alias("_e"))
+        places = F.posexplode(F.array(*[F.lit(float(s)) for s in shares])).alias("k", "share")
+        at = lambda j: F.get("_e", 2 * F.col("k") + j)
+        open_below, open_above = F.col("share") <= margin, F.col("share") >= 1 - margin
+        brackets = sketched.select(*keys, "n", "_e", places).select(*keys, "n", "k", "share", F.when(~open_below, at(0)).alias("low"), F.when(~open_above, at(1)).alias("high"))
+        brackets = materialize(brackets, "quantile-brackets")
+        same = lambda c: F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+        near = long.alias("a").join(F.broadcast(brackets.alias("b")), reduce(lambda x, y: x & y, map(same, keys))).filter(F.col("high").isNull() | (F.col("v") <= F.col("high")))
+        below = F.col("low").isNotNull() & (F.col("v") < F.col("low"))
+        counted = near.groupBy(*[F.col(f"b.{c}") for c in keys], "k", "n", "share", F.when(~below, F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("rows"))
+        upto = F.sum("rows").over(Window.partitionBy(*keys, "k").orderBy(F.asc_nulls_first("v")))
+        place = F.col("share") * (F.col("n") - 1)
+        ranked = counted.withColumn("upto", upto).groupBy(*keys, "k", "n", "share").agg(
+            *[F.min_by("v", F.when(F.col("upto") > rank(place), F.col("upto"))).alias(end) for end, rank in (("x", F.floor), ("y", F.ceil))],
+        )
+        ranked = materialize(ranked, "quantile-ranks")
+        if margin >= 1 or ranked.filter("x IS NULL OR y IS NULL").isEmpty():
+            break
+        margin *= 10
+    part = F.col("share") * (F.col("n") - 1) - F.floor(F.col("share") * (F.col("n") - 1))
+    value = F.when(F.col("x") == F.col("y"), F.col("x")).otherwise((1 - part) * F.col("x") + part * F.col("y"))
+    found = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", value.alias("v")))).alias("_q"))  # a row a quantile
+    return found.select(*keys, F.transform("_q", lambda e: e["v"]).alias("q"))

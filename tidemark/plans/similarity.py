@@ -114,9 +114,15 @@ add("query_similar", query_similar)
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars with outcomes and the last sma20, RSI and MACD, by market."""
     bars = adapters.bars(spark, sf_dir)
-    averages = rolling.rolling_indicators(bars).select(*KEYS, "close", "volume", "sma20")
-    lines = recursive.recursive_indicators(bars, ["RSI14", "macd1226"]).select(*KEYS, F.col("RSI14").alias("rsi"), F.col("macd1226").alias("macd"))
-    return patterns.outcomes(averages.join(lines, KEYS)).withColumn("market", adapters.market(F.col("trade_date")))
+    lines = ["RSI14", "macd1226"]
+    measured = rolling.rolling_indicators(recursive.with_recursive(bars, lines), lines)
+    daily = measured.select(*KEYS, "close", "volume", "sma20", F.col("RSI14").alias("rsi"), F.col("macd1226").alias("macd"))
+    return patterns.outcomes(daily).withColumn("market", adapters.market(F.col("trade_date")))
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``all_patterns`` before their vectors, which figures of outcomes alone don't need."""
+    return patterns.raw_patterns(_daily(spark, sf_dir))
 
 
 def all_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +161,7 @@ e AS (SELECT symbol, unnest(generate_series(0, 27)) AS q FROM (SELECT DISTINCT s
 f AS (SELECT symbol, least(DATE '1995-03-31' + to_months(3 * q::INT), last_day(DATE '1995-03-31' + to_months(3 * q::INT)))::DATE AS query_date FROM e)
 SELECT f.symbol, f.query_date, k.trade_date AS pattern_date FROM f ASOF LEFT JOIN k ON f.symbol = k.symbol AND f.query_date >= k.trade_date""")
 
-add("base_rate", lambda s, d: tidy(precedents.base_rate(all_patterns(s, d)), 6),
+add("base_rate", lambda s, d: tidy(precedents.base_rate(_raw(s, d)), 6),
     f"WITH RECURSIVE {_P} SELECT market, count(*) AS n, {sql.rounded('avg(fwd_down)', 6)} AS p_down, {sql.rounded('avg(fwd_return)', 6)} AS mean_return FROM patterns WHERE fwd_down IS NOT NULL GROUP BY market")
 
 
@@ -275,13 +281,13 @@ add("served_alerts", served_alerts)
 
 _FIGURES_SQL = {"n_pattern": "count(*)", "median_fwd_return": "quantile_cont(fwd_return, 0.5)", "base_rate_down": "avg(fwd_down)", "p_up": "avg((fwd_return > 0)::INT)", "mean_fwd_return": "avg(fwd_return)", "std_fwd_return": "stddev_samp(fwd_return)",
     "volatility_fwd": "avg(abs(fwd_return))", "fwd_return_p95": "quantile_cont(fwd_return, 0.95)", "fwd_return_p05": "quantile_cont(fwd_return, 0.05)"}
-add("pattern_distribution", lambda s, d: tidy(precedents.distribution(all_patterns(s, d)), 6),
+add("pattern_distribution", lambda s, d: tidy(precedents.distribution(_raw(s, d)), 6),
     f"WITH RECURSIVE {_P} SELECT market, {', '.join(e + ' AS ' + c if c == 'n_pattern' else sql.rounded(e, 6) + ' AS ' + c for c, e in _FIGURES_SQL.items())} FROM patterns WHERE fwd_down IS NOT NULL GROUP BY market")
 
 _CHECKS = ", ".join(f"('{m}', {t}::DOUBLE, {str(r).lower()})" for m, t, r in precedents.SANITY_CHECKS)
 _DIST = """SELECT market, avg(fwd_down) AS base_rate_down, avg((fwd_return > 0)::INT) AS p_up, avg(fwd_return) AS mean_fwd_return, stddev_samp(fwd_return) AS std_fwd_return, avg(abs(fwd_return)) AS volatility_fwd,
 quantile_cont(fwd_return, 0.95) AS fwd_return_p95, quantile_cont(fwd_return, 0.05) AS fwd_return_p05 FROM patterns WHERE fwd_down IS NOT NULL GROUP BY market"""
-add("sanity_check", lambda s, d: tidy(precedents.sanity_check(all_patterns(s, d)), 6), f"""WITH RECURSIVE {_P}, s0 AS ({_DIST}), s1 AS (UNPIVOT s0 ON * EXCLUDE (market) INTO NAME metric VALUE value),
+add("sanity_check", lambda s, d: tidy(precedents.sanity_check(_raw(s, d)), 6), f"""WITH RECURSIVE {_P}, s0 AS ({_DIST}), s1 AS (UNPIVOT s0 ON * EXCLUDE (market) INTO NAME metric VALUE value),
 s2 AS (SELECT metric, max(value) FILTER (market = 'lib') AS lib, max(value) FILTER (market = 'tgt') AS tgt FROM s1 GROUP BY metric),
 s3 AS (SELECT s2.*, CASE WHEN rel THEN abs(lib - tgt) / (abs(lib) + 1e-9) ELSE abs(lib - tgt) END AS diff, tolerance FROM s2 JOIN (VALUES {_CHECKS}) c(metric, tolerance, rel) USING (metric)),
 s4 AS (SELECT *, diff <= tolerance AS ok FROM s3)

@@ -38,15 +38,20 @@ def raw_patterns(daily: DataFrame, config: PatternConfig = DEFAULT.pattern) -> D
     }).drop("returns", "mean_volume")
 
 
-def market_stats(patterns: DataFrame) -> DataFrame:
-    """Mean and deviation of every summary feature by market; 0 and 1 where unknown or flat."""
+def feature_stats(patterns: DataFrame, *others: Column) -> DataFrame:
+    """By market mean and deviation of every summary feature, 0 and 1 where unknown or flat, and the aggregates ``others``."""
     stats = patterns.groupBy("market").agg(
         *[F.coalesce(F.avg(f), F.lit(0.0)).alias(f"{f}_mean") for f in SUMMARY_FEATURES],
-        *[F.stddev_samp(f).alias(f"{f}_sd") for f in SUMMARY_FEATURES],
+        *[F.stddev_samp(f).alias(f"{f}_sd") for f in SUMMARY_FEATURES], *others,
     )
     return stats.withColumns({f"{f}_sd": F.when(F.col(f"{f}_sd") > vectors.TINY, F.col(f"{f}_sd")).otherwise(1.0) for f in SUMMARY_FEATURES})
 
 
+def market_stats(patterns: DataFrame) -> DataFrame:
+    """Mean and deviation of every summary feature by market; 0 and 1 where unknown or flat."""
+    return feature_stats(patterns)
+
+
 def summary_z(feature: str) -> Column:
     return F.coalesce((F.col(feature) - F.col(f"{feature}_mean")) / F.col(f"{feature}_sd"), F.lit(0.0))
 

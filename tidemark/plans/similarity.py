@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import recursive, rolling, vectors
-from ..operators import minhash, patterns, precedents, serving
+from ..operators import histories, minhash, patterns, precedents, serving
+from ..operators.streamed import streamed_top_k
 from ..schema import SIGNALS
 from ..sources import adapters
 from ..sources.scratch import materialize, scratch_path
@@ -111,13 +112,39 @@ def query_similar(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
 add("query_similar", query_similar)
 
 
-def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars with outcomes and the last sma20, RSI and MACD, by market."""
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars with the last sma20, RSI and MACD."""
     bars = adapters.bars(spark, sf_dir)
     lines = ["RSI14", "macd1226"]
     measured = rolling.rolling_indicators(recursive.with_recursive(bars, lines), lines)
-    daily = measured.select(*KEYS, "close", "volume", "sma20", F.col("RSI14").alias("rsi"), F.col("macd1226").alias("macd"))
-    return patterns.outcomes(daily).withColumn("market", adapters.market(F.col("trade_date")))
+    return measured.select(*KEYS, "close", "volume", "sma20", F.col("RSI14").alias("rsi"), F.col("macd1226").alias("macd"))
+
+
+def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measured bars with outcomes, by market."""
+    return patterns.outcomes(_measured(spark, sf_dir)).withColumn("market", adapters.market(F.col("trade_date")))
+
+
+class _Histories:
+    """The histories of a scale, computed once, and the patterns that their readers make of them."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.held = materialize(histories.histories(_measured(spark, sf_dir)), "histories")
+        self.figures = materialize(histories.figures(self.held, adapters.MARKET_SPLIT).coalesce(1), "figures")
+        self.stats = {r.market: r.asDict() for r in self.figures.collect()}  # a row a market
+
+    def reader(self, only: str) -> histories.Reader:
+        return histories.Reader(self.stats, adapters.MARKET_SPLIT, only)
+
+    def patterns(self, only: str) -> DataFrame:
+        return self.reader(only).rows(self.held)
+
+    def latest(self) -> DataFrame:
+        """Each symbol's latest target pattern of a known outcome."""
+        return materialize(self.patterns("latest"), "latest")
+
+    def library(self) -> dict:
+        return {side: (self.held, self.reader(side)) for side in ("lib", "tgt")}
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,20 +210,14 @@ SCORES = ["risk_score", "confidence"]
 LABELS = ["agreement", "label", "confidence_label", "pred_down", "actual_down"]
 
 
-def _latest(known: DataFrame) -> DataFrame:
-    """Each symbol's latest target pattern of a known outcome."""
-    newest = known.filter("market = 'tgt' AND fwd_down IS NOT NULL").groupBy("symbol").agg(F.max("trade_date").alias("trade_date"))
-    return known.join(newest, KEYS, "left_semi")
-
-
 def verdicts_of_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = all_patterns(spark, sf_dir)
-    return precedents.backtest(known, _latest(known), PLANES)
+    known = _Histories(spark, sf_dir)
+    return precedents.backtest(known.latest(), known.library(), known.figures, PLANES)
 
 
 def verdicts_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = all_patterns(spark, sf_dir)
-    return precedents.backtest(known, known.filter("market = 'tgt'"), PLANES)
+    known = _Histories(spark, sf_dir)
+    return precedents.backtest(known.patterns("tgt"), known.library(), known.figures, PLANES)
 
 
 _LATEST = "market = 'tgt' AND (symbol, trade_date) IN (SELECT (symbol, max(trade_date)) FROM known WHERE market = 'tgt' GROUP BY symbol)"
@@ -225,8 +246,8 @@ add("backtest_by_label", lambda s, d: tidy(precedents.by_label(verdicts_walk_for
 
 def precedent_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest library precedents of each symbol's latest target pattern."""
-    known = all_patterns(spark, sf_dir)
-    return tidy(precedents.precedent_list(known, _latest(known), PLANES, "lib", 10), 6)
+    known = _Histories(spark, sf_dir)
+    return tidy(precedents.precedent_list(known.latest(), known.held, PLANES, "lib", 10, read=known.reader("lib")), 6)
 
 
 add("precedent_list", precedent_list, _verdict_sql(_LATEST, f"SELECT query_id, item_id, {sql.tidy(['cosine', 'fwd_return'], 6)}, fwd_down, r::INT AS rank FROM lib3 WHERE r <= 10"))
@@ -238,8 +259,9 @@ add("alert_reason", lambda s, d: (v := verdicts_of_latest(s, d)).select("symbol"
 
 def precedent_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten patterns of the target market most like each symbol's latest one, of all that came before it."""
-    known = all_patterns(spark, sf_dir).filter("market = 'tgt' AND fwd_down IS NOT NULL")
-    return tidy(precedents.exact_top_k(_latest(known), known, 10, earlier=True), 6)
+    known = _Histories(spark, sf_dir)
+    found, named = streamed_top_k(known.held, known.latest(), 10, earlier=True, read=known.reader("tgt"))
+    return tidy(named.join(found, "query").select("query_id", "item_id", "cosine", "rank"), 6)
 
 
 add("precedent_exact", precedent_exact, f"""WITH RECURSIVE {_P}, k AS MATERIALIZED (SELECT * FROM patterns WHERE market = 'tgt' AND fwd_down IS NOT NULL), a AS (SELECT * FROM k WHERE (symbol, trade_date) IN (SELECT (symbol, max(trade_date)) FROM k GROUP BY symbol)),

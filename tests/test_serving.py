@@ -121,3 +121,35 @@ def test_similar_windows_for_many_questions(spark):
     first = {(r.query_symbol, r["rank"]): (r.symbol, r.bands_matched) for r in got if r.query_symbol == 0}
     assert first[0, 1] == (1, 20) and first[0, 2] == (2, 20)  # the same states
     assert got and "x" in got[0].asDict()
+
+
+def test_a_store_of_histories_writes_no_pattern_and_answers_as_one_of_patterns(spark, small, tmp_path):
+    from tidemark.plans import similarity
+
+    kept = similarity.build_store(spark, small, f"file://{tmp_path}/histories")
+    full = PrecedentStore.build(similarity.all_patterns(spark, small), similarity.PLANES, f"file://{tmp_path}/patterns")
+    written = {p.name for p in (tmp_path / "histories").iterdir()}
+    assert "histories" in written and "patterns" not in written
+    assert not {"vector", "band_buckets"} & set(spark.read.parquet(f"file://{tmp_path}/histories/histories").columns)
+    days = [dt.date(1990, 1, 1), dt.date(1999, 3, 31), dt.date(2000, 6, 30), dt.date(2010, 1, 1), None]
+    symbols = [r.symbol for r in full.symbols().collect()]
+    assert {r.symbol for r in kept.symbols().collect()} == set(symbols)
+    assert sorted(map(tuple, kept.dates().collect())) == sorted(map(tuple, full.dates().collect()))
+    questions = spark.createDataFrame([(s, d) for s in [*symbols, -1] for d in days], "symbol long, query_date date")
+    shapes = [{(r.symbol, r.query_date): (r.pattern_date, r.shape) for r in x.shapes(questions).collect()} for x in (kept, full)]
+    assert set(shapes[0]) == set(shapes[1]) and len(shapes[0]) >= 2 * len(symbols)
+    assert all(shapes[0][k][0] == d and np.allclose(shapes[0][k][1], v, rtol=0, atol=1e-12) for k, (d, v) in shapes[1].items())
+    answers = [{(r.symbol, r.query_date): r for r in similarity.tidy(x.ask(questions)).collect()} for x in (kept, full)]
+    assert set(answers[0]) == set(answers[1]) == set(shapes[1])
+    for key, r in answers[0].items():
+        assert all(r[c] == x or r[c] == pytest.approx(x, abs=2e-4) for c, x in answers[1][key].asDict().items())
+
+
+@pytest.mark.parametrize("name", ["served_dates"])
+def test_served_queries_store_no_pattern(spark, small, monkeypatch, name):
+    def refuse(*_):
+        raise AssertionError("patterns are stored")
+
+    monkeypatch.setattr(PrecedentStore, "build", refuse)
+    df = tidemark.QUERIES[name](spark, small)
+    assert df.count() and "band_buckets" not in df._jdf.queryExecution().toString()

@@ -66,7 +66,7 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(timings(spark, args.queries, args.data, args.runs)))
         return 0
     if args.command == "build-store":
-        PrecedentStore.build(similarity.all_patterns(spark, args.data), similarity.PLANES, args.store)
+        similarity.build_store(spark, args.data, args.store)
         return 0
     if args.command == "run":
         found = registry.QUERIES[args.query](spark, args.data)

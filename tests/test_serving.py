@@ -145,7 +145,7 @@ def test_a_store_of_histories_writes_no_pattern_and_answers_as_one_of_patterns(s
         assert all(r[c] == x or r[c] == pytest.approx(x, abs=2e-4) for c, x in answers[1][key].asDict().items())
 
 
-@pytest.mark.parametrize("name", ["served_dates", "served_shapes"])
+@pytest.mark.parametrize("name", ["served_dates", "served_shapes", "served_alerts"])
 def test_served_queries_store_no_pattern(spark, small, monkeypatch, name):
     def refuse(*_):
         raise AssertionError("patterns are stored")

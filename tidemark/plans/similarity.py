@@ -68,7 +68,7 @@ e2 AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC,
 
 
 def jaccard_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = materialize(_shingled(spark, sf_dir), "shingles")
+    items = _shingled(spark, sf_dir)
     return tidy(minhash.exact_top_k(items, _asked(items)), 6)
 
 
@@ -78,8 +78,8 @@ def lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lsh_precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signed = _signed(spark, sf_dir)
-    return tidy(minhash.precision_recall(minhash.exact_top_k(signed, _asked(signed)), minhash.lsh_top_k(signed, _asked(signed))), 6)
+    items = _shingled(spark, sf_dir)
+    return tidy(minhash.precision_recall(*minhash.both_top_k(items, _asked(items))), 6)
 
 
 def lsh_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,9 +44,9 @@ class PrecedentStore:
         return cls._finish(patterns.sparkSession, planes, path, simhash, None)
 
     @classmethod
-    def build_histories(cls, measured: DataFrame, split: str, planes: np.ndarray, path: str, simhash: SimHashConfig = DEFAULT.simhash) -> PrecedentStore:
-        """Write the artefacts of ``measured`` days: a row a symbol, of which the patterns are made where they are read; the target market starts at ``split``."""
-        spark, packed = measured.sparkSession, histories(measured)
+    def build_histories(cls, days: DataFrame, split: str, planes: np.ndarray, path: str, simhash: SimHashConfig = DEFAULT.simhash) -> PrecedentStore:
+        """Write the artefacts of ``days`` with ``symbol, trade_date, close, volume``: a row a symbol, of which the patterns are made where they are read; the target market starts at ``split``."""
+        spark, packed = days.sparkSession, histories(days)
         packed.write.mode("overwrite").parquet(f"{path}/histories")
         held = spark.read.schema(packed.schema).parquet(f"{path}/histories")
         figures(held, split).coalesce(1).write.mode("overwrite").parquet(f"{path}/figures")

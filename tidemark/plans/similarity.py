@@ -120,6 +120,11 @@ def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured.select(*KEYS, "close", "volume", "sma20", F.col("RSI14").alias("rsi"), F.col("macd1226").alias("macd"))
 
 
+def _closes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What histories are made of: the measures of a day follow from it."""
+    return adapters.bars(spark, sf_dir).select(*KEYS, "close", "volume")
+
+
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measured bars with outcomes, by market."""
     return patterns.outcomes(_measured(spark, sf_dir)).withColumn("market", adapters.market(F.col("trade_date")))
@@ -129,7 +134,7 @@ class _Histories:
     """The histories of a scale, computed once, and the patterns that their readers make of them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.held = materialize(histories.histories(_measured(spark, sf_dir)), "histories")
+        self.held = materialize(histories.histories(_closes(spark, sf_dir)), "histories")
         self.figures = materialize(histories.figures(self.held, adapters.MARKET_SPLIT).coalesce(1), "figures")
         self.stats = {r.market: r.asDict() for r in self.figures.collect()}  # a row a market
 
@@ -270,7 +275,7 @@ SELECT query_id, item_id, {sql.rounded("cosine", 6)} AS cosine, r::INT AS rank F
 
 
 def build_store(spark: SparkSession, sf_dir: str, path: str) -> serving.PrecedentStore:
-    return serving.PrecedentStore.build_histories(_measured(spark, sf_dir), adapters.MARKET_SPLIT, PLANES, path)
+    return serving.PrecedentStore.build_histories(_closes(spark, sf_dir), adapters.MARKET_SPLIT, PLANES, path)
 
 
 def _served(spark: SparkSession, sf_dir: str) -> serving.PrecedentStore:

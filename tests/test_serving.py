@@ -153,3 +153,10 @@ def test_served_queries_store_no_pattern(spark, small, monkeypatch, name):
     monkeypatch.setattr(PrecedentStore, "build", refuse)
     df = tidemark.QUERIES[name](spark, small)
     assert df.count() and "band_buckets" not in df._jdf.queryExecution().toString()
+
+
+def test_a_store_holds_closes_and_volumes_only(spark, small, tmp_path):
+    from tidemark.plans import similarity
+
+    similarity.build_store(spark, small, f"file://{tmp_path}/lean")
+    assert spark.read.parquet(f"file://{tmp_path}/lean/histories").columns == ["symbol", "trade_date", "close", "volume"]

@@ -107,3 +107,20 @@ def test_odd_rows(spark):
     assert M.resample(df, some, budget=3.0).count() >= 1
     with pytest.raises(ValueError):
         M.fit_rates(df, {"clean": 1.0})
+
+
+def test_arrays_fold_as_the_column_and_iterations_plan_no_growing_expression(table, monkeypatch):
+    """A fit of hundreds of steps used to analyse and compile a longer expression at each of them."""
+    p, tokens, df = table
+    names = [f"p_{d}" for d in M.DOMAINS]
+    column, asked = M.Rates.column, []
+    monkeypatch.setattr(M.Rates, "column", lambda self, names: asked.append(len(self.steps)) or column(self, names))
+    for max_rate in (None, 1.0):
+        rates = M.fit_rates(df, {"clean": 0.9, "low_quality": 0.07, "toxic": 0.03}, budget=None, max_rate=max_rate)
+        assert len(rates.steps) > 5 and not asked
+        rows = rates.rated(df, names).withColumn("r", column(rates, names)).collect()
+        assert len(rows) == len(p) and all(x.rate == x.r for x in rows)
+        plain = (tokens * rates.of(list(p.T))) @ p
+        assert np.allclose(rates.totals(df, names), plain, rtol=1e-12)
+    unfitted = M.Rates((), 1.0, 1e-3, None)
+    assert {x.rate for x in unfitted.rated(df, names).collect()} == {1.0}

@@ -8,7 +8,7 @@ least-squares problem over all documents,
 with w_i the document's share of all tokens, p_id its posterior, t_d the target share and s_d the present share of a
 domain, by projected gradient: each iteration is one distributed sum of a few numbers, the residual of each domain. In
 the token-weighted metric a document's step depends on its own posterior and the residuals alone, so its rate is a fold
-over the residuals so far and no state is kept by document.
+over the residuals so far and no state is kept by document. The folds run on arrays: a fit may take hundreds of steps.
 
 Contract: a null text counts as empty and has no tokens; rows may repeat, and each has its own rate; copies are decided
 by id and text, so unlike texts under a null or repeated id are documents of their own; without labels all posteriors
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches, bounded_labels, id_key, materialize, spare, text_key
 
@@ -196,6 +197,45 @@ class Rates:
 
         return F.aggregate(history, F.lit(1.0), step)
 
+    def of(self, posteriors: list[np.ndarray]) -> np.ndarray:
+        """As ``column``, with the same sums in the same order."""
+        r = np.ones(len(posteriors[0]))
+        for step in self.steps:
+            slope = self.penalty * (r - 1.0)
+            for p, g in zip(posteriors, step, strict=True):
+                slope = slope + p * g
+            r = np.maximum(0.0, r - self.rate * slope)
+            if self.max_rate is not None:
+                r = np.minimum(r, float(self.max_rate))
+        return r
+
+    def rated(self, table: DataFrame, names: list[str]) -> DataFrame:
+        """``table`` with ``rate``: many steps over many rows are arrays' work."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(self.of(_columns(batch, names)))], [*batch.schema.names, "rate"])
+
+        return table.mapInArrow(run, T.StructType([*table.schema.fields, T.StructField("rate", T.DoubleType())]))
+
+    def totals(self, posteriors: DataFrame, names: list[str]) -> list[float]:
+        """By domain the expected tokens at these rates: a row of sums a task, added up exactly."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(len(names))
+            for batch in batches:
+                tokens, *p = _columns(batch, ["n_tokens", *names])
+                kept = tokens * self.of(p)
+                sums += [(kept * x).sum() for x in p]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sums], names)
+
+        rows = posteriors.select("n_tokens", *names).mapInArrow(run, ", ".join(f"`{n}` double" for n in names)).collect()  # a row a task
+        return [math.fsum(r[k] for r in rows) for k in range(len(names))]
+
+
+def _columns(batch: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
+    return [batch.column(n).cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False) for n in names]
+
 
 def fit_rates(posteriors: DataFrame, target_weights: dict[str, float], budget: float | None = 1.0, max_rate: float | None = None, penalty: float = 1e-3, iterations: int = 400, tolerance: float = 1e-4) -> Rates:
     """Rates whose expected domain token totals match ``target_weights`` of ``budget`` times all tokens.
@@ -230,9 +270,7 @@ def fit_rates(posteriors: DataFrame, target_weights: dict[str, float], budget: f
         if max(map(abs, residuals)) <= tolerance or moved <= tolerance / 10:
             return Rates(tuple(steps), rate, penalty, max_rate, residuals)
         steps.append(tuple(e / s for e, s in zip(residuals, present, strict=True)))
-        fitted = Rates(tuple(steps), rate, penalty, max_rate).column(names)
-        sums = posteriors.select(tokens.alias("t"), fitted.alias("r"), *names).agg(*[F.sum(F.col("t") * F.col("r") * F.col(n)) for n in names]).first()
-        before, shares = shares, [x / total for x in sums]
+        before, shares = shares, [x / total for x in Rates(tuple(steps), rate, penalty, max_rate).totals(posteriors, names)]
     raise RuntimeError(f"the rates do not come to rest in {iterations} iterations")
 
 
@@ -243,7 +281,7 @@ TARGETS = {"clean": 0.94, "low_quality": 0.04, "toxic": 0.02}
 def _mixed(docs: DataFrame, labels: DataFrame, target_weights: dict[str, float] | None, budget: float | None, max_rate: float | None) -> DataFrame:
     table = materialize(posterior_table(docs, learn_domains(docs, labels)), "posteriors")
     rates = fit_rates(table, target_weights or TARGETS, budget, max_rate)
-    rated = table.withColumn("rate", rates.column([f"p_{d}" for d in DOMAINS]))
+    rated = rates.rated(table, [f"p_{d}" for d in DOMAINS])
     return rated.withColumn("copies", copies(F.col("rate"), id_key(), F.col("text_hash")))
 
 

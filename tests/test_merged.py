@@ -65,3 +65,26 @@ def test_a_walk_reads_copies_once_and_answers_for_all(spark, copied, monkeypatch
     assert set(got) == set(want) and len(got) > 100
     for key, r in got.items():
         assert all(r[c] == want[key][c] or r[c] == pytest.approx(want[key][c], abs=2e-6) for c in want[key].asDict())
+
+
+def test_a_store_answers_questions_on_copies_once(spark, copied, tmp_path, monkeypatch):
+    from tidemark.operators import serving
+
+    store = similarity.build_store(spark, copied, f"file://{tmp_path}/store")
+    questions = similarity._quarter_ends(spark, store.symbols().filter("symbol % 100 < 4"))
+    written = {}
+
+    def spy(df, label):
+        out = scratch.materialize(df, label)
+        written[label] = out.count()
+        return out
+
+    monkeypatch.setattr(serving, "materialize", spy)
+    got = {(r.symbol, r.query_date): r for r in similarity.tidy(store.ask(questions)).collect()}
+    assert written["named-questions"] == questions.count() == 3 * written["questions"] == len(got)
+    plain = serving.PrecedentStore.open(spark, store.path)
+    plain.once[plain.simhash.top_k] = (plain._stored(), None)
+    want = {(r.symbol, r.query_date): r for r in similarity.tidy(plain.ask(questions)).collect()}
+    assert set(got) == set(want)
+    for key, r in got.items():
+        assert all(r[c] == want[key][c] or r[c] == pytest.approx(want[key][c], abs=2e-4) for c in want[key].asDict())

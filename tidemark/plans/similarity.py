@@ -104,9 +104,9 @@ SELECT n, n_pairs, {sql.rounded("n * (n - 1) / 2")} AS all_pairs, {sql.rounded("
 def query_similar(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """For the last window of every symbol whose number is divisible by 20, the days of other symbols whose states resemble it, with the bars' own columns."""
     daily = materialize(featured_bars(spark, sf_dir).select(*KEYS, "close", "next_3d_label", *SIGNALS), "daily-states")
-    signed = materialize(minhash.with_signatures(minhash.state_shingles(daily, list(SIGNALS))), "state-signatures")
-    asked = _asked(signed, "symbol").groupBy("symbol").agg(F.max("trade_date").alias("query_date"))
-    return tidy(minhash.similar_windows(signed, asked, daily, k))
+    held = materialize(minhash.state_histories(daily, list(SIGNALS)), "state-histories")
+    asked = _asked(held, "symbol").select("symbol", F.array_max("trade_date").alias("query_date"))
+    return tidy(minhash.streamed_windows(held, asked, daily, k))
 
 
 add("query_similar", query_similar)
